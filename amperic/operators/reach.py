@@ -154,16 +154,16 @@ def within_reach(
         else:
             found = stage(found.groupBy("left_id").agg(F.sum("near").alias("near")))
             open_ = open_.join(found.filter(F.col("near") >= count_to), "left_id", "left_anti")
-        frontier = _split(open_, right_points, "b", "right", metric, level)
+        frontier = split(open_, right_points, "b", "right", metric, level)
         if left_points is not None:
-            frontier = _split(frontier, left_points, "a", "left", metric, level)
+            frontier = split(frontier, left_points, "a", "left", metric, level)
         level += 1
     if count_to is not None:
         return found.groupBy("left_id").agg(F.sum("near").alias("near"))
     return found.distinct()
 
 
-def _split(pairs: DataFrame, points: DataFrame, name: str, side: str, metric: Sequence[Axes], level: int) -> DataFrame:
+def split(pairs: DataFrame, points: DataFrame, name: str, side: str, metric: Sequence[Axes], level: int) -> DataFrame:
     """Replace one side's boxes by the boxes of the next finer cells."""
     key = f"{side}_cell"
     wanted = pairs.select(F.col(key).alias("_cell")).distinct()
