@@ -28,7 +28,7 @@ def gps_accuracy(
         F.col("time").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
     )
     if min_satellites is None:
-        rows = rows.filter(~F.isnan("gps_satellites"))
+        rows = rows.filter(F.col("gps_satellites").isNotNull() & ~F.isnan("gps_satellites"))
     else:
         rows = rows.filter(
             F.col("gps_longitude").isNotNull()
