@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from amperic.functions.clock import DAY, iso_week
 from amperic.operators.kernels import merge_rounds
 from amperic.operators.ordered import count_within, islands, neighbours, running, with_slice
+from amperic.session import stage
 
 NOISE = -1
 
@@ -78,7 +79,15 @@ def agglomerate_time(rows: DataFrame, t: str = "outage_time", *, max_gap: int =
     """
     counts = rows.groupBy(F.col(t)).agg(F.count("*").alias("_n")).withColumn("_week", iso_week(F.col(t)))
     runs = islands(counts, t, max_gap, keys=["_week"], closed=False, width=width)
-    nodes = counts.join(runs, ["_week", t]).select("_week", "island", F.col(t).alias("t"), "_n")
+    run = ["_week", "island"]
+    nodes = stage(counts.join(runs, ["_week", t]).select(*run, F.col(t).alias("t"), "_n"))
+    # one time, or two less than max_gap apart, end as one group whatever their counts
+    sizes = nodes.groupBy(*run).agg(
+        F.count("*").alias("_times"),
+        F.floor(F.sum(F.col("t") * F.col("_n")) / F.sum("_n")).cast("bigint").alias("cluster_time"),
+    )
+    sized = nodes.join(sizes, run)
+    plain = sized.filter("_times <= 2").select(F.col("t").alias(t), F.col("island").alias("cluster"), "cluster_time")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -86,10 +95,10 @@ def agglomerate_time(rows: DataFrame, t: str = "outage_time", *, max_gap: int =
         first = pdf["t"].groupby(group).transform("min")
         return pd.DataFrame({t: pdf["t"], "cluster": first, "cluster_time": centre})
 
-    merged = nodes.groupBy("_week", "island").applyInPandas(
+    merged = sized.filter("_times > 2").select(*run, "t", "_n").groupBy(*run).applyInPandas(
         solve, schema=f"{t} bigint, cluster bigint, cluster_time bigint"
     )
-    return rows.join(merged, t)
+    return rows.join(merged.unionByName(plain), t)
 
 
 def neighbour_gaps(rows: DataFrame, t: str = "outage_time", *, width: int = DAY) -> DataFrame:

@@ -44,7 +44,14 @@ def convex_hulls(points: DataFrame, keys: Sequence[str], *, x: str = "location_l
 
     types = {f.name: f.dataType.simpleString() for f in spots.schema}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", hx array<double>, hy array<double>"
-    return spots.mapInPandas(partial, spots.schema).groupBy(*keys).applyInPandas(final, schema)
+    # one or two places are their own hull
+    sized = spots.join(spots.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    ends = F.sort_array(F.collect_list(F.struct("x", "y")))
+    plain = sized.filter("_n <= 2").groupBy(*keys).agg(ends.alias("_h"))
+    plain = plain.select(*keys, F.col("_h.x").alias("hx"), F.col("_h.y").alias("hy"))
+    wide = sized.filter("_n > 2").drop("_n")
+    solid = wide.mapInPandas(partial, wide.schema).groupBy(*keys).applyInPandas(final, schema)
+    return solid.unionByName(plain)
 
 
 def strictly_inside(px: Column, py: Column, hx: Column, hy: Column, tol: float = TOLERANCE) -> Column:

@@ -95,7 +95,7 @@ def cell_pairs(left: DataFrame, cells: DataFrame, metric: Sequence[Axes], *, for
     ranges = [range(-r, r + 1) for axes in metric for r in [math.ceil(math.sqrt(len(axes.cols)))] * len(axes.cols)]
     zero = (0,) * len(ranges)
     offsets = [o for o in product(*ranges) if (o > zero if forward else o != zero)]
-    table = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o]) for o in offsets])
+    table = F.expr(f"array({', '.join('array(' + ', '.join(f'{v}L' for v in o) + ')' for o in offsets)})")
     around = left.select(F.struct("id", "n", "lo", "hi").alias("a"), "cell", F.explode(table).alias("_o"))
     around = around.withColumn("_there", F.zip_with("cell", "_o", lambda x, y: x + y)).drop("cell", "_o")
 

@@ -12,6 +12,7 @@ from amperic.functions.clock import DAY, corrected_time, epoch, slot
 from amperic.operators.ordered import neighbours, running, with_slice
 from amperic.session import stage
 
+# Order of a sensor's readings.
 ORDER = ("time", "event_id")
 
 
