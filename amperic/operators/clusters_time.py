@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amperic.functions.clock import DAY, iso_week
-from amperic.operators.kernels import merge_rounds
+from amperic.operators.kernels import merge_rounds, whole_groups
 from amperic.operators.ordered import count_within, islands, neighbours, running, with_slice
 from amperic.session import stage
 
@@ -89,15 +89,19 @@ def agglomerate_time(rows: DataFrame, t: str = "outage_time", *, max_gap: int =
     sized = nodes.join(sizes, run)
     plain = sized.filter("_times <= 2").select(F.col("t").alias(t), F.col("island").alias("cluster"), "cluster_time")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        group, centre = merge_rounds(pdf["t"].to_numpy(), pdf["_n"].to_numpy(), max_gap)
-        first = pdf["t"].groupby(group).transform("min")
-        return pd.DataFrame({t: pdf["t"], "cluster": first, "cluster_time": centre})
-
-    merged = sized.filter("_times > 2").select(*run, "t", "_n").groupBy(*run).applyInPandas(
-        solve, schema=f"{t} bigint, cluster bigint, cluster_time bigint"
-    )
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in whole_groups(batches, run):
+            times, copies = pdf["t"].to_numpy(), pdf["_n"].to_numpy()
+            first, centre = np.empty_like(times), np.empty_like(times)
+            for a, b in zip(starts, np.append(starts[1:], len(pdf))):
+                group, centre[a:b] = merge_rounds(times[a:b], copies[a:b], max_gap)
+                _, head, back = np.unique(group, return_index=True, return_inverse=True)
+                first[a:b] = times[a:b][head][back]
+            yield pd.DataFrame({t: times, "cluster": first, "cluster_time": centre})
+
+    wide = sized.filter("_times > 2").select(*run, "t", "_n")
+    wide = wide.repartition(*run).sortWithinPartitions(*run, "t")
+    merged = wide.mapInPandas(solve, f"{t} bigint, cluster bigint, cluster_time bigint")
     return rows.join(merged.unionByName(plain), t)
 
 
@@ -111,13 +115,13 @@ def neighbour_gaps(rows: DataFrame, t: str = "outage_time", *, width: int = DAY)
     counts = rows.groupBy(F.col(t)).agg(F.count("*").alias("rows")).withColumn("week", iso_week(F.col(t)))
     counts = with_slice(counts, F.col(t), width)
     one = neighbours(
-        counts,
+        stage(counts),
         [t],
         keys=["week"],
         previous={"lag1": t, "_lag_rows": "rows"},
         following={"lead1": t, "_lead_rows": "rows"},
     )
-    two = neighbours(one, [t], keys=["week"], previous={"_lag2": "lag1"}, following={"_lead2": "lead1"})
+    two = neighbours(stage(one), [t], keys=["week"], previous={"_lag2": "lag1"}, following={"_lead2": "lead1"})
     return two.select(
         "week",
         t,

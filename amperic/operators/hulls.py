@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from amperic.functions.geo import albers, utm
 from amperic.functions.scaling import percent
 from amperic.operators.clusters_time import NOISE
-from amperic.operators.kernels import hull_of
+from amperic.operators.kernels import hull_of, starts_of, whole_groups
 from amperic.operators.ordered import neighbours, with_slice
 from amperic.operators.snapshots import outage_minute
 from amperic.functions.clock import DAY
@@ -24,34 +25,39 @@ def convex_hulls(points: DataFrame, keys: Sequence[str], *, x: str = "location_l
     """Hull corners per key as arrays ``hx``, ``hy``, counter-clockwise.
 
     A hull of hulls is the hull. Every task first reduces each batch of its
-    distinct points to a partial hull, so a key of any size reaches its final
+    distinct points to partial hulls, so a key of any size reaches its final
     task as a few corners per batch.
     """
     keys = list(keys)
     spots = points.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).distinct()
+    # one or two places are their own hull
+    sized = spots.join(spots.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    ends = F.sort_array(F.collect_list(F.struct("x", "y")))
+    plain = sized.filter("_n <= 2").groupBy(*keys).agg(ends.alias("_h"))
+    plain = plain.select(*keys, F.col("_h.x").alias("hx"), F.col("_h.y").alias("hy"))
 
-    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[hull_of(pdf["x"].to_numpy(), pdf["y"].to_numpy(), tol)]
+    def corners(pdf: pd.DataFrame, starts: np.ndarray) -> list[np.ndarray]:
+        px, py = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        stops = np.append(starts[1:], len(pdf))
+        return [a + hull_of(px[a:b], py[a:b], tol) for a, b in zip(starts, stops)]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.concat([corners(g) for _, g in batch.groupby(keys, sort=False, dropna=False)] or [batch])
+        for pdf in batches:
+            pdf = pdf.sort_values(keys, ignore_index=True)
+            if len(pdf):
+                yield pdf.iloc[np.concatenate(corners(pdf, starts_of(pdf, keys)))]
 
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = corners(pdf)
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**row, "hx": [hull["x"].tolist()], "hy": [hull["y"].tolist()]})
+    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in whole_groups(batches, keys):
+            px, py = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+            at = corners(pdf, starts)
+            yield pdf[keys].iloc[starts].assign(hx=[px[i] for i in at], hy=[py[i] for i in at])
 
     types = {f.name: f.dataType.simpleString() for f in spots.schema}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", hx array<double>, hy array<double>"
-    # one or two places are their own hull
-    sized = spots.join(spots.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
-    ends = F.sort_array(F.collect_list(F.struct("x", "y")))
-    plain = sized.filter("_n <= 2").groupBy(*keys).agg(ends.alias("_h"))
-    plain = plain.select(*keys, F.col("_h.x").alias("hx"), F.col("_h.y").alias("hy"))
     wide = sized.filter("_n > 2").drop("_n")
-    solid = wide.mapInPandas(partial, wide.schema).groupBy(*keys).applyInPandas(final, schema)
-    return solid.unionByName(plain)
+    thin = wide.mapInPandas(partial, wide.schema).repartition(*keys).sortWithinPartitions(*keys)
+    return thin.mapInPandas(final, schema).unionByName(plain)
 
 
 def strictly_inside(px: Column, py: Column, hx: Column, hy: Column, tol: float = TOLERANCE) -> Column:

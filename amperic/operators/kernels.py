@@ -3,14 +3,45 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 
 # Executors need not have this package installed: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def starts_of(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """Row positions where a new key begins in a frame sorted by ``keys``."""
+    new = np.zeros(len(pdf), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Regroup sorted batches so that no key is cut: frames and their group starts.
+
+    One call handles many small groups, which a call per group would not.
+    """
+    rest = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        starts = starts_of(pdf, keys)
+        done, rest = pdf.iloc[: starts[-1]], pdf.iloc[starts[-1] :]
+        if len(done):
+            yield done, starts[:-1]
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True), np.array([0])
+
+
 def _gaps(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distance to the previous and the next element; infinite at the ends."""
     step = np.diff(at).astype(float)
