@@ -7,10 +7,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from amperic.functions.clock import DAY, iso_week
-from amperic.operators.kernels import merge_rounds, whole_groups
+from amperic.operators.kernels import merge_rounds, reach_back, whole_groups
 from amperic.operators.ordered import count_within, islands, neighbours, running, with_slice
 from amperic.session import stage
 
@@ -131,3 +132,69 @@ def neighbour_gaps(rows: DataFrame, t: str = "outage_time", *, width: int = DAY)
         "lag1",
         F.when(F.col("_lag_rows") > 1, F.col("lag1")).otherwise(F.col("_lag2")).alias("lag2"),
     )
+
+
+def optics_time(
+    rows: DataFrame,
+    t: str = "outage_time",
+    *,
+    max_eps: float = 0.7,
+    min_samples: int = 5,
+    period: int = 2 * DAY,
+    cut: float | None = None,
+) -> DataFrame:
+    """OPTICS of each ``period`` (from the first row on), in its own standard
+    deviations.
+
+    In one dimension, from the first time on, the next object is always the next
+    time: it is no farther from any processed object than a later one. So the
+    ordering is time order and what remains is the core distance (of the
+    ``min_samples``-th nearest row, itself included) and the reachability. A
+    period holds at most ``period`` distinct seconds, whatever its rows, and
+    copies of a second beyond ``min_samples`` cannot change a core distance.
+
+    One line per distinct second: ``period_no``, ``rows``, ``core_distance`` and
+    ``reachability`` (NULL past ``max_eps``), and ``label``: the clusters a
+    reachability cut leaves (``max_eps`` unless ``cut`` is given, in standard
+    deviations), named by their first second, noise -1.
+    """
+    start = rows.agg(F.min(t)).scalar()
+    placed = rows.withColumn("period_no", F.floor((F.col(t) - start) / period).cast("bigint"))
+    reach = placed.groupBy("period_no").agg(
+        (F.stddev_pop(t) * max_eps).alias("_eps"),
+        (F.stddev_pop(t) * (max_eps if cut is None else cut)).alias("_cut"),
+    )
+    counts = stage(placed.groupBy("period_no", t).agg(F.count("*").alias("rows")))
+
+    # at most period * min_samples rows per window
+    copies = counts.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("rows", F.lit(min_samples)))))
+    w = W.partitionBy("period_no").orderBy(t, "_copy")
+    blocks = [
+        F.greatest(F.col(t) - F.lag(t, j).over(w), F.lead(t, min_samples - 1 - j).over(w) - F.col(t))
+        for j in range(min_samples)
+    ]
+    whole = [F.lag(t, j).over(w).isNotNull() & F.lead(t, min_samples - 1 - j).over(w).isNotNull() for j in range(min_samples)]
+    core = F.least(*[F.when(ok, b) for ok, b in zip(whole, blocks)])
+    core = copies.withColumn("_core", core).groupBy("period_no", t).agg(F.min("_core").alias("_core"))
+    nodes = counts.join(core, ["period_no", t]).join(reach, "period_no")
+    nodes = nodes.withColumn("core_distance", F.when(F.col("_core") <= F.col("_eps"), F.col("_core").cast("double"))).drop("_core")
+
+    def look_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in whole_groups(batches, ["period_no"]):
+            found = np.empty(len(pdf))
+            for a, b in zip(starts, np.append(starts[1:], len(pdf))):
+                part = pdf.iloc[a:b]
+                found[a:b] = reach_back(part[t].to_numpy(), part["core_distance"].to_numpy(dtype=float), part["_eps"].iloc[0])
+            yield pdf.assign(reachability=found)
+
+    nodes = stage(nodes).repartition("period_no").sortWithinPartitions("period_no", t)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
+    nodes = nodes.mapInPandas(look_back, f"{types}, reachability double").withColumns(
+        {c: F.when(~F.isnan(c), F.col(c)) for c in ("core_distance", "reachability")}
+    )
+    by_time = W.partitionBy("period_no").orderBy(t).rowsBetween(W.unboundedPreceding, 0)
+    apart = F.coalesce(F.col("reachability") > F.col("_cut"), F.lit(True))
+    dense = F.coalesce(F.col("core_distance") <= F.col("_cut"), F.lit(False))
+    begun = F.max(F.when(apart & dense, F.col(t))).over(by_time)
+    label = F.when(apart & ~dense, F.lit(NOISE)).otherwise(begun)
+    return nodes.withColumn("label", label).select("period_no", t, "rows", "core_distance", "reachability", "label")

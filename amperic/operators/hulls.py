@@ -16,6 +16,7 @@ from amperic.operators.kernels import hull_of, starts_of, whole_groups
 from amperic.operators.ordered import neighbours, with_slice
 from amperic.operators.snapshots import outage_minute
 from amperic.functions.clock import DAY
+from amperic.session import stage
 
 # Cross products up to this size count as zero: points on one line.
 TOLERANCE = 1e-12
@@ -124,32 +125,64 @@ def percent_area_out(places: DataFrame) -> DataFrame:
     return per.withColumn("percent_area_out", percent(F.col("outage_m2"), F.col("powered_m2")))
 
 
-def powered_of_clusters(members: DataFrame, snapshot: DataFrame, *, label: str = "label", t: str = "outage_time") -> DataFrame:
-    """Sensors powered at some member's minute and not a member themselves.
+def _cluster_minutes(members: DataFrame, label: str, t: str) -> DataFrame:
+    return members.filter(F.col(label) != NOISE).select(label, outage_minute(t).alias("minute")).distinct()
 
-    One row per cluster and sensor, with the sensor's latest place.
+
+def powered_counts(members: DataFrame, snapshot: DataFrame, *, label: str = "label", t: str = "outage_time") -> DataFrame:
+    """Per cluster, the sensors powered at some member's minute that are no
+    members. Meant for clusters by time, where a minute belongs to one cluster."""
+    seen = _cluster_minutes(members, label, t).join(snapshot, "minute").select(label, "core_id").distinct()
+    others = seen.join(members.select(label, "core_id").distinct(), [label, "core_id"], "left_anti")
+    return others.groupBy(label).agg(F.count("*").alias("num_powered"))
+
+
+def powered_near(
+    members: DataFrame,
+    shapes: DataFrame,
+    snapshot: DataFrame,
+    *,
+    label: str = "label",
+    t: str = "outage_time",
+    cell_degrees: float = 0.03,
+) -> DataFrame:
+    """Powered sensors around each cluster, members left out: one row per cluster
+    and sensor with the sensor's latest place.
+
+    Sensors are found through the cells of the hull's bounding box at the
+    cluster's minutes, so clusters of one minute do not each meet all of its
+    sensors. Every sensor that can lie in a hull is found.
     """
-    rows = members.filter(F.col(label) != NOISE)
-    minutes = rows.select(label, outage_minute(t).alias("minute")).distinct()
-    seen = minutes.join(snapshot, "minute").groupBy(label, "core_id").agg(
+    def cell(c):
+        return F.floor(c / cell_degrees).cast("bigint")
+
+    def span(corners):
+        return F.explode(F.sequence(cell(F.array_min(corners)), cell(F.array_max(corners))))
+
+    boxes = shapes.select(label, span("hx").alias("_cx"), "hy").select(label, "_cx", span("hy").alias("_cy"))
+    minutes = stage(_cluster_minutes(members, label, t))
+    spots = snapshot.withColumns({"_cx": cell(F.col("location_longitude")), "_cy": cell(F.col("location_latitude"))})
+    near = minutes.join(boxes, label).join(spots, ["minute", "_cx", "_cy"]).select(label, "core_id").distinct()
+    near = near.join(members.select(label, "core_id").distinct(), [label, "core_id"], "left_anti")
+    return near.join(minutes, label).join(snapshot, ["minute", "core_id"]).groupBy(label, "core_id").agg(
         F.max_by("location_latitude", "minute").alias("location_latitude"),
         F.max_by("location_longitude", "minute").alias("location_longitude"),
     )
-    return seen.join(rows.select(label, "core_id").distinct(), [label, "core_id"], "left_anti")
 
 
-def powered_in_hull(members: DataFrame, powered: DataFrame, *, label: str = "label") -> DataFrame:
-    """Per cluster: size, powered sensors, distinct powered places strictly
-    inside the hull, and these in percent of themselves plus the members."""
+def powered_in_hull(members: DataFrame, snapshot: DataFrame, *, label: str = "label", t: str = "outage_time") -> DataFrame:
+    """Per cluster: size, distinct powered places strictly inside the hull, and
+    these in percent of themselves plus the members."""
     rows = members.filter(F.col(label) != NOISE)
     sizes = rows.groupBy(label).agg(F.count("*").alias("cluster_size"))
-    counts = powered.groupBy(label).agg(F.count("*").alias("num_powered"))
-    spots = powered.select(label, "location_longitude", "location_latitude").distinct()
-    inside = spots.join(convex_hulls(rows, [label]), label).filter(
+    shapes = stage(convex_hulls(rows, [label]))
+    spots = powered_near(rows, shapes, snapshot, label=label, t=t)
+    spots = spots.select(label, "location_longitude", "location_latitude").distinct()
+    inside = spots.join(shapes, label).filter(
         strictly_inside(F.col("location_longitude"), F.col("location_latitude"), F.col("hx"), F.col("hy"))
     )
     inside = inside.groupBy(label).agg(F.count("*").alias("powered_inside"))
-    out = sizes.join(counts, label, "left").join(inside, label, "left").fillna(0, ["num_powered", "powered_inside"])
+    out = sizes.join(inside, label, "left").fillna(0, ["powered_inside"])
     return out.withColumn(
         "percent_powered_inside",
         F.col("powered_inside") / (F.col("powered_inside") + F.col("cluster_size")) * 100,

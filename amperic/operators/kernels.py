@@ -142,3 +142,23 @@ def kernel_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, gx: np.ndarray
     kx = np.exp(-0.5 * ((gx[None, :] - x[:, None]) / hx) ** 2)
     ky = np.exp(-0.5 * ((gy[None, :] - y[:, None]) / hy) ** 2)
     return (kx * weight[:, None]).T @ ky
+
+
+def reach_back(t: np.ndarray, core: np.ndarray, max_eps: float) -> np.ndarray:
+    """Least ``max(core[j], t[i] - t[j])`` over earlier ``j`` within ``max_eps``.
+
+    ``t`` ascending; NaN in ``core`` marks no core. Looking back stops once the
+    gap alone is no better than what was found.
+    """
+    out = np.full(len(t), np.nan)
+    for i in range(1, len(t)):
+        best = np.inf
+        for j in range(i - 1, -1, -1):
+            gap = t[i] - t[j]
+            if gap > max_eps or gap >= best:
+                break
+            if core[j] == core[j]:
+                best = min(best, max(core[j], gap))
+        if best < np.inf:
+            out[i] = best
+    return out

@@ -48,7 +48,11 @@ def outages(readings: DataFrame, *, order: Sequence[str] = ORDER, width: int = D
     Neighbours are looked up among transitions only, so the off-transition a
     sensor starts with is no outage.
     """
-    edges = transitions(readings, order=order, width=width)
+    # staging stops column pruning, so only what is needed goes in
+    counters = ["is_powered", "millis", "last_unplug_millis", "last_plug_millis"]
+    places = [c for c in ("location_latitude", "location_longitude") if c in readings.columns]
+    wanted = dict.fromkeys(["core_id", "event_id", "time", *order, *counters, *places])
+    edges = transitions(readings.select(*wanted), order=order, width=width)
     edges = edges.withColumn(
         "outage_time", epoch(corrected_time(F.col("time"), F.col("millis"), F.col("last_unplug_millis")))
     ).withColumn("_plugged", epoch(corrected_time(F.col("time"), F.col("millis"), F.col("last_plug_millis"))))
@@ -66,7 +70,7 @@ def outages(readings: DataFrame, *, order: Sequence[str] = ORDER, width: int = D
         "time",
         "outage_time",
         "restore_time",
-        *[c for c in ("location_latitude", "location_longitude") if c in readings.columns],
+        *places,
     )
 
 

@@ -430,6 +430,34 @@ def agglomerate_summary(spark, sf_dir):
     )
 
 
+@query(None)
+def optics_time(spark, sf_dir):
+    rows = flows.outage_table(spark, sf_dir)
+    got = clusters_time.optics_time(rows, max_eps=0.2, min_samples=5, cut=0.1)
+    return got.select(
+        "period_no", "outage_time", F.col("rows").alias("n_rows"), "core_distance", "reachability", "label"
+    )
+
+
+ORACLES["optics_time"] = _with_extra(
+    "outs",
+    """
+, pts AS (SELECT outage_time AS t, (outage_time - (SELECT min(outage_time) FROM outs)) // 172800 AS p FROM outs),
+lim AS (SELECT p, 0.2 * stddev_pop(t) AS e, 0.1 * stddev_pop(t) AS c FROM pts GROUP BY 1),
+ranked AS (SELECT a.p, a.t, abs(a.t - b.t) AS d, row_number() OVER (PARTITION BY a.p, a.t ORDER BY abs(a.t - b.t)) AS r
+  FROM (SELECT DISTINCT p, t FROM pts) a JOIN pts b ON a.p = b.p),
+nodes AS (SELECT q.p, q.t, e, c, (SELECT count(*) FROM pts x WHERE x.t = q.t) AS n,
+    CASE WHEN d <= e THEN CAST(d AS DOUBLE) END AS core FROM (SELECT DISTINCT p, t FROM pts) q JOIN lim USING (p)
+  LEFT JOIN ranked r ON r.p = q.p AND r.t = q.t AND r.r = 5),
+reached AS (SELECT *, (SELECT min(greatest(j.core, q.t - j.t)) FROM nodes j
+    WHERE j.p = q.p AND j.t < q.t AND q.t - j.t <= q.e AND j.core IS NOT NULL) AS reach FROM nodes q)
+SELECT p AS period_no, t AS outage_time, n AS n_rows, core AS core_distance, reach AS reachability,
+  CASE WHEN coalesce(reach > c, TRUE) AND NOT coalesce(core <= c, FALSE) THEN -1
+    ELSE max(CASE WHEN coalesce(reach > c, TRUE) AND coalesce(core <= c, FALSE) THEN t END)
+      OVER (PARTITION BY p ORDER BY t) END AS label FROM reached""",
+)
+
+
 @query(
     """SELECT CAST(week AS BIGINT) AS week, t AS outage_time, count(*) AS n_rows,
   arg_max(lead1, rn) AS lead1, arg_max(lead2, rn) AS lead2, arg_min(lag1, rn) AS lag1, arg_min(lag2, rn) AS lag2
@@ -670,17 +698,18 @@ def readings_in_cluster_interval(spark, sf_dir):
     )
 
 
-def _in_hull(spark, sf_dir):
-    members = flows.labelled(spark, sf_dir)
-    powered = hulls.powered_of_clusters(members, flows.snapshot(spark, sf_dir))
-    return hulls.powered_in_hull(members, stage(powered))
+def _hull_members(spark, sf_dir):
+    return flows.labelled(spark, sf_dir), stage(flows.snapshot(spark, sf_dir))
 
 
 @query(
     """SELECT label, cluster_size, num_powered, powered_inside, round(percent_powered_inside, 6) AS percent_powered_inside FROM in_hull"""
 )
 def powered_in_hull(spark, sf_dir):
-    return _in_hull(spark, sf_dir).select(
+    members, snap = _hull_members(spark, sf_dir)
+    counts = hulls.powered_counts(members, snap)
+    inside = hulls.powered_in_hull(members, snap).join(counts, "label", "left").fillna(0, ["num_powered"])
+    return inside.select(
         "label", "cluster_size", "num_powered", "powered_inside", rnd("percent_powered_inside").alias("percent_powered_inside")
     )
 
@@ -689,7 +718,7 @@ def powered_in_hull(spark, sf_dir):
     """SELECT cluster_size, count(*) AS clusters, round(avg(percent_powered_inside), 6) AS mean_percent FROM in_hull GROUP BY 1"""
 )
 def hull_percent_by_size(spark, sf_dir):
-    return _in_hull(spark, sf_dir).groupBy("cluster_size").agg(
+    return hulls.powered_in_hull(*_hull_members(spark, sf_dir)).groupBy("cluster_size").agg(
         F.count("*").alias("clusters"), rnd(F.avg("percent_powered_inside")).alias("mean_percent")
     )
 
