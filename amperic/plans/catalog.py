@@ -411,25 +411,76 @@ def agglomerate_runs(spark, sf_dir):
 
 @query(None)
 def agglomerate_time(spark, sf_dir):
-    """Cluster of each outage; the merge rounds have no SQL form."""
     rows = clusters_time.agglomerate_time(flows.outage_table(spark, sf_dir))
     return rows.select("event_id", "core_id", "outage_time", "cluster", "cluster_time")
 
 
+# One row per group and round; pruned groups are final and leave the recursion.
+_ROUNDS = """
+, merged(round, grp, c, ids, first_t, s, n, fin) AS (
+  SELECT 0, event_id, outage_time, [event_id], outage_time, CAST(outage_time AS HUGEINT), CAST(1 AS HUGEINT), FALSE FROM outs
+  UNION ALL
+  SELECT round + 1, min(grp), CAST(sum(s) // sum(n) AS BIGINT), flatten(list(ids)), min(first_t), sum(s), sum(n), alone
+  FROM (SELECT *, CASE WHEN alone THEN NULL
+      WHEN up < {gap} AND coalesce(up <= up2, TRUE) AND coalesce(up <= down, TRUE) THEN next_c
+      WHEN down < {gap} AND coalesce(down <= down2, TRUE) AND coalesce(down <= up, TRUE) THEN c END AS meet
+    FROM (SELECT *, lead(c) OVER w AS next_c, lead(c) OVER w - c AS up, lead(c, 2) OVER w - lead(c) OVER w AS up2,
+        c - lag(c) OVER w AS down, lag(c) OVER w - lag(c, 2) OVER w AS down2
+      FROM (SELECT *, coalesce(lead(c) OVER v - c >= {gap}, TRUE) AND coalesce(c - lag(c) OVER v >= {gap}, TRUE) AS alone
+        FROM (SELECT *, weekofyear(make_timestamp(c * 1000000)) AS week FROM merged WHERE NOT fin)
+        WINDOW v AS (PARTITION BY week ORDER BY c, grp))
+      WINDOW w AS (PARTITION BY week, alone ORDER BY c, grp)))
+  GROUP BY round, alone, meet, CASE WHEN meet IS NULL THEN grp END),
+agglo AS (SELECT unnest(ids) AS event_id, first_t AS cluster, c AS cluster_time FROM merged WHERE fin)"""
+ORACLES["agglomerate_time"] = _with_extra(
+    "outs",
+    _ROUNDS.format(gap=180)
+    + "\nSELECT event_id, core_id, outage_time, cluster, cluster_time FROM agglo JOIN outs USING (event_id)",
+)
+
+
+@query(None)
+def agglomerate_time_600(spark, sf_dir):
+    """The same with a wider gap, where rounds matter more."""
+    rows = clusters_time.agglomerate_time(flows.outage_table(spark, sf_dir), max_gap=600)
+    return rows.select("event_id", "cluster", "cluster_time")
+
+
+ORACLES["agglomerate_time_600"] = _with_extra(
+    "outs", _ROUNDS.format(gap=600) + "\nSELECT event_id, cluster, cluster_time FROM agglo"
+)
+
+
 @query(None)
 def agglomerate_summary(spark, sf_dir):
+    """Cluster table with the population of the day of the cluster's time."""
     rows = stage(clusters_time.agglomerate_time(flows.outage_table(spark, sf_dir)))
+    centre = rows.select("cluster", "cluster_time").distinct()
     per = summary.cluster_summary(rows, label="cluster")
     people = population.population(flows.located_readings(spark, sf_dir))
-    per = population.with_population(per.drop("sensors_reporting"), people, t="min_time", how="inner")
-    per = rel.relative_sizes(per)
+    per = per.drop("sensors_reporting", "cluster_size").join(centre, "cluster")
+    per = population.with_population(per, people, t="cluster_time", how="inner")
+    per = rel.relative_sizes(per.withColumnRenamed("sensors", "cluster_size"))
     return per.select(
-        "cluster", "sensors", "time_range", rnd("time_stddev", 4).alias("outage_times_stddev"),
+        "cluster", "cluster_time", "cluster_size", "time_range", rnd("time_stddev", 4).alias("outage_times_stddev"),
         rnd("other_mean", 3).alias("restore_times_mean"), "other_range", rnd("other_stddev", 4).alias("restore_times_stddev"),
-        "sensors_reporting", rnd("relative_cluster_size").alias("relative_cluster_size"),
+        big("sensors_reporting").alias("sensors_reporting"), rnd("relative_cluster_size").alias("relative_cluster_size"),
     )
 
 
+ORACLES["agglomerate_summary"] = _with_extra(
+    "outs, outs_people",
+    _ROUNDS.format(gap=180)
+    + """
+SELECT cluster, cluster_time, count(DISTINCT core_id) AS cluster_size, max(outage_time) - min(outage_time) AS time_range,
+  round(stddev_pop(outage_time), 4) AS outage_times_stddev, round(avg(restore_time), 3) AS restore_times_mean,
+  max(restore_time) - min(restore_time) AS other_range, round(stddev_pop(restore_time), 4) AS restore_times_stddev,
+  any_value(p.sensors_reporting) AS sensors_reporting,
+  round(count(DISTINCT core_id) / CAST(any_value(p.sensors_reporting) AS DOUBLE), 6) AS relative_cluster_size
+FROM agglo JOIN outs USING (event_id) JOIN outs_people p ON p.day_no = cluster_time // 86400 GROUP BY 1, 2""",
+)
+
+
 @query(None)
 def optics_time(spark, sf_dir):
     rows = flows.outage_table(spark, sf_dir)
