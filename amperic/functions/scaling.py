@@ -11,15 +11,23 @@ from pyspark.sql import functions as F
 def zscore(df: DataFrame, cols: Sequence[str], weights: Mapping[str, float] | None = None, prefix: str = "z_") -> DataFrame:
     """Add ``(x - mean) / population std`` per column, times its weight.
 
-    A constant column becomes 0. The two moments arrive as one-row scalar
-    subqueries, so no row is sent to the driver.
+    A constant column becomes 0. All moments arrive as one one-row scalar
+    subquery, so no row is sent to the driver and the table is read once for them.
     """
     weights = weights or {}
-    for name in cols:
-        moments = df.agg(F.struct(F.avg(name).alias("mean"), F.stddev_pop(name).alias("std"))).scalar()
-        scaled = F.when(moments["std"] == 0, F.lit(0.0)).otherwise((F.col(name) - moments["mean"]) / moments["std"])
-        df = df.withColumn(prefix + name, scaled * F.lit(float(weights.get(name, 1.0))))
-    return df
+    moments = df.agg(
+        F.struct(
+            *[F.avg(c).alias(f"mean{i}") for i, c in enumerate(cols)],
+            *[F.stddev_pop(c).alias(f"std{i}") for i, c in enumerate(cols)],
+        )
+    ).scalar()
+
+    def scaled(i, name):
+        mean, std = moments[f"mean{i}"], moments[f"std{i}"]
+        z = F.when(std == 0, F.lit(0.0)).otherwise((F.col(name) - mean) / std)
+        return z * F.lit(float(weights.get(name, 1.0)))
+
+    return df.withColumns({prefix + name: scaled(i, name) for i, name in enumerate(cols)})
 
 
 def scaled_eps(df: DataFrame, col: str, eps: float) -> float:

@@ -96,22 +96,21 @@ def cell_pairs(left: DataFrame, cells: DataFrame, metric: Sequence[Axes], *, for
     zero = (0,) * len(ranges)
     offsets = [o for o in product(*ranges) if (o > zero if forward else o != zero)]
     table = F.expr(f"array({', '.join('array(' + ', '.join(f'{v}L' for v in o) + ')' for o in offsets)})")
-    around = left.select(F.struct("id", "n", "lo", "hi").alias("a"), "cell", F.explode(table).alias("_o"))
-    around = around.withColumn("_there", F.zip_with("cell", "_o", lambda x, y: x + y)).drop("cell", "_o")
+    around = left.select(
+        F.struct("id", "n", "lo", "hi").alias("a"), F.col("cell").alias("left_cell"), F.explode(table).alias("_o")
+    )
+    around = around.withColumn("right_cell", F.zip_with("left_cell", "_o", lambda x, y: x + y)).drop("_o")
 
-    there = F.col("_there")
+    there = F.col("right_cell")
     slack = [Axes(axes.cols, axes.eps * (1 + 1e-6)) for axes in metric]
     sides = _sides(metric)
     floor = [there[i] * sides[i] for i in range(len(sides))]
     ceil = [(there[i] + 1) * sides[i] for i in range(len(sides))]
     around = around.filter(_dist(slack, _gap(F.col("a.lo"), F.col("a.hi"), floor, ceil)))
 
-    other = cells.select(F.col("cell").alias("_there"), F.struct("id", "n", "lo", "hi").alias("b"))
-    met = around.join(other, "_there")
-    return met.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), "a", "b",
-                      # cell the right box was made from, and of the left one
-                      F.col("_there").alias("right_cell")).join(
-        left.select(F.col("id").alias("left_id"), F.col("cell").alias("left_cell")), "left_id"
+    other = cells.select(F.col("cell").alias("right_cell"), F.struct("id", "n", "lo", "hi").alias("b"))
+    return around.join(other, "right_cell").select(
+        F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), "a", "b", "left_cell", "right_cell"
     )
 
 

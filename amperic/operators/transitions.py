@@ -16,7 +16,36 @@ from amperic.session import stage
 ORDER = ("time", "event_id")
 
 
-def transitions(readings: DataFrame, *, order: Sequence[str] = ORDER, width: int = DAY) -> DataFrame:
+# Readings of one sensor and day above which the day is cut further.
+DAY_ROWS = 5_000_000
+
+
+def _sensor_days(readings: DataFrame, width: int, day_rows: int) -> DataFrame:
+    """Adds ``_day`` and ``_part``, which a scan may treat as one task's work.
+
+    A sensor-day with more than ``day_rows`` readings loses its exact copies,
+    which cannot change a state, and is cut into parts by time of day. The list
+    of such days is at most all rows over ``day_rows`` long.
+    """
+    rows = readings.withColumn("_day", slot(epoch(F.col("time")), width))
+    hot = rows.groupBy("core_id", "_day").agg(F.count("*").alias("_n")).filter(F.col("_n") > day_rows)
+    hot = stage(hot.select("core_id", "_day", F.ceil(F.col("_n") / day_rows).alias("_cuts")))
+    found = hot.count()
+    if not found:
+        return rows.withColumn("_part", F.lit(0).cast("bigint"))
+    if found <= 1_000_000:  # counted: some tens of megabytes
+        hot = F.broadcast(hot)
+    marked = rows.join(hot, ["core_id", "_day"], "left")
+    into = F.pmod(F.unix_micros("time"), F.lit(width * 1_000_000)) / F.lit(width * 1_000_000)
+    calm = marked.filter("_cuts is null").withColumn("_part", F.lit(0).cast("bigint"))
+    busy = marked.filter("_cuts is not null").dropDuplicates()
+    busy = busy.withColumn("_part", F.floor(into * F.col("_cuts")).cast("bigint"))
+    return calm.unionByName(busy).drop("_cuts")
+
+
+def transitions(
+    readings: DataFrame, *, order: Sequence[str] = ORDER, width: int = DAY, day_rows: int = DAY_ROWS
+) -> DataFrame:
     """Readings whose power state differs from the sensor's previous reading.
 
     The first reading of a sensor and readings next to an unknown state are no
@@ -24,15 +53,15 @@ def transitions(readings: DataFrame, *, order: Sequence[str] = ORDER, width: int
     only the transitions and the two border rows of each sensor-day stay. They
     are staged, and the border rows find their predecessor among them.
     """
-    rows = readings.withColumn("_day", slot(epoch(F.col("time")), width)).repartition("core_id", "_day")
-    w = W.partitionBy("core_id", "_day").orderBy(*order)
+    rows = _sensor_days(readings, width, day_rows).repartition("core_id", "_day", "_part")
+    w = W.partitionBy("core_id", "_day", "_part").orderBy(*order)
     rows = (
         rows.withColumn("_before", F.lag("is_powered").over(w))
         .withColumn("_opens", F.lag(F.lit(1)).over(w).isNull())
         .withColumn("_closes", F.lead(F.lit(1)).over(w).isNull())
     )
     changed = F.coalesce(F.col("_before") != F.col("is_powered"), F.lit(False))
-    kept = stage(rows.filter(changed | F.col("_opens") | F.col("_closes")).drop("_day"))
+    kept = stage(rows.filter(changed | F.col("_opens") | F.col("_closes")).drop("_day", "_part"))
 
     kept = with_slice(kept, epoch(F.col("time")), 30 * width)
     kept = neighbours(kept, order, keys=["core_id"], previous={"_last_state": "is_powered"})
@@ -40,7 +69,9 @@ def transitions(readings: DataFrame, *, order: Sequence[str] = ORDER, width: int
     return kept.filter(before != F.col("is_powered")).select(*readings.columns)
 
 
-def outages(readings: DataFrame, *, order: Sequence[str] = ORDER, width: int = DAY) -> DataFrame:
+def outages(
+    readings: DataFrame, *, order: Sequence[str] = ORDER, width: int = DAY, day_rows: int = DAY_ROWS
+) -> DataFrame:
     """One row per outage: an off-transition between two on-transitions.
 
     ``outage_time`` is when the plug edge went down by the device clock, and
@@ -52,7 +83,7 @@ def outages(readings: DataFrame, *, order: Sequence[str] = ORDER, width: int = D
     counters = ["is_powered", "millis", "last_unplug_millis", "last_plug_millis"]
     places = [c for c in ("location_latitude", "location_longitude") if c in readings.columns]
     wanted = dict.fromkeys(["core_id", "event_id", "time", *order, *counters, *places])
-    edges = transitions(readings.select(*wanted), order=order, width=width)
+    edges = transitions(readings.select(*wanted), order=order, width=width, day_rows=day_rows)
     edges = edges.withColumn(
         "outage_time", epoch(corrected_time(F.col("time"), F.col("millis"), F.col("last_unplug_millis")))
     ).withColumn("_plugged", epoch(corrected_time(F.col("time"), F.col("millis"), F.col("last_plug_millis"))))

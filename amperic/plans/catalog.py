@@ -594,6 +594,38 @@ def saifi(spark, sf_dir):
     return got.select("members", "clusters", "sensors", rnd("saifi", 8).alias("saifi"))
 
 
+@query(None)
+def saifi_by_method(spark, sf_dir):
+    """The index of three clusterings; agglomerated groups of one do not count."""
+    rows = flows.outage_table(spark, sf_dir)
+    merged = stage(clusters_time.agglomerate_time(rows))
+    several = merged.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")
+    found = {
+        "time": clusters_time.dbscan_time(rows, eps=90),
+        "merged": merged.join(several, "cluster").withColumn("label", F.col("cluster")),
+        "space and time": clusters_space.st_dbscan(rows, spatial_eps=0.03, temporal_eps=3600),
+    }
+    everyone = flows.located_readings(spark, sf_dir)
+    parts = [
+        rel.saifi(df, everyone).select(F.lit(method).alias("method"), "members", "clusters", rnd("saifi", 8).alias("saifi"))
+        for method, df in found.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+ORACLES["saifi_by_method"] = _with_extra(
+    "outs, out90, stm, located",
+    _ROUNDS.format(gap=180)
+    + """
+SELECT method, count(*) AS members, count(DISTINCT label) AS clusters,
+  round(count(*) / CAST(count(DISTINCT label) * (SELECT count(DISTINCT core_id) FROM located) AS DOUBLE), 8) AS saifi
+FROM (SELECT 'time' AS method, label FROM out90 WHERE label <> -1
+  UNION ALL SELECT 'space and time', label FROM stm
+  UNION ALL SELECT 'merged', cluster FROM (SELECT cluster, count(*) OVER (PARTITION BY cluster) AS n FROM agglo) WHERE n > 1)
+GROUP BY 1""",
+)
+
+
 @query(
     """SELECT count(*) AS clusters, round(sum(lasts * n) / avg(people), 4) AS saidi
 FROM (SELECT avg(restore_time) - avg(outage_time) AS lasts, count(*) AS n, floor(avg(sensors_reporting)) AS people FROM outm GROUP BY label)"""
@@ -754,7 +786,7 @@ def _hull_members(spark, sf_dir):
 
 
 @query(
-    """SELECT label, cluster_size, num_powered, powered_inside, round(percent_powered_inside, 6) AS percent_powered_inside FROM in_hull"""
+    """SELECT label, cluster_size, num_powered, powered_inside, round(percent_powered_inside, 6) AS percent_powered_inside FROM out_in_hull"""
 )
 def powered_in_hull(spark, sf_dir):
     members, snap = _hull_members(spark, sf_dir)
@@ -766,7 +798,7 @@ def powered_in_hull(spark, sf_dir):
 
 
 @query(
-    """SELECT cluster_size, count(*) AS clusters, round(avg(percent_powered_inside), 6) AS mean_percent FROM in_hull GROUP BY 1"""
+    """SELECT cluster_size, count(*) AS clusters, round(avg(percent_powered_inside), 6) AS mean_percent FROM out_in_hull GROUP BY 1"""
 )
 def hull_percent_by_size(spark, sf_dir):
     return hulls.powered_in_hull(*_hull_members(spark, sf_dir)).groupBy("cluster_size").agg(
@@ -774,6 +806,17 @@ def hull_percent_by_size(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT label, cluster_size, powered_inside, round(percent_powered_inside, 6) AS percent_powered_inside FROM st_in_hull"""
+)
+def st_dbscan_in_hull(spark, sf_dir):
+    """Hulls of clusters that share their minutes with others."""
+    rows = stage(clusters_space.st_dbscan(flows.outage_table(spark, sf_dir), spatial_eps=0.03, temporal_eps=3600))
+    return hulls.powered_in_hull(rows, stage(flows.snapshot(spark, sf_dir))).select(
+        "label", "cluster_size", "powered_inside", rnd("percent_powered_inside").alias("percent_powered_inside")
+    )
+
+
 def _ring(x: tuple[str, str], y: tuple[str, str]) -> str:
     return f"abs(sum({x[0]} * {y[1]} - {x[1]} * {y[0]})) / 2"
 

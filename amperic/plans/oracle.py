@@ -19,10 +19,12 @@ def block(name: str, text: str) -> None:
 
 def check(body: str) -> str:
     wanted: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for word in dict.fromkeys(re.findall(r"[a-z_0-9]+", text)):
-            if word in BLOCKS and word not in wanted:
+            if word in BLOCKS and word not in seen:
+                seen.add(word)
                 visit(BLOCKS[word])
                 if word not in wanted:
                     wanted.append(word)
@@ -293,42 +295,65 @@ SELECT p.*, sqrt(pow(lon_2 - lon_1, 2) + pow(lat_2 - lat_1, 2)) AS degrees,
     AND epoch_us(e.st) <= p.t * 1000000 AND p.t * 1000000 <= epoch_us(e.et)) AS grid_distance
 FROM pairs p""",
 )
-block("out_pts", "SELECT DISTINCT label, location_longitude AS x, location_latitude AS y FROM outm")
-hull_edges("out_pts", "label", "out_hull")
 block("spot_pts", "SELECT DISTINCT minute, kind, lon AS x, lat AS y FROM spots")
 hull_edges("spot_pts", "minute, kind", "spot_hull")
-block(
-    "on_members",
-    """
+
+
+def hull_blocks(name: str, members: str) -> None:
+    """Hulls of a clustering and the powered places inside, as ``{name}_in_hull``."""
+    block(f"{name}_pts", f"SELECT DISTINCT label, location_longitude AS x, location_latitude AS y FROM {members}")
+    hull_edges(f"{name}_pts", "label", f"{name}_hull")
+    block(
+        f"{name}_powered",
+        f"""
 SELECT label, core_id, arg_max(lat, s.minute) AS y, arg_max(lon, s.minute) AS x
-FROM (SELECT DISTINCT label, outage_time // 60 * 60 AS minute FROM outm) m JOIN snap s USING (minute)
-WHERE NOT EXISTS (SELECT 1 FROM outm o WHERE o.label = m.label AND o.core_id = s.core_id) GROUP BY 1, 2""",
-)
-block(
-    "on_inside",
-    """
-SELECT label, count(*) AS n FROM (SELECT DISTINCT label, x, y FROM on_members) p
+FROM (SELECT DISTINCT label, outage_time // 60 * 60 AS minute FROM {members}) m JOIN snap s USING (minute)
+WHERE NOT EXISTS (SELECT 1 FROM {members} o WHERE o.label = m.label AND o.core_id = s.core_id) GROUP BY 1, 2""",
+    )
+    block(
+        f"{name}_inside",
+        f"""
+SELECT label, count(*) AS n FROM (SELECT DISTINCT label, x, y FROM {name}_powered) p
 WHERE CASE
-  WHEN EXISTS (SELECT 1 FROM out_hull h WHERE h.label = p.label AND h.solid) THEN NOT EXISTS (
-    SELECT 1 FROM out_hull h WHERE h.label = p.label
+  WHEN EXISTS (SELECT 1 FROM {name}_hull h WHERE h.label = p.label AND h.solid) THEN NOT EXISTS (
+    SELECT 1 FROM {name}_hull h WHERE h.label = p.label
       AND (h.ex - h.sx) * (p.y - h.sy) - (h.ey - h.sy) * (p.x - h.sx) <= 1e-12)
-  WHEN EXISTS (SELECT 1 FROM out_hull h WHERE h.label = p.label) THEN EXISTS (
-    SELECT 1 FROM out_hull h WHERE h.label = p.label
+  WHEN EXISTS (SELECT 1 FROM {name}_hull h WHERE h.label = p.label) THEN EXISTS (
+    SELECT 1 FROM {name}_hull h WHERE h.label = p.label
       AND abs((h.ex - h.sx) * (p.y - h.sy) - (h.ey - h.sy) * (p.x - h.sx)) <= 1e-12
       AND (p.x - h.sx) * (h.ex - h.sx) + (p.y - h.sy) * (h.ey - h.sy) > 1e-12
       AND (p.x - h.ex) * (h.sx - h.ex) + (p.y - h.ey) * (h.sy - h.ey) > 1e-12)
-  ELSE EXISTS (SELECT 1 FROM out_pts o WHERE o.label = p.label AND o.x = p.x AND o.y = p.y) END
+  ELSE EXISTS (SELECT 1 FROM {name}_pts o WHERE o.label = p.label AND o.x = p.x AND o.y = p.y) END
 GROUP BY 1""",
+    )
+    block(
+        f"{name}_in_hull",
+        f"""
+SELECT label, cluster_size, coalesce(np, 0) AS num_powered, coalesce(n, 0) AS powered_inside,
+  coalesce(n, 0) / CAST(coalesce(n, 0) + cluster_size AS DOUBLE) * 100 AS percent_powered_inside
+FROM (SELECT label, count(*) AS cluster_size FROM {members} GROUP BY 1)
+LEFT JOIN (SELECT label, count(*) AS np FROM {name}_powered GROUP BY 1) USING (label)
+LEFT JOIN {name}_inside USING (label)""",
+    )
+
+
+hull_blocks("out", "outm")
+block(
+    "st_near",
+    """
+SELECT a.event_id AS a, b.event_id AS b FROM outs a JOIN outs b ON abs(a.outage_time - b.outage_time) <= 3600
+  AND (a.location_longitude - b.location_longitude) * (a.location_longitude - b.location_longitude)
+    + (a.location_latitude - b.location_latitude) * (a.location_latitude - b.location_latitude)
+    <= CAST(0.03 AS DOUBLE) * CAST(0.03 AS DOUBLE)""",
 )
+block("st_reach", "SELECT a, a AS b FROM st_near UNION SELECT r.a, n.b FROM st_reach r JOIN st_near n ON r.b = n.a")
 block(
-    "in_hull",
+    "stm",
     """
-SELECT label, cluster_size, coalesce(np, 0) AS num_powered, coalesce(n, 0) AS powered_inside,
-  coalesce(n, 0) / CAST(coalesce(n, 0) + cluster_size AS DOUBLE) * 100 AS percent_powered_inside
-FROM (SELECT label, count(*) AS cluster_size FROM outm GROUP BY 1)
-LEFT JOIN (SELECT label, count(*) AS np FROM on_members GROUP BY 1) USING (label)
-LEFT JOIN on_inside USING (label)""",
+SELECT o.*, least AS label FROM outs o
+JOIN (SELECT a, min(b) AS least, count(*) AS n FROM st_reach GROUP BY 1) r ON r.a = o.event_id AND n > 1""",
 )
+hull_blocks("st", "stm")
 block(
     "summ",
     """

@@ -64,6 +64,16 @@ def test_slices_do_not_change_transitions(spark, width):
     assert 1006 in want_t
 
 
+def test_hot_sensor_days_are_cut(spark):
+    states = [True, True, False, False, None, True, False, True, True, False, False, True]
+    log = power_log(spark, states, step=5000)
+    want_t, want_o = ids(transitions(log)), ids(outages(log))
+    copies = log.unionByName(log).unionByName(log).unionByName(power_log(spark, [True, False, True], core=2))
+    for rows in (2, 3, 7):
+        assert [i for i in ids(transitions(copies, day_rows=rows)) if i < 2000] == want_t
+        assert [i for i in ids(outages(copies, day_rows=rows)) if i < 2000] == want_o
+
+
 def test_restore_time_is_the_next_transition(spark):
     row = outages(power_log(spark, [False, True, False, False, True])).first()
     assert (row.outage_time, row.restore_time) == (E0 + 120, E0 + 240)
