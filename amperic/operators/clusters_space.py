@@ -11,7 +11,7 @@ from amperic.functions.scaling import zscore
 from amperic.operators.clusters_time import NOISE
 from amperic.operators.components import components
 from amperic.operators.ordered import islands
-from amperic.operators.reach import Axes, boxes, cell, cell_pairs, columns, within_reach
+from amperic.operators.reach import BOX, Axes, boxes, cell, cell_pairs, columns, within_reach
 from amperic.operators.topology import prepared
 from amperic.session import stage
 
@@ -40,10 +40,10 @@ def dbscan(rows: DataFrame, metric: Sequence[Axes], min_samples: int, *, id_col:
     else:
         core = points
     cells = stage(cells)
-    linked = within_reach(cell_pairs(cells, cells, metric, forward=True), core, core, metric)
+    linked = within_reach(cell_pairs(cells, cells, metric, forward=True), core, core, metric, merge=True)
     roots = components(linked, a="left_id", b="right_id")
     placed = cells.join(roots, F.col("id") == F.col("node"), "left").select(
-        "cell", "id", "n", "lo", "hi", F.coalesce("root", "id").alias(label)
+        "cell", *BOX, F.coalesce("root", "id").alias(label)
     )
 
     if min_samples <= 2:
@@ -65,7 +65,9 @@ def dbscan(rows: DataFrame, metric: Sequence[Axes], min_samples: int, *, id_col:
 
 def _as_boxes(points: DataFrame, names: Sequence[str]) -> DataFrame:
     at = F.array(*[F.col(c) for c in names])
-    return points.select("cell", F.col("pid").alias("id"), "n", at.alias("lo"), at.alias("hi"))
+    return points.select(
+        "cell", F.col("pid").alias("id"), "n", at.alias("lo"), at.alias("hi"), F.array(at).alias("ends")
+    )
 
 
 def _mark_core(points: DataFrame, cells: DataFrame, metric: Sequence[Axes], min_samples: int) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amperic.operators.reach import Axes, boxes, cell, split
+from amperic.operators.reach import BOX, Axes, boxes, cell, split
 from amperic.session import stage
 
+# Each ask keeps a handful of boxes, so coarse steps cost little and save rounds.
+FINER = 4
+
 
 def nearest_places(asks: DataFrame, places: DataFrame, *, x: str = "x", y: str = "y") -> DataFrame:
     """For each ``ask_id`` the ``place_id`` (all of them, on a tie) at the least
@@ -26,9 +29,9 @@ def nearest_places(asks: DataFrame, places: DataFrame, *, x: str = "x", y: str =
     size = max(edge[1] - edge[0], edge[3] - edge[2], 1e-9)
     metric = [Axes((x,), size), Axes((y,), size)]
     points = stage(places.select(F.col("place_id").alias("pid"), F.lit(1).alias("n"), x, y))
-    roots = boxes(points.withColumn("cell", cell(metric)), metric, ["cell"])
+    roots = boxes(points.withColumn("cell", cell(metric, 0, FINER)), metric, ["cell"])
     # at most four cells of this size touch the extent
-    roots = roots.select(F.col("cell").alias("right_cell"), F.struct("id", "n", "lo", "hi").alias("b"))
+    roots = roots.select(F.col("cell").alias("right_cell"), F.struct(*BOX).alias("b"))
     tops = roots.agg(F.collect_list(F.struct("right_cell", "b"))).scalar()
     frontier = asks.select("ask_id", x, y, F.explode(tops).alias("_t")).select("ask_id", x, y, "_t.*")
 
@@ -46,5 +49,5 @@ def nearest_places(asks: DataFrame, places: DataFrame, *, x: str = "x", y: str =
         frontier = frontier.join(bound, "ask_id").filter("_least <= _bound").drop("_least", "_bound")
         if frontier.filter("b.lo <> b.hi").isEmpty():
             return frontier.select("ask_id", F.col("b.id").alias("place_id"), F.sqrt("_most").alias("distance"))
-        frontier = split(frontier.drop("_most"), points, "b", "right", metric, level)
+        frontier = split(frontier.drop("_most"), points, "b", "right", metric, level, FINER)
         level += 1

@@ -16,9 +16,12 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from amperic.operators.components import components
 from amperic.session import stage
 
-SPLIT = 4  # finer cells per axis and level
+# Finer cells per axis and level. Two keep the pairs a split makes few where
+# points are dense and most pairs are settled one level down.
+SPLIT = 2
 
 
 @dataclass(frozen=True)
@@ -43,27 +46,33 @@ def _sides(metric: Sequence[Axes]) -> list[float]:
     return [axes.side for axes in metric for _ in axes.cols]
 
 
-def cell(metric: Sequence[Axes], level: int = 0) -> Column:
-    """Cell coordinates of a point; each level is ``SPLIT`` times finer."""
+def cell(metric: Sequence[Axes], level: int = 0, finer: int = SPLIT) -> Column:
+    """Cell coordinates of a point; each level is ``finer`` times finer."""
     return F.array(
         *[
-            F.floor(F.col(c) / F.lit(side / SPLIT**level)).cast("bigint")
+            F.floor(F.col(c) / F.lit(side / finer**level)).cast("bigint")
             for c, side in zip(columns(metric), _sides(metric))
         ]
     )
 
 
 def boxes(points: DataFrame, metric: Sequence[Axes], by: Sequence[str]) -> DataFrame:
-    """Bounding box (``lo``, ``hi``), point id and weight per group."""
+    """Bounding box (``lo``, ``hi``), point id and weight per group, with the
+    points that touch the box (``ends``, two per axis)."""
     names = columns(metric)
+    at = F.array(*names)
     return points.groupBy(*by).agg(
         F.min("pid").alias("id"),
         F.sum("n").alias("n"),
         F.array(*[F.min(c) for c in names]).alias("lo"),
         F.array(*[F.max(c) for c in names]).alias("hi"),
+        F.array(*[pick(at, c) for c in names for pick in (F.min_by, F.max_by)]).alias("ends"),
     )
 
 
+BOX = ("id", "n", "lo", "hi", "ends")
+
+
 def _dist(metric: Sequence[Axes], length) -> Column:
     """True where every axes group is within its reach, for per-axis lengths."""
     ok, i = F.lit(True), 0
@@ -88,7 +97,7 @@ def _span(a_lo, a_hi, b_lo, b_hi):
 def cell_pairs(left: DataFrame, cells: DataFrame, metric: Sequence[Axes], *, forward: bool) -> DataFrame:
     """Left boxes with the boxes of surrounding cells that may hold a neighbour.
 
-    ``left`` and ``cells`` have ``cell``, ``id``, ``n``, ``lo``, ``hi``. With
+    ``left`` and ``cells`` have ``cell`` and the fields of a box. With
     ``forward`` each pair of cells is met once. A surrounding cell beyond the
     reach of the left box is dropped before the join.
     """
@@ -97,7 +106,7 @@ def cell_pairs(left: DataFrame, cells: DataFrame, metric: Sequence[Axes], *, for
     offsets = [o for o in product(*ranges) if (o > zero if forward else o != zero)]
     table = F.expr(f"array({', '.join('array(' + ', '.join(f'{v}L' for v in o) + ')' for o in offsets)})")
     around = left.select(
-        F.struct("id", "n", "lo", "hi").alias("a"), F.col("cell").alias("left_cell"), F.explode(table).alias("_o")
+        F.struct(*BOX).alias("a"), F.col("cell").alias("left_cell"), F.explode(table).alias("_o")
     )
     around = around.withColumn("right_cell", F.zip_with("left_cell", "_o", lambda x, y: x + y)).drop("_o")
 
@@ -108,7 +117,7 @@ def cell_pairs(left: DataFrame, cells: DataFrame, metric: Sequence[Axes], *, for
     ceil = [(there[i] + 1) * sides[i] for i in range(len(sides))]
     around = around.filter(_dist(slack, _gap(F.col("a.lo"), F.col("a.hi"), floor, ceil)))
 
-    other = cells.select(F.col("cell").alias("right_cell"), F.struct("id", "n", "lo", "hi").alias("b"))
+    other = cells.select(F.col("cell").alias("right_cell"), F.struct(*BOX).alias("b"))
     return around.join(other, "right_cell").select(
         F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), "a", "b", "left_cell", "right_cell"
     )
@@ -121,23 +130,34 @@ def within_reach(
     metric: Sequence[Axes],
     *,
     count_to: int | None = None,
+    merge: bool = False,
 ) -> DataFrame:
     """Decide ``pairs`` of boxes (from :func:`cell_pairs`).
 
     Without ``count_to``: the ``(left_id, right_id)`` that hold at least one pair
-    of points within reach. With it (left boxes being single points): ``left_id``
+    of points within reach. With ``merge``, where both ids name cells, pairs whose
+    cells are already connected by other pairs are left out: the components are
+    those of all pairs. With ``count_to`` (left boxes being single points): ``left_id``
     and ``near``, the weight of right points within reach; exact below
     ``count_to``, and at least that where there are as many.
 
-    ``left_points`` is None where left boxes are single points. Every level
-    splits only boxes still undecided.
+    ``left_points`` is None where left boxes are single points. Two boxes are
+    linked at once when points on their edges are, which settles nearly all pairs
+    where points are dense. Every level splits only boxes still undecided.
     """
+    def touching(a, b):
+        near = lambda p, q: _dist(metric, lambda i: F.abs(p[i] - q[i]))
+        return F.exists(a["ends"], lambda p: F.exists(b["ends"], lambda q: near(p, q)))
+
     frontier = pairs.select("left_id", "right_id", "a", "b", "left_cell", "right_cell")
     found, level = None, 0
     while True:
         a, b = F.col("a"), F.col("b")
         box = (a["lo"], a["hi"], b["lo"], b["hi"])
-        judged = frontier.withColumn("_sure", _dist(metric, _span(*box))).filter(_dist(metric, _gap(*box)))
+        sure = _dist(metric, _span(*box))
+        if count_to is None:
+            sure = F.when(sure, F.lit(True)).otherwise(touching(a, b))
+        judged = frontier.filter(_dist(metric, _gap(*box))).withColumn("_sure", sure)
         judged = stage(judged)
         sure = judged.filter("_sure")
         if count_to is None:
@@ -150,6 +170,13 @@ def within_reach(
             break
         if count_to is None:
             open_ = open_.join(sure, ["left_id", "right_id"], "left_anti")
+            if merge:
+                found = stage(found)
+                root = components(found, a="left_id", b="right_id")
+                for side in ("left", "right"):
+                    name = root.select(F.col("node").alias(f"{side}_id"), F.col("root").alias(f"_{side}"))
+                    open_ = open_.join(name, f"{side}_id", "left")
+                open_ = open_.filter("_left is null or _right is null or _left <> _right").drop("_left", "_right")
         else:
             found = stage(found.groupBy("left_id").agg(F.sum("near").alias("near")))
             open_ = open_.join(found.filter(F.col("near") >= count_to), "left_id", "left_anti")
@@ -162,13 +189,15 @@ def within_reach(
     return found.distinct()
 
 
-def split(pairs: DataFrame, points: DataFrame, name: str, side: str, metric: Sequence[Axes], level: int) -> DataFrame:
+def split(
+    pairs: DataFrame, points: DataFrame, name: str, side: str, metric: Sequence[Axes], level: int, finer: int = SPLIT
+) -> DataFrame:
     """Replace one side's boxes by the boxes of the next finer cells."""
     key = f"{side}_cell"
     wanted = pairs.select(F.col(key).alias("_cell")).distinct()
-    inside = points.withColumn("_cell", cell(metric, level)).join(wanted, "_cell")
-    finer = boxes(inside.withColumn("_finer", cell(metric, level + 1)), metric, ["_cell", "_finer"])
-    finer = finer.select(
-        F.col("_cell").alias(key), F.col("_finer"), F.struct("id", "n", "lo", "hi").alias("_box")
+    inside = points.withColumn("_cell", cell(metric, level, finer)).join(wanted, "_cell")
+    parts = boxes(inside.withColumn("_finer", cell(metric, level + 1, finer)), metric, ["_cell", "_finer"])
+    parts = parts.select(
+        F.col("_cell").alias(key), F.col("_finer"), F.struct(*BOX).alias("_box")
     )
-    return pairs.drop(name).join(finer, key).drop(key).withColumnsRenamed({"_finer": key, "_box": name})
+    return pairs.drop(name).join(parts, key).drop(key).withColumnsRenamed({"_finer": key, "_box": name})
