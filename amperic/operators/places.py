@@ -29,7 +29,7 @@ def nearest_places(asks: DataFrame, places: DataFrame, *, x: str = "x", y: str =
     size = max(edge[1] - edge[0], edge[3] - edge[2], 1e-9)
     metric = [Axes((x,), size), Axes((y,), size)]
     points = stage(places.select(F.col("place_id").alias("pid"), F.lit(1).alias("n"), x, y))
-    roots = boxes(points.withColumn("cell", cell(metric, 0, FINER)), metric, ["cell"])
+    roots = boxes(points.withColumn("cell", cell(metric, 0, FINER)), metric, ["cell"], edges=False)
     # at most four cells of this size touch the extent
     roots = roots.select(F.col("cell").alias("right_cell"), F.struct(*BOX).alias("b"))
     tops = roots.agg(F.collect_list(F.struct("right_cell", "b"))).scalar()
@@ -49,5 +49,5 @@ def nearest_places(asks: DataFrame, places: DataFrame, *, x: str = "x", y: str =
         frontier = frontier.join(bound, "ask_id").filter("_least <= _bound").drop("_least", "_bound")
         if frontier.filter("b.lo <> b.hi").isEmpty():
             return frontier.select("ask_id", F.col("b.id").alias("place_id"), F.sqrt("_most").alias("distance"))
-        frontier = split(frontier.drop("_most"), points, "b", "right", metric, level, FINER)
+        frontier = split(frontier.drop("_most"), points, "b", "right", metric, level, FINER, edges=False)
         level += 1

@@ -56,18 +56,21 @@ def cell(metric: Sequence[Axes], level: int = 0, finer: int = SPLIT) -> Column:
     )
 
 
-def boxes(points: DataFrame, metric: Sequence[Axes], by: Sequence[str]) -> DataFrame:
+def boxes(points: DataFrame, metric: Sequence[Axes], by: Sequence[str], edges: bool = True) -> DataFrame:
     """Bounding box (``lo``, ``hi``), point id and weight per group, with the
-    points that touch the box (``ends``, two per axis)."""
+    points that touch the box (``ends``, two per axis; none without ``edges``)."""
     names = columns(metric)
     at = F.array(*names)
-    return points.groupBy(*by).agg(
+    box = [
         F.min("pid").alias("id"),
         F.sum("n").alias("n"),
         F.array(*[F.min(c) for c in names]).alias("lo"),
         F.array(*[F.max(c) for c in names]).alias("hi"),
-        F.array(*[pick(at, c) for c in names for pick in (F.min_by, F.max_by)]).alias("ends"),
-    )
+    ]
+    if edges:
+        ends = F.array(*[pick(at, c) for c in names for pick in (F.min_by, F.max_by)])
+        return points.groupBy(*by).agg(*box, ends.alias("ends"))
+    return points.groupBy(*by).agg(*box).withColumn("ends", F.lit(None).cast("array<array<double>>"))
 
 
 BOX = ("id", "n", "lo", "hi", "ends")
@@ -180,7 +183,7 @@ def within_reach(
         else:
             found = stage(found.groupBy("left_id").agg(F.sum("near").alias("near")))
             open_ = open_.join(found.filter(F.col("near") >= count_to), "left_id", "left_anti")
-        frontier = split(open_, right_points, "b", "right", metric, level)
+        frontier = split(open_, right_points, "b", "right", metric, level, edges=count_to is None)
         if left_points is not None:
             frontier = split(frontier, left_points, "a", "left", metric, level)
         level += 1
@@ -190,13 +193,20 @@ def within_reach(
 
 
 def split(
-    pairs: DataFrame, points: DataFrame, name: str, side: str, metric: Sequence[Axes], level: int, finer: int = SPLIT
+    pairs: DataFrame,
+    points: DataFrame,
+    name: str,
+    side: str,
+    metric: Sequence[Axes],
+    level: int,
+    finer: int = SPLIT,
+    edges: bool = True,
 ) -> DataFrame:
     """Replace one side's boxes by the boxes of the next finer cells."""
     key = f"{side}_cell"
     wanted = pairs.select(F.col(key).alias("_cell")).distinct()
     inside = points.withColumn("_cell", cell(metric, level, finer)).join(wanted, "_cell")
-    parts = boxes(inside.withColumn("_finer", cell(metric, level + 1, finer)), metric, ["_cell", "_finer"])
+    parts = boxes(inside.withColumn("_finer", cell(metric, level + 1, finer)), metric, ["_cell", "_finer"], edges)
     parts = parts.select(
         F.col("_cell").alias(key), F.col("_finer"), F.struct(*BOX).alias("_box")
     )
