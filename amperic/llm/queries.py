@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from amperic.llm import bpe, quality, secret_scan
-from amperic.llm.common import documents
+from amperic.llm import bpe, chat, lines, mixing, quality, secret_scan
+from amperic.llm.common import documents, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,3 +43,88 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(documents(spark, sf_dir), vocabulary_path=RANKS, pattern=PATTERN, ids=False)
+
+
+@query(
+    """WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT k.doc_id, k.pos, k.line, r.key IS NOT NULL AND k.doc_id <> r.keeper AS lost FROM keyed k LEFT JOIN repeated r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(
+    """WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(source, '') AS source, length(coalesce(text, '')) AS n, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o
+  FROM documents),
+begun AS (
+  SELECT doc_id, source, CAST(sum(n) OVER (PARTITION BY source ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS begin FROM docs),
+sizes AS (SELECT source, pow(CAST(sum(n) AS DOUBLE), 0.5) AS w FROM docs GROUP BY source),
+exact AS (
+  SELECT source, (1000 - (SELECT count(*) FROM sizes)) * w / (SELECT fsum(w) FROM sizes) AS e FROM sizes),
+shares AS (
+  SELECT row_number() OVER (ORDER BY source) AS i, source,
+    1 + CAST(floor(e) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY floor(e) - e, source)
+      <= 1000 - (SELECT CAST(sum(1 + floor(e)) AS BIGINT) FROM exact) THEN 1 ELSE 0 END AS n
+  FROM exact),
+turns AS (
+  SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS i, (SELECT list(CAST(0 AS BIGINT) ORDER BY i) FROM shares) AS done
+  UNION ALL
+  SELECT r.t + 1, x.i, list_concat(r.done[1:x.i - 1], [r.done[x.i] + 1], r.done[x.i + 1:])
+  FROM turns r, LATERAL (
+    SELECT p.i FROM shares p WHERE r.done[p.i] < p.n AND r.done[p.i] * 1000 // p.n <= r.t
+    ORDER BY (r.done[p.i] * 1000 + 1000 + p.n - 1) // p.n, p.n DESC, p.source LIMIT 1) x
+  WHERE r.t < 1000),
+plan AS (SELECT t - 1 AS slot, i, done[i] - 1 AS k FROM turns WHERE t > 0)
+SELECT b.doc_id, b.source, begin // 16384 AS block, begin // 16384 // s.n * 1000 + p.slot AS slot,
+  begin // 16384 * 1000 // s.n AS release, (begin // 16384 * 1000 + 1000 + s.n - 1) // s.n AS deadline, begin
+FROM begun b JOIN shares s USING (source) JOIN plan p ON p.i = s.i AND p.k = begin // 16384 % s.n"""
+)
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    return mixing.mix_sources(docs).drop("text")
+
+
+@query(
+    r"""WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+safe AS (
+  SELECT *, replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') AS t,
+    replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') AS r
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(r) + length(t) + 20) AS BIGINT) AS formatted_chars
+FROM safe GROUP BY conv_id"""
+)
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prepared(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"),
+    )
+    done = chat.render(chat.fold_events(chat.turn_events(rows.unionByName(more))))
+    turns = chat.read_back(F.col("formatted"))
+    loss = chat.loss_text(F.col("formatted"), F.col("loss"))
+    told = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
