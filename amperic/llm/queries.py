@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amperic.llm import bpe, chat, lines, mixing, quality, secret_scan
+from amperic.llm import bpe, chat, lines, mixing, quality, secret_scan, wrapper
 from amperic.llm.common import documents, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query()
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract_text(prepared(spark).read.parquet(f"{sf_dir}/pages.parquet"))
