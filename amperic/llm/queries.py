@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amperic.llm import bpe, chat, lines, mixing, quality, secret_scan, wrapper
+from amperic.llm import bpe, chat, hamming, lines, mixing, quality, secret_scan, wrapper
 from amperic.llm.common import documents, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract_text(prepared(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query(
+    """WITH codes AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL), true)),
+pairs AS (
+  SELECT q.id AS query_id, r.id AS neighbour_id,
+    CAST(list_sum(list_transform(list_zip(q.code, r.code), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+  FROM codes q JOIN codes r ON q.id % 20 = 0 AND q.id <> r.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs)
+SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10"""
+)
+def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hamming.embedding_codes(prepared(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hamming.hamming_top_k(rows, rows.filter("id % 20 = 0"), k=10)
