@@ -67,7 +67,7 @@ def prob_min_hash(owner: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: i
     step = np.uint64(0)
     while len(alive):
         step += np.uint64(1)
-        seed = keys[alive] + step * _GOLDEN
+        seed = keys[alive] + np.array([step]) * _GOLDEN
         at[alive] -= np.log(_uniform(seed)) / weights[alive]
         time = at[alive].astype(np.float32).view(np.uint32).astype(np.uint64)
         slot = (mix(seed ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(size)).astype(np.int64)
@@ -123,19 +123,14 @@ def _sets(docs: DataFrame, needed: DataFrame, small: int) -> DataFrame:
     few = needed.count() * 16 <= small
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [np.unique(shingles(t)[0].astype(np.uint32)).view(np.int32) for t in utf8(batch)]
-        return {"node": batch.column("node"), "items": found, "t1": [
-            xxhash.xxh3_128_intdigest(t) & 0xFFFFFFFFFFFFFFFF for t in utf8(batch)
-        ]}
-
-    def signed(batch: pa.RecordBatch) -> dict:
-        out = run(batch)
-        out["t1"] = np.array(out["t1"], np.uint64).view(np.int64)
-        return out
+        texts = utf8(batch)
+        marks = np.array([xxhash.xxh3_128_intdigest(t) & 0xFFFFFFFFFFFFFFFF for t in texts], np.uint64)
+        found = [np.unique(shingles(t)[0].astype(np.uint32)).view(np.int32) for t in texts]
+        return {"node": batch.column("node"), "items": found, "t1": marks.view(np.int64)}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), whole_text().alias("text"))
     texts = texts.join(F.broadcast(needed.select("node")) if few else needed.select("node"), "node", "left_semi")
-    sets = map_batches(texts, signed, "node long, items array<int>, t1 long")
+    sets = map_batches(texts, run, "node long, items array<int>, t1 long")
     # a repeated id has one text that stands for it
     return sets.join(needed, ["node", "t1"], "left_semi").dropDuplicates(["node"]).select("node", "items")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amperic.llm import bpe, chat, hamming, lines, mixing, quality, secret_scan, wrapper
+from amperic.llm import bpe, chat, hamming, lines, mixing, near, quality, repeats, secret_scan, wrapper
 from amperic.llm.common import documents, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +149,13 @@ SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10"""
 def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hamming.embedding_codes(prepared(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
     return hamming.hamming_top_k(rows, rows.filter("id % 20 = 0"), k=10)
+
+
+@query()
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf_dir))
+
+
+@query()
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
