@@ -63,6 +63,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until ``df`` has no such columns."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any(lead + n in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, empty where it is NULL."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

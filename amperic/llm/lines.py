@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from amperic.llm.common import BLANKS, staged, whole_text
+from amperic.llm.common import BLANKS, fresh, staged, whole_text
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
@@ -99,19 +99,21 @@ def line_dedup(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, slots
     Lines whose key has at least ``min_chars`` characters and is in at least
     ``min_docs`` documents stay in the largest ``doc_id`` only.
     """
+    doc, row, tag, dropped = fresh(docs, "doc", "row", "tag", "dropped")
     found = keep_bitmaps(docs, min_chars=min_chars, min_docs=min_docs, slots=slots).select(
-        F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "dropped"
+        F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("dropped").alias(dropped)
     )
     text = whole_text()
-    rows = docs.withColumn("_hash", F.xxhash64(text))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["_doc"]) & (rows["_hash"] == found["_row"]), "left")
+    rows = docs.withColumn(tag, F.xxhash64(text))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(tag) == F.col(row)), "left")
+    lost = F.col(dropped)
     lines = split_lines(text)
-    runs = keep_runs(F.col("dropped"), F.size(lines))
+    runs = keep_runs(lost, F.size(lines))
     whole = F.array(F.struct(F.lit(0).alias("first"), F.size(lines).alias("n")))
     return rows.select(
         *docs.columns,
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("dropped").isNull(), whole).otherwise(runs).alias("keep"),
-        F.when(F.col("dropped").isNull(), text).otherwise(kept_text(lines, runs)).alias("kept"),
+        F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(lost.isNull(), whole).otherwise(runs).alias("keep"),
+        F.when(lost.isNull(), text).otherwise(kept_text(lines, runs)).alias("kept"),
     )

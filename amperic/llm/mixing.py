@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from amperic.llm.common import whole_text
+from amperic.llm.common import fresh, whole_text
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -95,39 +95,34 @@ def mix_sources(
     for slot, s in enumerate(schedule(parts) if parts else []):
         plan.append((s, at.get(s, 0), slot, parts[s]))
         at[s] = at.get(s, 0) + 1
-    table = spark.createDataFrame(plan, "_source string, _index long, _slot long, _share long")
+    source, order, size, tag, part, index, share, at_slot, total, offset, begin, block = fresh(
+        docs, "source", "order", "size", "tag", "part", "index", "share", "slot", "total", "offset", "begin", "block"
+    )
+    table = spark.createDataFrame(plan, f"{source} string, {index} long, {at_slot} long, {share} long")
 
     text = whole_text()
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.withColumns(
-        {
-            "_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_order": order,
-            "_size": F.length(text).cast("long"), "_text": F.xxhash64(text),
-        }
-    ).withColumn("_slice", F.substring("_order", 1, slice_digits))
-    totals = (
-        docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
-                    F.substring(order, 1, slice_digits).alias("_slice"), F.length(text).cast("long").alias("_size"))
-        .groupBy("_source", "_slice").agg(F.sum("_size").alias("_total"))
-    )
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    name = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    rows = docs.withColumns({source: name, order: key, size: F.length(text).cast("long"), tag: F.xxhash64(text)})
+    rows = rows.withColumn(part, F.substring(order, 1, slice_digits))
+    totals = docs.select(name.alias(source), F.substring(key, 1, slice_digits).alias(part), F.length(text).cast("long").alias(size))
+    totals = totals.groupBy(source, part).agg(F.sum(size).alias(total))
     # one row per slice of a source: bounded by the number of slices
-    before = W.partitionBy("_source").orderBy("_slice")
-    totals = totals.select("_source", "_slice", (F.sum("_total").over(before) - F.col("_total")).alias("_offset"))
-    inside = W.partitionBy("_source", "_slice").orderBy("_order", "doc_id", "_size", "_text").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_within", F.sum("_size").over(inside) - F.col("_size")).join(totals, ["_source", "_slice"])
-    rows = rows.withColumn("_begin", F.col("_offset") + F.col("_within"))
-    rows = rows.withColumn("_block", F.floor(F.col("_begin") / F.lit(block_chars)))
+    before = W.partitionBy(source).orderBy(part)
+    totals = totals.select(source, part, (F.sum(total).over(before) - F.col(total)).alias(offset))
+    inside = W.partitionBy(source, part).orderBy(order, "doc_id", size, tag).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn(begin, F.sum(size).over(inside) - F.col(size)).join(totals, [source, part])
+    rows = rows.withColumn(begin, F.col(begin) + F.col(offset))
+    rows = rows.withColumn(block, F.floor(F.col(begin) / F.lit(block_chars)))
     # the plan has ``period`` rows
-    share = table.select("_source", "_share").distinct()
-    rows = rows.join(F.broadcast(share), "_source")
-    rows = rows.withColumn("_index", F.pmod("_block", "_share")).join(F.broadcast(table.drop("_share")), ["_source", "_index"])
-    cycle = F.floor(F.col("_block") / F.col("_share")) * F.lit(period)
-    lead = F.col("_block") * F.lit(period)
+    rows = rows.join(F.broadcast(table.select(source, share).distinct()), source)
+    rows = rows.withColumn(index, F.pmod(block, share)).join(F.broadcast(table.drop(share)), [source, index])
+    cycle = F.floor(F.col(block) / F.col(share)) * F.lit(period)
     return rows.select(
-        *docs.columns,
-        F.col("_block").alias("block"),
-        (cycle + F.col("_slot")).alias("slot"),
-        F.expr(f"_block * {period} div _share").alias("release"),
-        F.ceil((lead + F.lit(period)) / F.col("_share")).alias("deadline"),
-        F.col("_begin").alias("begin"),
+        *[F.col(c) for c in docs.columns],
+        F.col(block).alias("block"),
+        (cycle + F.col(at_slot)).alias("slot"),
+        F.expr(f"{block} * {period} div {share}").alias("release"),
+        F.ceil((F.col(block) * F.lit(period) + F.lit(period)) / F.col(share)).alias("deadline"),
+        F.col(begin).alias("begin"),
     )

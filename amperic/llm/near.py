@@ -107,14 +107,15 @@ def signatures(docs: DataFrame, *, bands: int = 26, rows: int = 5) -> DataFrame:
         ends = offsets([bands if c else 0 for c in counts]).astype(np.int32)
         return {
             "doc_id": batch.column("doc_id"),
+            "text_hash": batch.column("text_hash"),
             "t1": np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64),
             "t2": np.array([d >> 64 for d in digests], np.uint64).view(np.int64),
             "n": counts,
             "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())),
         }
 
-    rows_in = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return map_batches(rows_in, run, "doc_id long, t1 long, t2 long, n int, bands array<long>")
+    rows_in = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return map_batches(rows_in, run, "doc_id long, text_hash long, t1 long, t2 long, n int, bands array<long>")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, small: int) -> DataFrame:
@@ -216,7 +217,8 @@ def near_duplicates(
     docs: DataFrame, *, threshold: float = 0.8, bands: int = 26, rows: int = 5, hub_rounds: int = 3, small: int = 64 << 20
 ) -> DataFrame:
     """``doc_id``, ``class_id`` (least id with the same text), ``group_id`` (least id
-    of the connected near-duplicates) and ``n_shingles``."""
+    of the connected near-duplicates), ``n_shingles`` and ``text_hash``, which tells
+    rows of one id apart."""
     marks = staged(signatures(docs, bands=bands, rows=rows))
     classes = marks.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = classes.filter("node is not null").groupBy("node").agg(F.min_by(F.struct("t1", "n", "bands"), "t1").alias("r"))
@@ -224,4 +226,4 @@ def near_duplicates(
     groups = components(links(docs, nodes, threshold=threshold, hub_rounds=hub_rounds, small=small).select("a", "b"))
     named = classes.select("t1", "t2", "node").join(groups, "node", "left")
     named = named.select("t1", "t2", F.col("node").alias("class_id"), F.coalesce("root", "node").alias("group_id"))
-    return marks.join(named, ["t1", "t2"]).select("doc_id", "class_id", "group_id", F.col("n").cast("long").alias("n_shingles"))
+    return marks.join(named, ["t1", "t2"]).select("doc_id", "class_id", "group_id", F.col("n").cast("long").alias("n_shingles"), "text_hash")

@@ -11,6 +11,7 @@ empty table gives an empty table.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -260,8 +261,10 @@ SCHEMA = (
 )
 
 
-def quality_rules(docs: DataFrame, *, limits: Limits = Limits(), n_words: int = 200, max_languages: int = 64) -> DataFrame:
-    """Base counts and the verdict per document.
+def quality_rules(
+    docs: DataFrame, *, limits: Limits = Limits(), n_words: int = 200, max_languages: int = 64, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Base counts and the verdict per document, and the columns named in ``carry``.
 
     A document stays if for one language it is close to the reference in both
     its character classes and its common words. Distances shown are those from
@@ -270,11 +273,14 @@ def quality_rules(docs: DataFrame, *, limits: Limits = Limits(), n_words: int =
     model = _Model(language_references(docs, n_words=n_words, max_languages=max_languages))
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = utf8(batch)
+        texts = utf8(batch, "_text")
         parts = [assess(texts[i : i + 500], model, limits) for i in range(0, len(texts), 500)]
         out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
         if not parts:
             out = assess([], model, limits)
-        return {"doc_id": batch.column("doc_id"), **out}
+        return {"doc_id": batch.column("_id"), **out, **{c: batch.column(c) for c in passed}}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")), run, SCHEMA)
+    passed = [c for c in carry if c != "doc_id"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*passed).schema) if passed else ""
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_text().alias("_text"), *passed)
+    return map_batches(rows, run, SCHEMA + (", " + kinds if kinds else ""))

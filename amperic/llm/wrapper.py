@@ -221,7 +221,20 @@ def plain(parts: list[str]) -> str:
 
 
 def own_text(x: Node) -> str:
-    return plain([k for k in x.kids if isinstance(k, str)])
+    """The text of a block, without that of blocks inside it; empty for other elements."""
+    if x.tag not in BLOCK:
+        return ""
+    parts: list[str] = []
+    todo = list(reversed(x.kids))
+    while todo:
+        k = todo.pop()
+        if isinstance(k, str):
+            parts.append(k)
+        elif k.tag == "br":
+            parts.append(" ")
+        elif k.tag not in BLOCK and not k.aside:
+            todo += reversed(k.kids)
+    return plain(parts)
 
 
 def preorder(root: Node) -> list[Node]:
