@@ -52,7 +52,8 @@ def dbscan(rows: DataFrame, metric: Sequence[Axes], min_samples: int, *, id_col:
             "cell", F.when(F.col("_size") >= min_samples, F.col(label)).otherwise(F.lit(NOISE)).alias(label)
         )
         keyed = rows.withColumn("_cell", cell(metric))
-        return keyed.join(found.withColumnRenamed("cell", "_cell"), "_cell").select(*rows.columns, label)
+        keyed = keyed.join(found.withColumnRenamed("cell", "_cell"), "_cell", "left")
+        return keyed.select(*rows.columns, F.coalesce(label, F.lit(NOISE)).alias(label))
 
     placed = stage(placed)
     labels = points.filter("core").join(placed.select("cell", label), "cell").select(*names, label)
@@ -60,7 +61,8 @@ def dbscan(rows: DataFrame, metric: Sequence[Axes], min_samples: int, *, id_col:
     match = [f"_at{i}" for i in range(len(names))]
     labels = labels.withColumnsRenamed(dict(zip(names, match)))
     keyed = rows.select(*rows.columns, *[F.col(c).cast("double").alias(m) for c, m in zip(names, match)])
-    return keyed.join(labels, match).select(*rows.columns, label)
+    # a row without a place is noise
+    return keyed.join(labels, match, "left").select(*rows.columns, F.coalesce(label, F.lit(NOISE)).alias(label))
 
 
 def _as_boxes(points: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -37,7 +37,7 @@ def dbscan_time(
     """
     keys = list(keys)
     at = [*keys, t]
-    counts = rows.groupBy(*at).agg(F.count("*").alias("_n"))
+    counts = rows.filter(F.col(t).isNotNull()).groupBy(*at).agg(F.count("*").alias("_n"))
     if min_samples <= 2:
         runs = islands(counts, t, eps, keys=keys, width=width)
         placed = counts.join(runs, at)
@@ -61,24 +61,35 @@ def dbscan_time(
             .otherwise(F.lit(NOISE))
         )
         labels = line.select(*at, found.alias(label))
-    return rows.join(labels, at)
+    return _labelled(rows, labels, at, label)
 
 
-def agglomerate_time(rows: DataFrame, t: str = "outage_time", *, max_gap: int = 180, width: int = DAY) -> DataFrame:
-    """Iterative merging of outages in time, within an ISO week.
+def _labelled(rows: DataFrame, labels: DataFrame, at: Sequence[str], label: str) -> DataFrame:
+    """Rows with the label of their time; a row without a time is noise."""
+    return rows.join(labels, list(at), "left").withColumn(label, F.coalesce(label, F.lit(NOISE)))
+
+
+def agglomerate_time(
+    rows: DataFrame, t: str = "outage_time", *, max_gap: int = 180, partition: str | None = "week", width: int = DAY
+) -> DataFrame:
+    """Iterative merging of outages in time, within an ISO week, or over all
+    times with ``partition=None``.
 
     Each round merges every pair of mutually nearest groups less than
     ``max_gap`` apart; a group's time is the floored mean of its members. Groups
     with no neighbour that near are final.
 
     Rounds never cross a gap of ``max_gap``: means stay inside their members'
-    range. So the runs of such gaps are solved on their own. A run lives inside
-    one week and holds distinct seconds with a count, hence at most 604,800
-    rows, whatever the number of outages.
+    range. So the runs of such gaps are solved on their own. A run holds distinct
+    seconds with a count, so within a week at most 604,800 rows, whatever the
+    number of outages; without weeks it is bounded by how long a time passes
+    without a gap.
 
-    Adds ``cluster`` (first member second) and ``cluster_time``.
+    Adds ``cluster`` (first member second) and ``cluster_time``; both are NULL for
+    rows without a time.
     """
-    counts = rows.groupBy(F.col(t)).agg(F.count("*").alias("_n")).withColumn("_week", iso_week(F.col(t)))
+    part = iso_week(F.col(t)) if partition == "week" else F.lit(0)
+    counts = rows.filter(F.col(t).isNotNull()).groupBy(F.col(t)).agg(F.count("*").alias("_n")).withColumn("_week", part)
     runs = islands(counts, t, max_gap, keys=["_week"], closed=False, width=width)
     run = ["_week", "island"]
     nodes = stage(counts.join(runs, ["_week", t]).select(*run, F.col(t).alias("t"), "_n"))
@@ -103,7 +114,7 @@ def agglomerate_time(rows: DataFrame, t: str = "outage_time", *, max_gap: int =
     wide = sized.filter("_times > 2").select(*run, "t", "_n")
     wide = wide.repartition(*run).sortWithinPartitions(*run, "t")
     merged = wide.mapInPandas(solve, f"{t} bigint, cluster bigint, cluster_time bigint")
-    return rows.join(merged.unionByName(plain), t)
+    return rows.join(merged.unionByName(plain), t, "left")
 
 
 def neighbour_gaps(rows: DataFrame, t: str = "outage_time", *, width: int = DAY) -> DataFrame:

@@ -98,7 +98,8 @@ def _kde(spots: DataFrame, grid: int, cut: float, dims: int) -> DataFrame:
     Each task folds its points into one grid-sized matrix and only the matrices
     are shuffled. Bandwidths follow Scott's rule, n^(-1/(dims+4)) sample
     deviations per axis, with n and the deviations counting a point ``weight``
-    times. The grid reaches ``cut`` bandwidths past the data.
+    times. The grid reaches ``cut`` bandwidths past the data. Without any spread
+    along an axis, as for one point, there is no bandwidth and the result is empty.
     """
     w = F.col("weight")
 
@@ -108,12 +109,17 @@ def _kde(spots: DataFrame, grid: int, cut: float, dims: int) -> DataFrame:
 
     first = spots.agg(F.sum("weight").alias("n"), moments("x"), moments("y")).first()
     n = float(first["n"] or 0)
+    empty = spots.sparkSession.createDataFrame([], "ix bigint, iy bigint, gx double, gy double, density double")
+    if n <= 1:
+        return empty
     spread = spots.agg(
         *[F.sum(w * (F.col(c) - first[f"m{c}"]) * (F.col(c) - first[f"m{c}"])).alias(f"v{c}") for c in "xy"],
         *[f(c).alias(f"{k}{c}") for c in "xy" for k, f in (("lo", F.min), ("hi", F.max))],
     ).first()
     scott = n ** (-1.0 / (dims + 4))
     h = {c: scott * math.sqrt(spread[f"v{c}"] / (n - 1)) for c in "xy"}
+    if not h["x"] or dims == 2 and not h["y"]:
+        return empty
     gx = np.linspace(spread["lox"] - cut * h["x"], spread["hix"] + cut * h["x"], grid)
     if dims == 1:
         gy, h["y"] = np.zeros(1), 1.0

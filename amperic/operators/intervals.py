@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,5 +32,8 @@ def in_intervals(
     placed = rows.withColumn("_slot", slot(F.col(t), width))
     met = spread.join(placed, "_slot").filter(F.col(t).between(F.col(start), F.col(end))).drop("_slot")
     if how == "left":
-        return intervals.join(met, intervals.columns, "left")
+        # met rows stay where they are; only intervals without any are looked up
+        seen = met.select(*intervals.columns).distinct()
+        same = reduce(and_, [intervals[c].eqNullSafe(seen[c]) for c in intervals.columns])
+        return met.unionByName(intervals.join(seen, same, "left_anti"), allowMissingColumns=True)
     return met

@@ -42,18 +42,6 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterat
         yield rest.reset_index(drop=True), np.array([0])
 
 
-def _gaps(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance to the previous and the next element; infinite at the ends."""
-    step = np.diff(at).astype(float)
-    return np.concatenate([[np.inf], step]), np.concatenate([step, [np.inf]])
-
-
-def _sums(values: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, dtype=np.int64)
-    np.add.at(out, where, values)
-    return out
-
-
 def merge_rounds(t: np.ndarray, copies: np.ndarray, max_gap: int) -> tuple[np.ndarray, np.ndarray]:
     """Synchronous merging of mutually nearest times.
 
@@ -63,51 +51,71 @@ def merge_rounds(t: np.ndarray, copies: np.ndarray, max_gap: int) -> tuple[np.nd
     A time held by several rows always merges with itself first: a gap of zero
     beats every other, from either side. So rows of one time stay together and
     only how many rows a time has must be remembered.
+
+    A round only looks at nodes near those that the round before has changed: a
+    pair further off would have met then. So the work follows the merges and not
+    rounds times nodes.
     """
-    t = t.astype(np.int64)
-    group = np.full(len(t), -1)
-    centre = np.zeros(len(t), dtype=np.int64)
-    node = np.arange(len(t))  # current node of each time, -1 once final
-    at, rows = t.copy(), copies.astype(np.int64)
-    total, size = at * rows, rows.copy()
-    finished = 0
-
-    while len(at):
-        left, right = _gaps(at)
-        done = (left >= max_gap) & (right >= max_gap) & (rows == 1)
-        if done.any():
-            number = finished + np.cumsum(done) - 1
-            finished += int(done.sum())
-            live = np.flatnonzero(node >= 0)
-            ends = live[done[node[live]]]
-            group[ends], centre[ends] = number[node[ends]], at[node[ends]]
-            shift = np.cumsum(~done) - 1
-            stay = live[~done[node[live]]]
-            node[stay] = shift[node[stay]]
-            node[ends] = -1
-            at, rows, total, size = at[~done], rows[~done], total[~done], size[~done]
-            if not len(at):
-                break
-            left, right = _gaps(at)
-
-        single = rows == 1
-        beyond = np.append(np.where(single[1:], right[1:], 0.0), np.inf)
-        before = np.append(np.inf, np.where(single[:-1], left[:-1], 0.0))
-        ahead = single & (right < max_gap) & (right <= beyond) & (right <= left)
-        back = single & ~ahead & (left < max_gap) & (left <= before) & (left <= right)
-        # nodes meet at the later one; odd keys keep resting nodes out of a meeting
-        place = np.arange(len(at))
-        key = 2 * (place + ahead) + (single & ~ahead & ~back)
-        _, met = np.unique(key, return_inverse=True)
-        n = met.max() + 1
-        total, size = _sums(total, met, n), _sums(size, met, n)
-        # groups with equal centres share a node from here on
-        at, shared = np.unique(total // size, return_inverse=True)
-        rows = np.bincount(shared, minlength=len(at))
-        total, size = _sums(total, shared, len(at)), _sums(size, shared, len(at))
-        live = node >= 0
-        node[live] = shared[met[node[live]]]
-    return group, centre
+    n = len(t)
+    at, size = t.tolist(), copies.tolist()
+    total = [a * k for a, k in zip(at, size)]
+    rows = list(size)
+    left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+    joined = list(range(n))  # the node that a node went into
+
+    def gap(i: int) -> float:
+        return at[right[i]] - at[i] if right[i] >= 0 else np.inf
+
+    def ahead(i: int) -> bool:
+        j = right[i]
+        if j < 0 or rows[i] > 1 or rows[j] > 1:
+            return False
+        step = at[j] - at[i]
+        return step < max_gap and step <= gap(j) and (left[i] < 0 or step <= at[i] - at[left[i]])
+
+    def absorb(i: int) -> None:
+        """Puts the right neighbour of ``i`` into it."""
+        j = right[i]
+        joined[j] = i
+        total[i] += total[j]
+        size[i] += size[j]
+        right[i] = right[j]
+        if right[j] >= 0:
+            left[right[j]] = i
+
+    changed = set(range(n))
+    while changed:
+        near = set()
+        for i in changed:
+            for _ in range(4):
+                if i < 0:
+                    break
+                near.add(i)
+                i = left[i]
+        near.update(right[i] for i in changed if right[i] >= 0)
+        meets = [i for i in near if ahead(i) and not ahead(right[i])]
+        moved = {i for i in changed if rows[i] > 1}
+        for i in moved:
+            rows[i] = 1
+        for i in meets:
+            absorb(i)
+            at[i] = total[i] // size[i]
+        changed = moved.union(meets)
+        # neighbours with equal centres share a node from here on
+        for i in sorted(changed):
+            if joined[i] != i:
+                continue
+            while left[i] >= 0 and at[left[i]] == at[i]:
+                i = left[i]
+            while right[i] >= 0 and at[right[i]] == at[i]:
+                rows[i] += 1
+                absorb(i)
+                changed.add(i)
+        changed = {i for i in changed if joined[i] == i}
+    group = np.arange(n)
+    for i in range(n):  # nodes go into nodes before them
+        group[i] = i if joined[i] == i else group[joined[i]]
+    return group, np.array([at[i] for i in group.tolist()], dtype=np.int64)
 
 
 def hull_of(x: np.ndarray, y: np.ndarray, tol: float) -> np.ndarray:

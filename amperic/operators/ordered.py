@@ -26,6 +26,16 @@ def with_slice(df: DataFrame, seconds: Column, width: int = DAY, name: str = "_s
     return df.withColumn(name, slot(seconds, width))
 
 
+def even_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """Adds ``_slice``, which cuts the rows by keys and order into parts of about
+    equal size, whatever the keys. Equal rows share a slice. The bounds are
+    sampled, so ``df`` should be staged, and so should the result if it is read
+    more than once."""
+    by = [*keys, *order]
+    spread = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
+    return spread.withColumn("_slice", F.spark_partition_id().cast("bigint"))
+
+
 def neighbours(
     df: DataFrame,
     order: Sequence[str],

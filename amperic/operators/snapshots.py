@@ -12,42 +12,65 @@ from pyspark.sql import functions as F
 from amperic.functions.clock import epoch, floor_epoch, MINUTE
 
 
-def _first_location(prefix: str = "location"):
-    return [
-        F.min_by("location_latitude", "time").alias(f"{prefix}_latitude"),
-        F.min_by("location_longitude", "time").alias(f"{prefix}_longitude"),
-    ]
+SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
-def powered_snapshot(readings: DataFrame, *, window: str = "4 minutes", slide: str = "1 minute") -> DataFrame:
-    """Sensors powered in every reading of ``[minute, minute + window)``.
+def _seconds(span: str) -> int:
+    n, unit = span.split()
+    return int(n) * SECONDS[unit.rstrip("s")]
+
+
+def _place():
+    return F.struct("location_latitude", "location_longitude")
+
+
+def _when():
+    """Order of readings for the first place; the place itself settles ties."""
+    return F.struct("time", "location_latitude", "location_longitude")
+
 
-    Works on a stream as well; partial aggregation collapses each task's copies
-    of a sensor and window before the shuffle.
+def _by_window(readings: DataFrame, window: str, slide: str, offset: str) -> DataFrame:
+    """Per sensor and sliding window: ``begin`` (seconds), number of readings with
+    a known state, of those with power, and the first place.
+
+    A batch is folded into panes of one slide first, and only the panes are copied
+    into the windows that hold them. A stream keeps one state per window.
     """
-    spans = readings.groupBy("core_id", F.window("time", window, slide).alias("w"))
-    spans = spans.agg(F.bool_and("is_powered").alias("powered"), *_first_location())
-    return spans.filter("powered").select(
-        F.col("w.start").alias("minute"), "core_id", "location_latitude", "location_longitude"
+    known = [F.count("is_powered").alias("n"), F.sum(F.col("is_powered").cast("int")).alias("k")]
+    if readings.isStreaming:
+        spans = readings.groupBy("core_id", F.window("time", window, slide, offset).alias("w"))
+        spans = spans.agg(*known, F.min_by(_place(), _when()).alias("place"))
+        return spans.withColumn("begin", epoch(F.col("w.start")))
+    step = _seconds(slide)
+    panes = readings.groupBy("core_id", F.window("time", slide, slide, offset).alias("w")).agg(
+        *known, F.min_by(_place(), _when()).alias("place"), F.min(_when()).alias("at")
+    )
+    starts = F.transform(F.sequence(F.lit(0), F.lit(_seconds(window) // step - 1)), lambda i: epoch(F.col("w.start")) - i * step)
+    panes = panes.withColumn("begin", F.explode(starts))
+    return panes.groupBy("core_id", "begin").agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k"), F.min_by("place", "at").alias("place")
     )
 
 
+def powered_snapshot(readings: DataFrame, *, window: str = "4 minutes", slide: str = "1 minute") -> DataFrame:
+    """Sensors powered in every reading of ``[minute, minute + window)``, at their
+    first place there. Works on a stream as well."""
+    spans = _by_window(readings, window, slide, "0 seconds").filter((F.col("n") > 0) & (F.col("k") == F.col("n")))
+    return spans.select(F.timestamp_seconds("begin").alias("minute"), "core_id", "place.*")
+
+
 def majority_resample(
     readings: DataFrame, *, window: str = "5 minutes", slide: str = "1 minute", offset: str = "30 seconds"
 ) -> DataFrame:
     """Power state by majority around each whole minute; an even split is off."""
-    spans = readings.groupBy("core_id", F.window("time", window, slide, offset).alias("w"))
-    spans = spans.agg(
-        F.bround(F.avg(F.col("is_powered").cast("int"))).cast("int").alias("is_powered"),
-        *_first_location("powered"),
-    )
-    middle = (epoch(F.col("w.start")) + epoch(F.col("w.end"))) / 2
+    spans = _by_window(readings, window, slide, offset)
+    middle = F.col("begin") + F.lit(_seconds(window) // 2)
     return spans.select(
         "core_id",
-        F.timestamp_seconds(middle.cast("bigint")).alias("time"),
-        "is_powered",
-        "powered_latitude",
-        "powered_longitude",
+        F.timestamp_seconds(middle).alias("time"),
+        F.bround(F.try_divide("k", "n")).cast("int").alias("is_powered"),
+        F.col("place.location_latitude").alias("powered_latitude"),
+        F.col("place.location_longitude").alias("powered_longitude"),
     )
 
 

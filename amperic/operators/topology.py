@@ -13,8 +13,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from amperic.operators.ordered import running, with_slice
-from amperic.functions.clock import DAY, epoch
+from amperic.functions.clock import epoch
+from amperic.operators.ordered import even_slices, running
+from amperic.session import stage
 
 OPEN_END = "2300-01-01 00:00:00"
 OPEN_START = "1970-01-01 00:00:00"
@@ -114,7 +115,8 @@ def distance_profile(topology: DataFrame) -> DataFrame:
     line = tagged.select(F.col("_tag.val").alias("_g"), edge.alias("x")).groupBy("_g", F.col("x.v").alias("_v")).agg(
         F.sum("x.starts").alias("_starts"), F.sum("x.ends").alias("_ends")
     )
-    line = with_slice(line, F.col("_v"), 365 * DAY)
+    # slices of even size, so the group of all rows is no single task's
+    line = stage(even_slices(line, ["_g"], ["_v"]))
     line = running(line, ["_v"], "_ends", "sum", "_ended", keys=["_g"], exclusive=True)
     line = running(line, ["_v"], "_starts", "sum", "_later", keys=["_g"], backward=True, exclusive=True)
 

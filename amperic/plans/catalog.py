@@ -23,7 +23,7 @@ from amperic.operators.ordered import count_within, islands
 from amperic.operators.transitions import number_per_sensor, outages
 from amperic.plans import flows
 from amperic.plans.oracle import albers_sql, check, utm_sql
-from amperic.session import configure, stage, use_scratch
+from amperic.session import configure, run_folder, stage
 from amperic.sources import fixtures, jdbc, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,13 +159,11 @@ def coordinates_by_time(spark, sf_dir):
     )
 
 
-# Distances are whole multiples of a decimal fraction, so many end in a 5 where they
-# are rounded. A hundredth of the last digit keeps rounding off that edge.
 _GPS = """SELECT r.core_id, epoch_us(st) // 1000000 AS valid_from_s, {site} epoch_us(min(time)) // 1000000 AS mintime_s,
   epoch_us(max(time)) // 1000000 AS maxtime_s, count(*) AS n_gps_samples, round(avg(gps_satellites), 9) AS gps_satellites_avg,
   round(avg(gps_latitude), 12) AS lat_avg, round(max(location_latitude), 6) AS lat_fixed, round(avg(gps_longitude), 12) AS lon_avg,
-  round(1e-8 + 110.25 * 1000 * sqrt(pow(avg(gps_latitude) - max(location_latitude), 2)
-    + pow(avg(gps_longitude) - max(location_longitude), 2)), 6) AS dist_diff_meters
+  round(110.25 * 1000 * sqrt(pow(avg(gps_latitude) - max(location_latitude), 2)
+    + pow(avg(gps_longitude) - max(location_longitude), 2)), 3) AS dist_diff_meters
 FROM readings r JOIN spans s ON r.core_id = s.core_id AND time >= st AND time < et
 WHERE time >= TIMESTAMP '2024-01-01' AND time <= TIMESTAMP '2024-01-29' AND {fix}
 GROUP BY r.core_id, {group} st"""
@@ -180,7 +178,7 @@ def _gps(spark, sf_dir, **how):
         "core_id", epoch(F.col("valid_from")).alias("valid_from_s"), *site, epoch(F.col("mintime")).alias("mintime_s"),
         epoch(F.col("maxtime")).alias("maxtime_s"), "n_gps_samples", rnd("gps_satellites_avg", 9).alias("gps_satellites_avg"),
         rnd("lat_avg", 12).alias("lat_avg"), rnd("lat_fixed").alias("lat_fixed"), rnd("lon_avg", 12).alias("lon_avg"),
-        rnd(F.col("dist_diff_meters") + 1e-8).alias("dist_diff_meters"),
+        rnd("dist_diff_meters", 3).alias("dist_diff_meters"),
     )
 
 
@@ -1137,7 +1135,7 @@ def scalar_functions(spark, sf_dir):
 
 
 @query(
-    """SELECT core_id, CASE WHEN core_id IN (SELECT core_id FROM core_grid) THEN 'grid' ELSE 'none' END AS source,
+    """SELECT core_id, CASE WHEN core_id IN (SELECT core_id FROM readings) THEN 'read' ELSE 'none' END AS source,
   count(*) AS n FROM deployment GROUP BY 1, 2"""
 )
 def set_ops(spark, sf_dir):
@@ -1145,7 +1143,7 @@ def set_ops(spark, sf_dir):
     table where it has one."""
     sensors = fixtures.deployments(spark, sf_dir).select("core_id")
     seed = tables.empty(spark, "core_id bigint")
-    known = fixtures.topology(spark, sf_dir).select("core_id", F.lit("grid").alias("known")).distinct()
+    known = fixtures.readings(spark, sf_dir).select("core_id", F.lit("read").alias("known")).distinct()
     rows = seed.unionByName(sensors)
     return rows.join(known, "core_id", "left").groupBy("core_id", F.coalesce("known", F.lit("none")).alias("source")).agg(
         F.count("*").alias("n")
@@ -1154,12 +1152,12 @@ def set_ops(spark, sf_dir):
 
 @query(
     """SELECT event_id, core_id, epoch_us(time) // 1000000 AS time_s FROM readings
-WHERE time >= TIMESTAMP '2024-01-01' AND time < TIMESTAMP '2024-01-30'"""
+WHERE time >= TIMESTAMP '2024-01-01' AND time < TIMESTAMP '2024-02-01'"""
 )
 def time_predicates_scan(spark, sf_dir):
     """The parallel scan's conditions, one filter each, put together again."""
     rows = fixtures.readings(spark, sf_dir)
-    parts = [rows.filter(p) for p in jdbc.time_predicates("2024-01-01", "2024-01-30")]
+    parts = [rows.filter(p) for p in jdbc.time_predicates("2024-01-01", "2024-02-01")]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -1169,8 +1167,7 @@ def time_predicates_scan(spark, sf_dir):
 @query("SELECT event_id, core_id, epoch_us(time) // 1000000 AS time_s, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT *, location_latitude AS lat, location_longitude AS lon FROM located)")
 def io_round_trip(spark, sf_dir):
     """Parquet, then CSV with the nested column as JSON and times as text, and back."""
-    use_scratch(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/export-{uuid4().hex}"
+    folder = f"{run_folder(spark)}/export-{uuid4().hex}"
     rows = flows.located_readings(spark, sf_dir).select(
         "event_id", "core_id", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"), F.struct(LAT, LON).alias("place")
     )

@@ -10,7 +10,7 @@ from amperic.operators.population import population, with_population
 from amperic.operators.readings import deployed
 from amperic.operators.reliability import with_other_label
 from amperic.operators.snapshots import majority_resample, minute_places, outage_minute, powered_snapshot
-from amperic.operators.transitions import outages
+from amperic.operators.transitions import narrowed, outages, power_edges
 from amperic.session import stage
 from amperic.sources import fixtures
 
@@ -32,8 +32,8 @@ def located_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All outages with the population of their day, staged."""
-    rows = located_readings(spark, sf_dir)
-    return stage(with_population(outages(rows), population(rows)))
+    edges = power_edges(located_readings(spark, sf_dir))
+    return stage(with_population(outages(edges, edges=edges), population(edges)))
 
 
 def labelled(spark: SparkSession, sf_dir: str, t: str = "outage_time", eps: float = EPS) -> DataFrame:
@@ -46,11 +46,11 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Powered and outage places per minute."""
-    rows = located_readings(spark, sf_dir)
+    rows = narrowed(located_readings(spark, sf_dir))
     on = majority_resample(rows).filter("is_powered = 1").select(
         F.col("time").alias("minute"), F.col("powered_longitude").alias("lon"), F.col("powered_latitude").alias("lat")
     )
-    off = outages(rows).select(
+    off = outages(rows, edges=power_edges(rows, staged=True)).select(
         outage_minute().alias("minute"),
         F.col("location_longitude").alias("lon"),
         F.col("location_latitude").alias("lat"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,6 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "amper
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in RUNTIME_SETTINGS.items():
@@ -57,8 +58,34 @@ def use_scratch(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once, so that later steps neither recompute
-    it nor lose it with an executor."""
-    use_scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
+_FOLDERS: dict[str, str] = {}
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone; its folder goes with the cluster's scratch space
+        pass
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared scratch space, deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            use_scratch(spark)
+            base = spark.sparkContext.getCheckpointDir()
+        _FOLDERS[app] = f"{base}/amperic-{app}"
+        atexit.register(_forget, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def stage(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """Write an intermediate result once as Parquet and read it back: later steps
+    neither recompute it nor lose it with an executor, read only the columns they
+    need, and know its true size."""
+    path = f"{run_folder(df.sparkSession)}/{uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,7 +48,7 @@ SELECT core_id, deployment_start_time AS start_time, deployment_end_time AS end_
   CONCAT('T', CAST((core_id * 7) % 60 AS VARCHAR(8))) AS transformer,
   CONCAT(CASE (core_id * 7) % 3 WHEN 0 THEN 'AC' WHEN 1 THEN 'B' ELSE '' END,
          CAST((core_id * 7) % 12 AS VARCHAR(8))) AS feeder
-FROM {deployment} WHERE core_id IN (SELECT user_id FROM {events})
+FROM {deployment}
 """
 
 
@@ -65,6 +65,4 @@ def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(
-        GRID_SQL, deployment=deployments(spark, sf_dir), events=table(spark, sf_dir, "events")
-    )
+    return spark.sql(GRID_SQL, deployment=deployments(spark, sf_dir))

@@ -13,7 +13,7 @@ from amperic.operators.intervals import in_intervals
 from amperic.operators.places import nearest_places
 from amperic.operators.population import population, population_members
 from amperic.operators.readings import deployed
-from amperic.operators.transitions import number_per_sensor, outages, transitions
+from amperic.operators.transitions import number_per_sensor, outages, power_edges, transitions
 from amperic.plans import flows  # noqa: F401  (imports must hold together)
 from amperic.sources import jdbc, tables
 
@@ -54,24 +54,64 @@ def test_unknown_state_makes_no_transition(spark):
     assert ids(outages(log)) == [1004]
 
 
-@pytest.mark.parametrize("width", [60, 90, 600, 86400])
-def test_slices_do_not_change_transitions(spark, width):
+@pytest.mark.parametrize("slices", [1, 2, 5, 30])
+def test_slices_do_not_change_transitions(spark, slices):
     states = [True, True, False, False, None, True, False, True, True, False, False, True, None, None, True, False]
     log = power_log(spark, states).unionByName(power_log(spark, states[::-1], core=2, start=7, step=45))
     want_t, want_o = ids(transitions(log)), ids(outages(log))
-    assert ids(transitions(log, width=width)) == want_t
-    assert ids(outages(log, width=width)) == want_o
+    assert ids(transitions(log, slices=slices)) == want_t
+    assert ids(outages(log, slices=slices)) == want_o
     assert 1006 in want_t
 
 
-def test_hot_sensor_days_are_cut(spark):
-    states = [True, True, False, False, None, True, False, True, True, False, False, True]
-    log = power_log(spark, states, step=5000)
-    want_t, want_o = ids(transitions(log)), ids(outages(log))
-    copies = log.unionByName(log).unionByName(log).unionByName(power_log(spark, [True, False, True], core=2))
-    for rows in (2, 3, 7):
-        assert [i for i in ids(transitions(copies, day_rows=rows)) if i < 2000] == want_t
-        assert [i for i in ids(outages(copies, day_rows=rows)) if i < 2000] == want_o
+def test_hot_sensor_is_spread_within_a_minute(spark):
+    """One flapping sensor holds 90 % of the rows, all of them in one minute."""
+    n = 4000
+    hot = spark.range(n).selectExpr(
+        "1L AS core_id", "timestamp_micros(1704067200000000 + id * 15000) AS time", "id AS event_id", "id % 3 <> 1 AS is_powered",
+        "CAST(1000 AS DOUBLE) AS millis", "CAST(0 AS DOUBLE) AS last_unplug_millis", "CAST(0 AS DOUBLE) AS last_plug_millis",
+    )
+    rest = hot.filter("event_id % 9 = 0").withColumn("core_id", F.col("event_id") % 40 + 2)
+    edges = power_edges(hot.unionByName(rest), slices=16)
+    per_slice = [r["n"] for r in edges.filter("core_id = 1").groupBy("_slice").agg(F.count("*").alias("n")).collect()]
+    assert len(per_slice) > 8 and max(per_slice) < n / 6
+    want = [i for i in range(1, n) if (i % 3 != 1) != ((i - 1) % 3 != 1)]
+    assert ids(edges.filter("core_id = 1 and _changed")) == want
+    assert edges.select("core_id").distinct().count() == 41
+
+
+def test_outage_table_reads_the_readings_once(spark, tmp_path):
+    """What is made of the staged power edges does not go back to the readings."""
+    edges = power_edges(power_log(spark, [True, False, True]))
+    for df in (outages(edges, edges=edges), population(edges)):
+        assert "Scan ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_as_the_database_query_returns_them(spark):
+    """No event id: the columns of the derived table are enough for outages."""
+    log = power_log(spark, [True, False, True, False, True]).drop("event_id").withColumns(
+        {"product_id": F.lit(7008), "location_latitude": F.lit(5.5), "location_longitude": F.lit(-0.2), "site_id": F.lit(1)}
+    )
+    text = jdbc.deployed_query("2024-01-01", "2024-01-02")
+    columns = [c.strip().split(".")[1] for c in text[len("(SELECT "): text.index(" FROM")].split(",")]
+    assert set(columns) == set(log.columns)
+    got = outages(log.select(*columns)).collect()
+    assert [(r.core_id, r.location_latitude) for r in got] == [(1, 5.5)]
+
+
+def test_rows_without_time_or_place_are_noise(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "event_id bigint, outage_time bigint")
+    for k in (2, 3):
+        got = {r.event_id: r.label for r in clusters_time.dbscan_time(rows, eps=30, min_samples=k).collect()}
+        assert len(got) == 3 and got[3] == -1
+    merged = {r.event_id: r.cluster for r in clusters_time.agglomerate_time(rows, partition=None).collect()}
+    assert merged == {1: 10, 2: 10, 3: None}
+
+
+def test_kernel_density_without_spread_is_empty(spark):
+    one = spark.createDataFrame([(1.0, 2.0)], "lon double, lat double")
+    assert evaluation.kde_grid(one).count() == 0 and evaluation.kde_grid(one.limit(0)).count() == 0
+    assert evaluation.kde_line(one.unionByName(one), "lon").count() == 0
 
 
 def test_restore_time_is_the_next_transition(spark):
@@ -327,7 +367,7 @@ def test_histogram_closes_the_last_bin(spark):
 
 def test_ordinals_across_slices(spark):
     rows = spark.createDataFrame([(1, i, 100 * i) for i in range(10)] + [(2, 50, 5)], "core_id bigint, event_id bigint, outage_time bigint")
-    got = {r.event_id: r.ordinal for r in number_per_sensor(rows, width=250).collect()}
+    got = {r.event_id: r.ordinal for r in number_per_sensor(rows, slices=4).collect()}
     assert got == {**{i: i for i in range(10)}, 50: 0}
 
 
