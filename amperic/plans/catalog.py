@@ -163,7 +163,7 @@ _GPS = """SELECT r.core_id, epoch_us(st) // 1000000 AS valid_from_s, {site} epoc
   epoch_us(max(time)) // 1000000 AS maxtime_s, count(*) AS n_gps_samples, round(avg(gps_satellites), 9) AS gps_satellites_avg,
   round(avg(gps_latitude), 12) AS lat_avg, round(max(location_latitude), 6) AS lat_fixed, round(avg(gps_longitude), 12) AS lon_avg,
   round(110.25 * 1000 * sqrt(pow(avg(gps_latitude) - max(location_latitude), 2)
-    + pow(avg(gps_longitude) - max(location_longitude), 2)), 3) AS dist_diff_meters
+    + pow(avg(gps_longitude) - max(location_longitude), 2)), 1) AS dist_diff_meters
 FROM readings r JOIN spans s ON r.core_id = s.core_id AND time >= st AND time < et
 WHERE time >= TIMESTAMP '2024-01-01' AND time <= TIMESTAMP '2024-01-29' AND {fix}
 GROUP BY r.core_id, {group} st"""
@@ -178,7 +178,7 @@ def _gps(spark, sf_dir, **how):
         "core_id", epoch(F.col("valid_from")).alias("valid_from_s"), *site, epoch(F.col("mintime")).alias("mintime_s"),
         epoch(F.col("maxtime")).alias("maxtime_s"), "n_gps_samples", rnd("gps_satellites_avg", 9).alias("gps_satellites_avg"),
         rnd("lat_avg", 12).alias("lat_avg"), rnd("lat_fixed").alias("lat_fixed"), rnd("lon_avg", 12).alias("lon_avg"),
-        rnd("dist_diff_meters", 3).alias("dist_diff_meters"),
+        rnd("dist_diff_meters", 1).alias("dist_diff_meters"),
     )
 
 
