@@ -25,40 +25,39 @@ TOLERANCE = 1e-12
 def convex_hulls(points: DataFrame, keys: Sequence[str], *, x: str = "location_longitude", y: str = "location_latitude", tol: float = TOLERANCE) -> DataFrame:
     """Hull corners per key as arrays ``hx``, ``hy``, counter-clockwise.
 
-    A hull of hulls is the hull. Every task first reduces each batch of its
-    distinct points to partial hulls, so a key of any size reaches its final
-    task as a few corners per batch.
+    A hull of hulls is the hull. Every task first reduces each batch of its points
+    to partial hulls, so a key of any size reaches its final task as a few corners
+    per batch. One or two places are their own hull; points without a place count
+    for nothing.
     """
     keys = list(keys)
-    spots = points.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).distinct()
-    # one or two places are their own hull
-    sized = spots.join(spots.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
-    ends = F.sort_array(F.collect_list(F.struct("x", "y")))
-    plain = sized.filter("_n <= 2").groupBy(*keys).agg(ends.alias("_h"))
-    plain = plain.select(*keys, F.col("_h.x").alias("hx"), F.col("_h.y").alias("hy"))
+    spots = points.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null")
 
     def corners(pdf: pd.DataFrame, starts: np.ndarray) -> list[np.ndarray]:
         px, py = pdf["x"].to_numpy(), pdf["y"].to_numpy()
         stops = np.append(starts[1:], len(pdf))
-        return [a + hull_of(px[a:b], py[a:b], tol) for a, b in zip(starts, stops)]
+        return [
+            a + (hull_of(px[a:b], py[a:b], tol) if b - a > 2 else np.lexsort((py[a:b], px[a:b]))) for a, b in zip(starts, stops)
+        ]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.sort_values(keys, ignore_index=True)
+            pdf = pdf.drop_duplicates().sort_values(keys, ignore_index=True)
             if len(pdf):
                 yield pdf.iloc[np.concatenate(corners(pdf, starts_of(pdf, keys)))]
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, starts in whole_groups(batches, keys):
+        for pdf, _ in whole_groups(batches, keys):
+            pdf = pdf.drop_duplicates(ignore_index=True)
+            starts = starts_of(pdf, keys)
             px, py = pdf["x"].to_numpy(), pdf["y"].to_numpy()
             at = corners(pdf, starts)
             yield pdf[keys].iloc[starts].assign(hx=[px[i] for i in at], hy=[py[i] for i in at])
 
     types = {f.name: f.dataType.simpleString() for f in spots.schema}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", hx array<double>, hy array<double>"
-    wide = sized.filter("_n > 2").drop("_n")
-    thin = wide.mapInPandas(partial, wide.schema).repartition(*keys).sortWithinPartitions(*keys)
-    return thin.mapInPandas(final, schema).unionByName(plain)
+    thin = spots.mapInPandas(partial, spots.schema).repartition(*keys).sortWithinPartitions(*keys)
+    return thin.mapInPandas(final, schema)
 
 
 def strictly_inside(px: Column, py: Column, hx: Column, hy: Column, tol: float = TOLERANCE) -> Column:
@@ -145,24 +144,41 @@ def powered_near(
     label: str = "label",
     t: str = "outage_time",
     cell_degrees: float = 0.03,
+    factor: int = 4,
+    levels: int = 8,
 ) -> DataFrame:
     """Powered sensors around each cluster, members left out: one row per cluster
     and sensor with the sensor's latest place.
 
-    Sensors are found through the cells of the hull's bounding box at the
-    cluster's minutes, so clusters of one minute do not each meet all of its
-    sensors. Every sensor that can lie in a hull is found.
+    A hull is looked up in cells at least as wide as it is, of which it touches at
+    most four, so a wide hull over many minutes costs no more rows than a narrow
+    one. Cell widths grow by ``factor`` over ``levels`` sizes, and sensors are
+    listed at the sizes in use. Every sensor in a hull's bounding box is found.
     """
-    def cell(c):
-        return F.floor(c / cell_degrees).cast("bigint")
-
-    def span(corners):
-        return F.explode(F.sequence(cell(F.array_min(corners)), cell(F.array_max(corners))))
-
-    boxes = shapes.select(label, span("hx").alias("_cx"), "hy").select(label, "_cx", span("hy").alias("_cy"))
+    sizes = [cell_degrees * factor**k for k in range(levels)]
+
+    def cell(c, size):
+        return F.floor(c / size).cast("bigint")
+
+    ends = {f"_{k}{a}": f(f"h{a}") for a in "xy" for k, f in (("lo", F.array_min), ("hi", F.array_max))}
+    boxes = shapes.select(label, *[c.alias(n) for n, c in ends.items()])
+    extent = F.greatest(F.col("_hix") - F.col("_lox"), F.col("_hiy") - F.col("_loy"))
+    level = sum((F.when(extent > s, 1).otherwise(0) for s in sizes[:-1]), F.lit(0))
+    boxes = boxes.withColumn("_level", level)
+    width = F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("_level") + 1)
+    boxes = stage(boxes.withColumn("_width", width))
+    used = boxes.select("_level", "_width").distinct().limit(levels).collect()
+    for a in "xy":
+        boxes = boxes.withColumn(f"_c{a}", F.explode(F.sequence(cell(F.col(f"_lo{a}"), F.col("_width")), cell(F.col(f"_hi{a}"), F.col("_width")))))
     minutes = stage(_cluster_minutes(members, label, t))
-    spots = snapshot.withColumns({"_cx": cell(F.col("location_longitude")), "_cy": cell(F.col("location_latitude"))})
-    near = minutes.join(boxes, label).join(spots, ["minute", "_cx", "_cy"]).select(label, "core_id").distinct()
+    lon, lat = F.col("location_longitude"), F.col("location_latitude")
+    cells = [
+        F.struct(F.lit(r["_level"]).alias("_level"), cell(lon, r["_width"]).alias("_cx"), cell(lat, r["_width"]).alias("_cy")) for r in used
+    ] or [F.struct(F.lit(0).alias("_level"), cell(lon, sizes[0]).alias("_cx"), cell(lat, sizes[0]).alias("_cy"))]
+    spots = snapshot.withColumn("_cell", F.explode(F.array(*cells))).select("minute", "core_id", "_cell.*", lon.alias("_x"), lat.alias("_y"))
+    near = minutes.join(boxes, label).join(spots, ["minute", "_level", "_cx", "_cy"])
+    near = near.filter(F.col("_x").between(F.col("_lox"), F.col("_hix")) & F.col("_y").between(F.col("_loy"), F.col("_hiy")))
+    near = near.select(label, "core_id").distinct()
     near = near.join(members.select(label, "core_id").distinct(), [label, "core_id"], "left_anti")
     return near.join(minutes, label).join(snapshot, ["minute", "core_id"]).groupBy(label, "core_id").agg(
         F.max_by("location_latitude", "minute").alias("location_latitude"),

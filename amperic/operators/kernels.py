@@ -28,18 +28,21 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterat
 
     One call handles many small groups, which a call per group would not.
     """
-    rest = None
+    rest: list[pd.DataFrame] = []
     for pdf in batches:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
         if pdf.empty:
             continue
         starts = starts_of(pdf, keys)
-        done, rest = pdf.iloc[: starts[-1]], pdf.iloc[starts[-1] :]
+        if rest and len(starts) == 1 and all(pdf[k].iat[0] == rest[-1][k].iat[-1] for k in keys):
+            rest.append(pdf)  # a long group is put together once, at its end
+            continue
+        pdf = pd.concat([*rest, pdf], ignore_index=True)
+        starts = starts_of(pdf, keys)
+        done, rest = pdf.iloc[: starts[-1]], [pdf.iloc[starts[-1] :]]
         if len(done):
             yield done, starts[:-1]
-    if rest is not None and len(rest):
-        yield rest.reset_index(drop=True), np.array([0])
+    if rest:
+        yield pd.concat(rest, ignore_index=True), np.array([0])
 
 
 def merge_rounds(t: np.ndarray, copies: np.ndarray, max_gap: int) -> tuple[np.ndarray, np.ndarray]:

@@ -394,3 +394,28 @@ def test_text_round_trips(spark, tmp_path):
     assert got == [datetime(2018, 7, 1, 12), datetime(2018, 7, 1, 12, 0, 0, 250000), None]
     assert tables.empty(spark, "a int").count() == 0
     assert len(tables.head_to_pandas(spark.range(10), 3)) == 3
+
+
+def test_wide_hull_is_looked_up_in_few_cells(spark):
+    """A hull of ten degrees over a day: candidates stay near the number of spots."""
+    members = spark.createDataFrame(
+        [(1, 100 + i, E0 + 60 * i, -5.0 + 10 * (i % 2), 10.0 * (i // 2 % 2)) for i in range(1440)],
+        "label bigint, core_id bigint, outage_time bigint, location_longitude double, location_latitude double",
+    )
+    snapshot = spark.range(2880).selectExpr(
+        f"timestamp_seconds({E0} + 60 * (id div 2)) AS minute", "10000 + id % 7 AS core_id",
+        "CAST(id % 20 - 10 AS DOUBLE) AS location_longitude", "5.0D AS location_latitude",
+    )
+    shapes = hulls.convex_hulls(members, ["label"])
+    assert len(shapes.first().hx) == 4
+    got = hulls.powered_near(members, shapes, snapshot)
+    want = {10000 + i % 7 for i in range(2880) if -5 <= i % 20 - 10 <= 5}
+    assert {r.core_id for r in got.collect()} == want
+
+
+def test_hulls_of_one_and_two_places(spark):
+    rows = spark.createDataFrame(
+        [(1, 0.0, 0.0), (1, 0.0, 0.0), (2, 1.0, 0.0), (2, 0.0, 5.0), (3, None, 1.0)], "k int, location_longitude double, location_latitude double"
+    )
+    got = {r.k: (r.hx, r.hy) for r in hulls.convex_hulls(rows, ["k"]).collect()}
+    assert got == {1: ([0.0], [0.0]), 2: ([0.0, 1.0], [5.0, 0.0])}
