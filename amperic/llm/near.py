@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from amperic.llm.common import map_batches, mix, offsets, staged, utf8, whole_text, windows
@@ -154,11 +155,14 @@ def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def links(
-    docs: DataFrame, nodes: DataFrame, *, threshold: float = 0.8, hub_rounds: int = 3, small: int = 64 << 20
+    docs: DataFrame, nodes: DataFrame, *, threshold: float = 0.8, hub_rounds: int = 2, small: int = 64 << 20
 ) -> DataFrame:
     """Verified links (``a``, ``b``, ``similarity``) that connect all documents
     which any chain of links over shared buckets connects.
 
+    A pair of one group is left out once the group is known; no link between
+    different groups is.
+
     ``nodes`` has ``node``, ``t1``, ``n`` and ``bands``.
     """
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -186,11 +190,32 @@ def links(
         open_rows = staged(_still_open(rows, linked()))
         if open_rows.isEmpty():
             return linked()
-    # what is left: members of different groups, each pair once
-    a, b = open_rows.select("key", "node", "n", "root"), open_rows.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("top"))
-    fits = (F.col("node") < F.col("other")) & (F.col("root") != F.col("top")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))
-    rest = _pairs(a.join(b, "key").filter(fits), threshold).join(known, ["a", "b"], "left_anti")
-    return linked().unionByName(_verified(staged(_possible(rest, known, threshold)), sets).filter(F.col("similarity") >= threshold))
+    rest = _by_rare_shingles(open_rows, sets, threshold).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    return linked().unionByName(_verified(staged(rest), sets).filter(F.col("similarity") >= threshold))
+
+
+def _by_rare_shingles(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different groups that may still be linked, without forming all pairs.
+
+    Two sets of similarity ``t`` share one of the rarest ``n - ceil(t * n) + 1``
+    elements of either, in any common order. The order is by how many of the open
+    documents have an element, so what thousands share is only met by documents
+    that have little else.
+    """
+    nodes = rows.select("node", "root").distinct()
+    items = staged(sets.join(nodes, "node").select("node", "root", F.size("items").alias("n"), F.explode("items").alias("item")))
+    held = items.groupBy("item").agg(F.count("*").alias("holders"))
+    order = W.partitionBy("node").orderBy("holders", "item")
+    rare = items.join(held, "item").withColumn("_rank", F.row_number().over(order))
+    rare = staged(rare.filter((F.col("_rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1) & (F.col("holders") > 1)))
+    mixed = rare.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("item")
+    a = rare.join(mixed, "item").select("item", "node", "n", "root", F.col("_rank").alias("p"))
+    b = a.select("item", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("top"), F.col("p").alias("q"))
+    # where the first common element stands bounds how many can follow it
+    most = 1 + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
+    enough = most * (1 + threshold) >= threshold * (F.col("n") + F.col("m")) - 1e-6
+    fits = (F.col("node") < F.col("other")) & (F.col("root") != F.col("top")) & enough
+    return _pairs(a.join(b, "item").filter(fits), threshold)
 
 
 def _still_open(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -201,20 +226,8 @@ def _still_open(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(mixed.select("key"), "key", "left_semi")
 
 
-def _possible(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose distances to a document that both were compared with differ by
-    no more than a link may be long."""
-    sides = known.select(F.col("a").alias("x"), F.col("b").alias("hub"), "similarity").unionByName(
-        known.select(F.col("b").alias("x"), F.col("a").alias("hub"), "similarity")
-    )
-    one = sides.select(F.col("x").alias("a"), "hub", F.col("similarity").alias("s"))
-    two = sides.select(F.col("x").alias("b"), "hub", F.col("similarity").alias("t"))
-    far = pairs.join(one, "a").join(two, ["b", "hub"]).filter(F.abs(F.col("s") - F.col("t")) > 1 - threshold + 1e-3)
-    return pairs.join(far.select("a", "b"), ["a", "b"], "left_anti")
-
-
 def near_duplicates(
-    docs: DataFrame, *, threshold: float = 0.8, bands: int = 26, rows: int = 5, hub_rounds: int = 3, small: int = 64 << 20
+    docs: DataFrame, *, threshold: float = 0.8, bands: int = 26, rows: int = 5, hub_rounds: int = 2, small: int = 64 << 20
 ) -> DataFrame:
     """``doc_id``, ``class_id`` (least id with the same text), ``group_id`` (least id
     of the connected near-duplicates), ``n_shingles`` and ``text_hash``, which tells
