@@ -208,13 +208,12 @@ def equal_windows(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], l
     return back, ahead
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, back: int, length: int, small: int) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: DataFrame, back: int, length: int) -> DataFrame:
     """``wanted`` (a representative each) with its bytes: ``lefts`` reversed, ``rights``."""
-    size = wanted.count() * 64
     listed = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("h", "c", "p", "part", "alone")).alias("list"))
     listed = listed.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "list")
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    rows = texts.join(F.broadcast(listed) if size <= small else listed, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    rows = texts.join(listed, F.col("doc_id").eqNullSafe(F.col("_doc")))
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("h", "c", "part", "alone", "lefts", "rights")}
@@ -271,9 +270,13 @@ def _by_counting(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(
-    docs: DataFrame, *, length: int = 400, gram: int = 128, task_contexts: int = 20_000, small: int = 32 << 20
+    docs: DataFrame, *, length: int = 400, gram: int = 128, part_contexts: int = 20_000, task_contexts: int = 60_000
 ) -> DataFrame:
-    """``doc_id``, ``row`` and ``spans``: start and end of stretches to remove, which may overlap."""
+    """``doc_id``, ``row`` and ``spans``: start and end of stretches to remove, which may overlap.
+
+    A task gets about ``part_contexts`` contexts, or all of one anchor if those are
+    no more than ``task_contexts``, which bounds its memory to some hundred megabytes.
+    """
     back = length - gram
     found = staged(anchor_rows(docs, length=length, gram=gram))
     first = F.min(F.struct("doc_id", "row", F.get("at", F.lit(0)).alias("p")))
@@ -286,11 +289,11 @@ def repeated_spans(
         "h", "c", F.col("left").alias("l"), F.col("right").alias("r")
     )
     several = classes.filter("kinds > 1")
-    parts = max(1, -(-several.count() // task_contexts))
+    parts = max(1, -(-several.count() // part_contexts))
     wanted = several.select(
         "h", "c", "first.*", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int").alias("part"), (F.col("kinds") <= task_contexts).alias("alone")
     )
-    contexts = staged(_contexts(docs, wanted, back, length, small))
+    contexts = staged(_contexts(docs, wanted, back, length))
     partial = _in_tasks(contexts.filter("alone"), length)
     crowded = contexts.filter(~F.col("alone"))
     if not crowded.isEmpty():
@@ -313,10 +316,10 @@ def _covered(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int = 128, task_contexts: int = 20_000, small: int = 32 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int = 128, part_contexts: int = 20_000, task_contexts: int = 60_000) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining
     bytes, which need not be valid UTF-8) and ``kept_sha256``."""
-    spans = repeated_spans(docs, length=length, gram=gram, task_contexts=task_contexts, small=small)
+    spans = repeated_spans(docs, length=length, gram=gram, part_contexts=part_contexts, task_contexts=task_contexts)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "spans")).alias("rows")).withColumnRenamed("doc_id", "_doc")
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
 
