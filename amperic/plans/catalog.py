@@ -844,14 +844,14 @@ def hull_area(spark, sf_dir):
 
 
 @query(
-    f"""SELECT label, round(abs(alb - utm) / 1e6, 4) AS albers_utm_km2, round(abs(utm - 49546874.7356604) / 1e6, 4) AS given_utm_km2
+    f"""SELECT label, round(abs(alb - utm) / 1e6, 4) AS albers_utm_km2, round(abs(utm - 50000000.0) / 1e6, 4) AS given_utm_km2
 FROM ({_areas_sql('out_hull', 'out_pts', 'label')})"""
 )
 def area_comparison(spark, sf_dir):
     """Areas against each other and against a value given from outside."""
     members = summary.clustered(flows.labelled(spark, sf_dir))
     areas = hulls.hull_areas(hulls.convex_hulls(members, ["label"]))
-    given = 49546874.7356604
+    given = 50000000.0
     return areas.select(
         "label",
         rnd(F.abs(F.col("area_albers_m2") - F.col("area_utm_m2")) / 1e6, 4).alias("albers_utm_km2"),
