@@ -2,52 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import itertools
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amperic.session import configure, use_scratch
+from amperic.session import configure, stage
 
 # Characters that separate words, as in [^\x20\x09-\x0D]+; bytes.split() uses the same six.
 BLANKS = " \t\n\x0b\x0c\r"
 
-_FOLDERS: dict[str, str] = {}
-
-
-def _forget(spark: SparkSession, folder: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session is gone; its folder goes with the cluster's scratch space
-        pass
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder of this application below the shared ``spark.checkpoint.dir``,
-    deleted when the driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base is None:
-            use_scratch(spark)
-            base = spark.sparkContext.getCheckpointDir()
-        _FOLDERS[app] = f"{base}/text-{app}"
-        atexit.register(_forget, spark, _FOLDERS[app])
-    return _FOLDERS[app]
-
 
 def staged(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet on shared storage and read back, so that
     a lost executor costs no recomputation and later steps prune columns."""
-    path = f"{scratch(df.sparkSession)}/{uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage(df, "zstd")
 
 
 def prepared(spark: SparkSession) -> SparkSession:
