@@ -1,12 +1,14 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A document is its five-word shingles, weighted by how often it has them. Every
-shingle is a Poisson process whose rate is its weight; an arrival falls on a
-random component of the signature, and the component keeps its first arrival.
-Arrivals of a shingle are drawn in order of time, so drawing stops once they are
-later than all components. Two signatures agree in a component with the
-probability Jaccard similarity of the documents. Documents that agree in a band of
-components are candidates, and candidates are verified on their shingle sets.
+A document is the set of its five-word shingles. Every shingle is a Poisson
+process whose rate is its weight; an arrival falls on a random component of the
+signature, and the component keeps its first arrival. Arrivals of a shingle are
+drawn in order of time, so drawing stops once they are later than all components.
+Two signatures agree in a component with the probability Jaccard similarity of the
+documents. All weights are 1 however often a text repeats a shingle, so that this
+is the Jaccard similarity of the sets, by which links are defined. Documents that
+agree in a band of components are candidates, and candidates are verified on their
+shingle sets.
 
 Within a bucket not all pairs are formed. The member that shares most buckets is
 the hub, which the others are compared with; who is linked needs no more
@@ -42,13 +44,13 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingles(text: bytes, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle fingerprints of a text, and how often it has each."""
+def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
+    """Distinct shingle fingerprints of a text."""
     words = text.split()
     marks = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if not len(marks):
-        return marks, np.zeros(0, np.int64)
-    return np.unique(windows(marks, min(width, len(marks))), return_counts=True)
+        return marks
+    return np.unique(windows(marks, min(width, len(marks))))
 
 
 def _uniform(seed: np.ndarray) -> np.ndarray:
@@ -99,11 +101,11 @@ def signatures(docs: DataFrame, *, bands: int = 26, rows: int = 5) -> DataFrame:
         texts = utf8(batch)
         digests = [xxhash.xxh3_128_intdigest(t) for t in texts]
         parts = [shingles(t) for t in texts]
-        counts = [len(k) for k, _ in parts]
+        counts = [len(k) for k in parts]
         owner = np.repeat(np.arange(len(texts)), counts)
-        keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.uint64)])
-        weights = np.concatenate([w for _, w in parts] or [np.zeros(0)]).astype(float)
-        found = band_keys(prob_min_hash(owner, keys, weights, len(texts), bands * rows), rows).view(np.int64)
+        keys = np.concatenate(parts or [np.zeros(0, np.uint64)])
+        # links are verified on sets, so repeats must not weigh
+        found = band_keys(prob_min_hash(owner, keys, np.ones(len(keys)), len(texts), bands * rows), rows).view(np.int64)
         flat = found[np.array(counts, np.int64) > 0].ravel()
         ends = offsets([bands if c else 0 for c in counts]).astype(np.int32)
         return {
@@ -127,7 +129,7 @@ def _sets(docs: DataFrame, needed: DataFrame, small: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         texts = utf8(batch)
         marks = np.array([xxhash.xxh3_128_intdigest(t) & 0xFFFFFFFFFFFFFFFF for t in texts], np.uint64)
-        found = [np.unique(shingles(t)[0].astype(np.uint32)).view(np.int32) for t in texts]
+        found = [np.unique(shingles(t).astype(np.uint32)).view(np.int32) for t in texts]
         return {"node": batch.column("node"), "items": found, "t1": marks.view(np.int64)}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), whole_text().alias("text"))

@@ -105,6 +105,16 @@ def test_near_duplicates(spark, rounds):
     assert len(got) == len(rows)
 
 
+def test_near_duplicates_with_unequal_repeats(spark):
+    rng, texts = random.Random(8), []
+    for k in (20, 50, 50, 200, 200, 200, 200, 200):
+        words = " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(300))
+        line = " ".join(f"r{rng.randint(0, 10**9)}" for _ in range(12))
+        texts += [f"{words} {line}", " ".join([words] + [line] * k)]
+    got = near.near_duplicates(frame(spark, list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["group_id"] for r in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_duplicates_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text), (5, text), (5, text), (3, "other words that stand alone here"), (3, text + " x"), (None, "lonely")]
