@@ -2,7 +2,9 @@
 
 A byte-pair vocabulary needs few tokens for language and many for random
 characters. A string whose characters per token fall below a limit is reported,
-unless it is a known digest or identifier.
+unless it is a known digest or an identifier. Identifiers are told by the same
+measure of their words alone. Letters of one case need a lower limit, as prose has
+long words.
 
 Rules for odd input: a NULL text is empty and has no spans. Every row gives one
 row, repeated identifiers included; other columns are ignored. An empty table
@@ -37,8 +39,11 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 HEXES = re.compile(r"[0-9a-fA-F]+\Z")
-# Words joined by _, - or /, or in camel case, and optionally numbered: an identifier or a path.
-IDENTIFIER = re.compile(r"(?:[_/=+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|\d{1,4}))+[_/=+-]*\Z")
+# Words of an identifier or a path, joined by signs, digits or camel case.
+WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+JOINT = re.compile(r"[_/=+-]")
+# Tokens are counted in pieces, so that a run of any length takes linear time.
+PIECE = 2048
 
 
 @functools.lru_cache(maxsize=2)
@@ -62,25 +67,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_known(run: str) -> bool:
-    """A digest, a universally unique identifier, a number, or joined words."""
-    return bool(
-        run.isdigit()
-        or UUID.match(run)
-        or (HEXES.match(run) and len(run) in DIGESTS)
-        or IDENTIFIER.match(run)
-    )
+    """A digest, a universally unique identifier, or a number."""
+    return bool(run.isdigit() or UUID.match(run) or (HEXES.match(run) and len(run) in DIGESTS))
 
 
-def random_spans(text: str, encode, *, chars_per_token: float, least: int) -> list[tuple[int, int, int]]:
+def _tokens(run: str, encode) -> int:
+    return sum(len(encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+
+
+def is_identifier(run: str, encode, *, chars_per_token: float, letters_per_token: float, share: float = 0.6) -> bool:
+    """Whether words of three letters or more make up the ``share`` of letters and
+    digits and compress like language. Words between signs may do so less well."""
+    words = [w for w in WORD.findall(run) if len(w) >= 3]
+    letters = sum(map(len, words))
+    limit = letters_per_token if JOINT.search(run) else chars_per_token
+    return letters >= max(1, share * sum(map(str.isalnum, run))) and letters >= limit * sum(_tokens(w, encode) for w in words)
+
+
+def random_spans(
+    text: str, encode, *, chars_per_token: float, least: int, letters_per_token: float = 2.0
+) -> list[tuple[int, int, int]]:
     """Runs of key characters that the vocabulary compresses badly (kind 3)."""
     out = []
     for m in RUN.finditer(text):
         run = m[0]
         core = run.strip("=-_+/")
-        # one class of letters alone is a word, however long
-        if len(core) < least or core.isalpha() and (core[1:].islower() or core.isupper()) or is_known(core):
+        if len(core) < least or is_known(core):
+            continue
+        word = core.isalpha() and (core[1:].islower() or core.isupper())
+        limits = {"chars_per_token": chars_per_token, "letters_per_token": letters_per_token}
+        if len(core) >= limits["letters_per_token" if word else "chars_per_token"] * _tokens(core, encode):
             continue
-        if len(core) < chars_per_token * len(encode(core)):
+        if word or not is_identifier(core, encode, **limits):
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -94,13 +112,14 @@ def _line(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secret_scan(
-    docs: DataFrame, *, vocabulary: str, pattern: str, chars_per_token: float = 2.2, least: int = 16
+    docs: DataFrame, *, vocabulary: str, pattern: str, chars_per_token: float = 2.2, least: int = 16, letters_per_token: float = 2.0
 ) -> DataFrame:
     """Spans per document: the base patterns, then random strings outside them.
 
     ``vocabulary`` is a rank file that every executor can open, ``pattern`` the
     expression that splits text before its merges. A random string that overlaps
-    a base span is that span's secret and not reported twice.
+    a base span is that span's secret and not reported twice. ``letters_per_token``
+    is the limit for letters of one case and for words between signs.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -108,7 +127,7 @@ def secret_scan(
         out: dict[str, list] = {n: [] for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")}
         for text in batch.column("text").to_pylist():
             base = base_spans(text)
-            more = random_spans(text, encode, chars_per_token=chars_per_token, least=least)
+            more = random_spans(text, encode, chars_per_token=chars_per_token, least=least, letters_per_token=letters_per_token)
             more = [s for s in more if not any(s[0] < b and a < s[2] for a, _, b in base)] if base else more
             kinds = [k for _, k, _ in base]
             for k, name in enumerate(("n_assign", "n_access", "n_hex")):

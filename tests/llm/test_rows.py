@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -93,6 +94,32 @@ def test_secrets(docs, texts, spark):
         assert whole[i]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
 
 
+def test_random_strings_of_every_alphabet():
+    rng, encode = random.Random(11), secret_scan._encoding(PATH, PATTERN).encode_ordinary
+
+    def found(run):
+        return secret_scan.random_spans(f"see {run} here", encode, chars_per_token=2.2, least=16) == [(4, 3, 4 + len(run))]
+
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet in (up + "234567", low + "0123456789", low, up, low + up + "0123456789"):
+        for n in (16, 24, 32):
+            hits = sum(found("".join(rng.choices(alphabet, k=n))) for _ in range(200))
+            assert hits >= 180, (alphabet, n, hits)
+    for name in (
+        "get_user_name_from_database_row", "org/apache/spark/sql/functions", "HTTPServerRequestHandlerFactory2", "SPARK_LOCAL_DIRS_2",
+        "xmlns_xsi_noNamespaceSchema", "INTERNATIONALIZATION", "donaudampfschifffahrtsgesellschaft", "test_case_0012_part_03",
+    ):
+        assert not found(name), name
+
+
+def test_long_runs_take_linear_time():
+    encode = secret_scan._encoding(PATH, PATTERN).encode_ordinary
+    began = time.monotonic()
+    for run in ("1" * 40 + "b", "ab" * 30 + "1b", "a1" * 50_000, "x" * 200_000, "Ab" * 100_000):
+        secret_scan.random_spans(run, encode, chars_per_token=2.2, least=16)
+    assert time.monotonic() - began < 5
+
+
 def reference():
     vocab = bpe.vocabulary(PATH, PATTERN)
     return tiktoken.Encoding("ref", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(vocab.tokens)}, special_tokens={})
