@@ -2,7 +2,7 @@
 classes and common words from references of its language.
 
 Rules for odd input: a NULL text is empty; an empty text has zero counts and
-fails the base rule. A NULL or rare language shares one pooled reference. Tests
+fails the base rule. Rows with a NULL language share one reference. Tests
 that need more characters or words than a document has are not applied. Every
 row gives one row, repeated identifiers included; other columns are ignored. An
 empty table gives an empty table.
@@ -26,7 +26,7 @@ from amperic.llm.common import map_batches, offsets, utf8, windows, whole_text
 SYMBOLS = b"#*$%&|<>"
 # The character classes of the histogram, by UTF-8 byte. Bytes that
 # continue a character belong to none.
-CLASS_NAMES = ("lower", "upper", "digit", "space", "newline", "stop", "quote", "symbol", "other_ascii", "control", "latin", "beyond")
+CLASS_NAMES = ("lower", "upper", "digit", "space", "newline", "stop", "quote", "symbol", "other_ascii", "control", "latin", "beyond", "pipe")
 
 
 def _class_table() -> np.ndarray:
@@ -39,6 +39,7 @@ def _class_table() -> np.ndarray:
     }
     for name, chars in groups.items():
         table[list(chars)] = CLASS_NAMES.index(name)
+    table[ord("|")] = CLASS_NAMES.index("pipe")  # what menus are joined by
     table[0xC3:0xCA] = CLASS_NAMES.index("latin")
     table[0x80:0xC0] = -1
     return table
@@ -58,12 +59,12 @@ class Limits:
     source by the order of ``1 / sqrt(n)``, so ``sqrt(noise / n)`` is allowed on top.
     """
 
-    char_distance: float = 0.22
-    char_noise: float = 2.5
-    word_distance: float = 0.36
-    word_noise: float = 1.6
-    min_chars: int = 150
-    min_words: int = 80
+    char_distance: float = 0.12
+    char_noise: float = 4.0
+    word_distance: float = 0.33
+    word_noise: float = 2.6
+    min_chars: int = 100
+    min_words: int = 30
     min_doc_words: int = 10
     repeat_percent: int = 20
 
@@ -95,16 +96,15 @@ def _count_language(texts: list[bytes], words: Counter) -> np.ndarray:
     return class_counts(texts).sum(axis=0)
 
 
-def language_references(docs: DataFrame, *, n_words: int = 200, max_languages: int = 64) -> dict[str, dict[str, Any]]:
+def language_references(docs: DataFrame, *, n_words: int = 200, max_languages: int | None = None) -> dict[str, dict[str, Any]]:
     """Character-class counts and the most common words per language, over all
-    documents. Languages beyond the ``max_languages`` largest share the pooled
-    reference ``""``, so what reaches the driver is bounded by the parameters.
+    documents. The driver takes ``n_words`` and a few rows of each language. With
+    ``max_languages``, languages beyond the largest share the pooled reference ``""``.
     """
-    names = [
-        r["lang"] for r in docs.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    ]
-    known = set(names)
+    known = None
+    if max_languages is not None:
+        sizes = docs.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+        known = {r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
 
     def count(batches):
         kept: dict[str, Counter] = {}
@@ -123,7 +123,8 @@ def language_references(docs: DataFrame, *, n_words: int = 200, max_languages: i
         for batch in batches:
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch)):
-                by_lang.setdefault(lang if lang in known else "", []).append(text)
+                own = lang is not None and (known is None or lang in known)
+                by_lang.setdefault(lang if own else "", []).append(text)
             for lang, texts in by_lang.items():
                 found = _count_language(texts, kept.setdefault(lang, Counter()))
                 sums[lang] = sums.get(lang, 0) + found
@@ -262,7 +263,7 @@ SCHEMA = (
 
 
 def quality_rules(
-    docs: DataFrame, *, limits: Limits = Limits(), n_words: int = 200, max_languages: int = 64, carry: Sequence[str] = ()
+    docs: DataFrame, *, limits: Limits = Limits(), n_words: int = 200, max_languages: int | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Base counts and the verdict per document, and the columns named in ``carry``.
 

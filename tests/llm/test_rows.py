@@ -59,6 +59,24 @@ def test_quality_verdicts_on_labels(spark, sf_dir):
     assert sum(junk) <= 0.15 * len(junk)
 
 
+def test_quality_recall_at_all_lengths(spark):
+    """Junk that passes the base rule, by length; what the base rule fails is no catch."""
+    sf = "/root/testdata/sf0.1"
+    rows = quality.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).filter("not base_failed")
+    rows = rows.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    for least, end, lost, missed in ((10, 80, 0.06, 0.6), (80, 200, 0.02, 0.1), (200, 10**6, 0.01, 0.02)):
+        some = [r for r in rows if least <= r["n_words"] < end]
+        clean = [r["kept"] for r in some if r["quality"] == 1]
+        junk = [r["kept"] for r in some if r["quality"] == 0]
+        assert sum(clean) >= (1 - lost) * len(clean), (least, sum(clean), len(clean))
+        assert sum(junk) <= missed * len(junk), (least, sum(junk), len(junk))
+
+
+def test_every_language_has_a_reference(spark):
+    rows = [(i, f"w{i} and some words of language {i}", f"l{i:03d}") for i in range(70)] + [(70, "no language", None)]
+    assert len(quality.language_references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == 71
+
+
 def test_divergence_is_symmetric_and_bounded():
     p, q = np.array([[1.0, 0], [1, 1], [0, 0]]), np.array([0.0, 1])
     d = quality._jensen_shannon(p, q)
