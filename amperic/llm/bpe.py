@@ -214,14 +214,17 @@ def _blocks(texts: list[str], size: int):
         yield block
 
 
-def bpe_encode(docs: DataFrame, *, vocabulary_path: str, pattern: str, block_chars: int = 8 << 20, ids: bool = True) -> DataFrame:
+def bpe_encode(
+    docs: DataFrame, *, vocabulary_path: str, pattern: str, block_chars: int = 8 << 20, ids: bool = True, carry: Sequence[str] = ()
+) -> DataFrame:
     """``doc_id``, ``n_tokens``, digests of the ids and of the decoded bytes, and
-    with ``ids`` the ids themselves.
+    with ``ids`` the ids themselves; then the columns named in ``carry``.
 
     ``vocabulary_path`` is a rank file that every executor can open; special
     tokens are ordinary text.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
     encoders: list[Encoder] = []
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -239,9 +242,9 @@ def bpe_encode(docs: DataFrame, *, vocabulary_path: str, pattern: str, block_cha
                 if ids:
                     out["ids"].append(numbers.astype(np.int32))
         gc.enable()
-        return {"doc_id": batch.column("doc_id"), **out}
+        return {"doc_id": batch.column("doc_id"), **out, **{c: batch.column(c) for c in carry}}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")), run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), *carry), run, schema)
 
 
 def bpe_decode(encoded: DataFrame, *, vocabulary_path: str, pattern: str) -> DataFrame:

@@ -57,10 +57,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with the digests of ids and decoded bytes."""
+    """Token ids with the digests of ids and decoded bytes, and ``slot`` and ``begin``.
+
+    A reader of Parquet files does not keep their order, so the place of a row in
+    the mixed order is worked out again from the rows, which the mixing left whole.
+    """
     prepared(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe_encode(docs, vocabulary_path=path, pattern=public_tokenizers.PATTERN)
+    placed = mix_sources(docs.select(*COLUMNS))
+    return bpe_encode(placed, vocabulary_path=path, pattern=public_tokenizers.PATTERN, carry=("slot", "begin"))
 
 
 STAGES = [

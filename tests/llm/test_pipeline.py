@@ -73,6 +73,21 @@ def test_encoding(stages):
         assert got[r[0]]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def test_output_carries_the_mixed_order(stages):
+    _, before, after = stages[4]
+    sizes = Counter()
+    for r in rows(before):
+        sizes[r[3] or ""] += len(r[1])
+    weights = {s: n**0.5 / sum(v**0.5 for v in sizes.values()) for s, n in sizes.items()}
+    source = {r[0]: r[3] or "" for r in rows(before)}
+    got = {(r["slot"], source[r["doc_id"]]) for r in after.collect()}
+    assert len({t for t, _ in got}) == len(got) > 10
+    for t in range(1, max(t for t, _ in got) + 2):
+        done = Counter(s for at, s in got if at < t)
+        # a source may run out, or a long text may span blocks; none gets ahead of its weight
+        assert all(done[s] < t * w + 1 + t / 500 for s, w in weights.items()), t
+
+
 def test_run_is_the_stages(spark, stages):
     whole = {r["doc_id"]: r["ids_sha256"] for r in cp.run(spark, SF).collect()}
     assert whole and set(whole) <= {r["doc_id"] for r in stages[-1][2].collect()} | {10**6}
