@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amperic.llm import bpe, chat, hamming, lines, mixing, near, quality, repeats, secret_scan, wrapper
+from amperic.llm import bpe, chat, hamming, lines, mixing, near, quality, repeats, resample, secret_scan, wrapper
 from amperic.llm.common import documents, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +159,9 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+@query()
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = prepared(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample.resample(documents(spark, sf_dir), target)
