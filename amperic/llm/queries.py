@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amperic.llm import bpe, chat, hamming, lines, mixing, near, quality, repeats, resample, secret_scan, wrapper
+from amperic.llm import bpe, chat, hamming, lines, mixing, near, personal, product_codes, quality, repeats, resample, secret_scan, wrapper
 from amperic.llm.common import documents, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,43 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = prepared(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return resample.resample(documents(spark, sf_dir), target)
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, width: int = 64) -> str:
+    """The codebooks and codes of op12, all distances compared."""
+    dims = range(1, width // parts + 1)
+    gap = " + ".join(f"(x[{d}] - c[{d}]) * (x[{d}] - c[{d}])" for d in dims)
+    low = lambda d: f"(sum(x[{d}]) - ((sum(x[{d}]) % count(*)) + count(*)) % count(*)) // count(*)"
+    means = ", ".join(f"CAST({low(d)} AS BIGINT)" for d in dims)
+    blocks = [
+        f"""parts AS (
+  SELECT vec_id, label, p, list_transform(embedding[p * {len(dims)} + 1 : (p + 1) * {len(dims)}], lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x
+  FROM embeddings, (SELECT unnest(range({parts})) AS p)
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""book0 AS (
+  SELECT p, row_number() OVER w - 1 AS e, x AS c FROM parts WINDOW w AS (PARTITION BY p ORDER BY vec_id, x) QUALIFY row_number() OVER w <= {entries})""",
+    ]
+    for r in range(rounds + 1):
+        blocks.append(
+            f"""near{r} AS (
+  SELECT vec_id, any_value(label) AS label, p, any_value(x) AS x, min({{'d': {gap}, 'e': e}}) AS m FROM parts JOIN book{r} USING (p) GROUP BY vec_id, p)"""
+        )
+        if r < rounds:
+            blocks.append(
+                f"""book{r + 1} AS (
+  SELECT p, e, coalesce(n.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT p, m.e AS e, [{means}] AS c FROM near{r} GROUP BY 1, 2) n USING (p, e))"""
+            )
+    blocks.append(
+        f"""coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec_id)"""
+    )
+    return f"""WITH {", ".join(blocks)}
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM coded"""
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.product_codes(prepared(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
