@@ -205,3 +205,8 @@ SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS
 @query(_codes_sql())
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_codes.product_codes(prepared(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query()
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(documents(spark, sf_dir))
