@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from amperic.functions.clock import DAY, iso_week
-from amperic.operators.kernels import merge_rounds, reach_back, whole_groups
+from amperic.operators.kernels import merge_rounds, plot_points, reach_back, steep_clusters, whole_groups
 from amperic.operators.ordered import count_within, islands, neighbours, running, with_slice
 from amperic.session import stage
 
@@ -145,36 +145,14 @@ def neighbour_gaps(rows: DataFrame, t: str = "outage_time", *, width: int = DAY)
     )
 
 
-def optics_time(
-    rows: DataFrame,
-    t: str = "outage_time",
-    *,
-    max_eps: float = 0.7,
-    min_samples: int = 5,
-    period: int = 2 * DAY,
-    cut: float | None = None,
-) -> DataFrame:
-    """OPTICS of each ``period`` (from the first row on), in its own standard
-    deviations.
-
-    In one dimension, from the first time on, the next object is always the next
-    time: it is no farther from any processed object than a later one. So the
-    ordering is time order and what remains is the core distance (of the
-    ``min_samples``-th nearest row, itself included) and the reachability. A
-    period holds at most ``period`` distinct seconds, whatever its rows, and
-    copies of a second beyond ``min_samples`` cannot change a core distance.
-
-    One line per distinct second: ``period_no``, ``rows``, ``core_distance`` and
-    ``reachability`` (NULL past ``max_eps``), and ``label``: the clusters a
-    reachability cut leaves (``max_eps`` unless ``cut`` is given, in standard
-    deviations), named by their first second, noise -1.
-    """
+def _reached(rows: DataFrame, t: str, max_eps: float, min_samples: int, period: int) -> DataFrame:
+    """The distinct seconds of each period in OPTICS order with ``rows``, ``core_distance``,
+    ``reachability``, ``predecessor`` (the second that gave it) and ``_unit``, the
+    period's standard deviation."""
+    rows = rows.filter(F.col(t).isNotNull())
     start = rows.agg(F.min(t)).scalar()
     placed = rows.withColumn("period_no", F.floor((F.col(t) - start) / period).cast("bigint"))
-    reach = placed.groupBy("period_no").agg(
-        (F.stddev_pop(t) * max_eps).alias("_eps"),
-        (F.stddev_pop(t) * (max_eps if cut is None else cut)).alias("_cut"),
-    )
+    unit = placed.groupBy("period_no").agg(F.stddev_pop(t).alias("_unit")).withColumn("_eps", F.col("_unit") * max_eps)
     counts = stage(placed.groupBy("period_no", t).agg(F.count("*").alias("rows")))
 
     # at most period * min_samples rows per window
@@ -187,25 +165,104 @@ def optics_time(
     whole = [F.lag(t, j).over(w).isNotNull() & F.lead(t, min_samples - 1 - j).over(w).isNotNull() for j in range(min_samples)]
     core = F.least(*[F.when(ok, b) for ok, b in zip(whole, blocks)])
     core = copies.withColumn("_core", core).groupBy("period_no", t).agg(F.min("_core").alias("_core"))
-    nodes = counts.join(core, ["period_no", t]).join(reach, "period_no")
+    nodes = counts.join(core, ["period_no", t]).join(unit, "period_no")
     nodes = nodes.withColumn("core_distance", F.when(F.col("_core") <= F.col("_eps"), F.col("_core").cast("double"))).drop("_core")
 
     def look_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, starts in whole_groups(batches, ["period_no"]):
-            found = np.empty(len(pdf))
+            found, source = np.empty(len(pdf)), np.empty(len(pdf), np.int64)
+            times = pdf[t].to_numpy()
             for a, b in zip(starts, np.append(starts[1:], len(pdf))):
-                part = pdf.iloc[a:b]
-                found[a:b] = reach_back(part[t].to_numpy(), part["core_distance"].to_numpy(dtype=float), part["_eps"].iloc[0])
-            yield pdf.assign(reachability=found)
+                core = pdf["core_distance"].iloc[a:b].to_numpy(dtype=float)
+                found[a:b], at = reach_back(times[a:b], core, pdf["_eps"].iloc[a])
+                source[a:b] = times[a:b][at]
+            yield pdf.assign(reachability=found, predecessor=source)
 
     nodes = stage(nodes).repartition("period_no").sortWithinPartitions("period_no", t)
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
-    nodes = nodes.mapInPandas(look_back, f"{types}, reachability double").withColumns(
+    nodes = nodes.mapInPandas(look_back, f"{types}, reachability double, predecessor bigint").withColumns(
         {c: F.when(~F.isnan(c), F.col(c)) for c in ("core_distance", "reachability")}
     )
+    return nodes.withColumn("predecessor", F.when(F.col("reachability").isNotNull(), F.col("predecessor")))
+
+
+def optics_time(
+    rows: DataFrame,
+    t: str = "outage_time",
+    *,
+    max_eps: float = 0.7,
+    min_samples: int = 5,
+    period: int = 2 * DAY,
+    cut: float | None = None,
+) -> DataFrame:
+    """OPTICS of each ``period`` (from the first row on), in its own standard
+    deviations.
+
+    In one dimension, from the first time on, the next object is always the next
+    time: it is no farther from any processed object than a later one. So the
+    ordering is time order and what remains is the core distance (of the
+    ``min_samples``-th nearest row, itself included) and the reachability. A
+    period holds at most ``period`` distinct seconds, whatever its rows, and
+    copies of a second beyond ``min_samples`` cannot change a core distance.
+
+    One line per distinct second: ``period_no``, ``rows``, ``core_distance`` and
+    ``reachability`` (NULL past ``max_eps``), and ``label``: the clusters a
+    reachability cut leaves (``max_eps`` unless ``cut`` is given, in standard
+    deviations), named by their first second, noise -1.
+    """
+    nodes = _reached(rows, t, max_eps, min_samples, period).withColumn("_cut", F.col("_unit") * (max_eps if cut is None else cut))
     by_time = W.partitionBy("period_no").orderBy(t).rowsBetween(W.unboundedPreceding, 0)
     apart = F.coalesce(F.col("reachability") > F.col("_cut"), F.lit(True))
     dense = F.coalesce(F.col("core_distance") <= F.col("_cut"), F.lit(False))
     begun = F.max(F.when(apart & dense, F.col(t))).over(by_time)
     label = F.when(apart & ~dense, F.lit(NOISE)).otherwise(begun)
     return nodes.withColumn("label", label).select("period_no", t, "rows", "core_distance", "reachability", "label")
+
+
+def optics_xi(
+    rows: DataFrame,
+    t: str = "outage_time",
+    *,
+    max_eps: float = 0.7,
+    min_samples: int = 5,
+    period: int = 2 * DAY,
+    xi: float = 0.05,
+    min_cluster_size: int | None = None,
+) -> DataFrame:
+    """OPTICS clusters of each ``period`` by steep areas of the reachability.
+
+    A point is steep where the next reachability is lower or higher by the share
+    ``xi`` or more. A cluster runs from a steep-down area to a steep-up area over a
+    valley that nothing between them reaches across; it has ``min_cluster_size`` rows
+    (``min_samples`` unless given), and its last row was reached from inside it. Of
+    nested clusters the innermost stays.
+
+    Lines of ``period_no``, the second, ``label`` (a cluster's first second, noise
+    -1) and ``rows``. Rows of one second differ in their place in the order alone, so
+    a second may have lines of two labels. Rows without a time are left out.
+
+    A second gives at most ``min_samples + 3`` points however many rows it has: a longer
+    run of equal values ends every steep area. A period's points are scanned in one
+    task, which they bound as in :func:`optics_time`; areas that a later one may still
+    close are few, as each lies lower by ``xi`` than the one before.
+    """
+    least = min_samples if min_cluster_size is None else min_cluster_size
+    nodes = _reached(rows, t, max_eps, min_samples, period)
+    nodes = stage(nodes.select("period_no", F.col(t).alias("t"), "rows", "core_distance", "reachability", "predecessor"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in whole_groups(batches, ["period_no"]):
+            for a, b in zip(starts, np.append(starts[1:], len(pdf))):
+                part = pdf.iloc[a:b]
+                values = (part[c].to_numpy(dtype=float) for c in ("core_distance", "reachability", "predecessor"))
+                points = plot_points(part["t"].to_numpy(), part["rows"].to_numpy(), *values, most=min_samples + 3)
+                label = np.full(len(points), NOISE, np.int64)
+                for first, last in steep_clusters(points, xi=xi, flat=min_samples, least=least):
+                    label[first : last + 1] = points["t"][first]
+                yield pd.DataFrame(
+                    {"period_no": part["period_no"].iloc[0], t: points["t"], "label": label, "rows": points["weight"]}
+                )
+
+    ordered = nodes.repartition("period_no").sortWithinPartitions("period_no", "t")
+    lines = ordered.mapInPandas(scan, f"period_no bigint, {t} bigint, label bigint, rows bigint")
+    return lines.groupBy("period_no", t, "label").agg(F.sum("rows").alias("rows"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -155,21 +156,296 @@ def kernel_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, gx: np.ndarray
     return (kx * weight[:, None]).T @ ky
 
 
-def reach_back(t: np.ndarray, core: np.ndarray, max_eps: float) -> np.ndarray:
-    """Least ``max(core[j], t[i] - t[j])`` over earlier ``j`` within ``max_eps``.
+def reach_back(t: np.ndarray, core: np.ndarray, max_eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least ``max(core[j], t[i] - t[j])`` over earlier ``j`` within ``max_eps``, and the
+    first ``j`` that gives it (``i`` itself where there is none).
 
     ``t`` ascending; NaN in ``core`` marks no core. Looking back stops once the
-    gap alone is no better than what was found.
+    gap alone is worse than what was found.
     """
-    out = np.full(len(t), np.nan)
+    out, source = np.full(len(t), np.nan), np.arange(len(t))
     for i in range(1, len(t)):
         best = np.inf
         for j in range(i - 1, -1, -1):
             gap = t[i] - t[j]
-            if gap > max_eps or gap >= best:
+            if gap > max_eps or gap > best:
                 break
-            if core[j] == core[j]:
-                best = min(best, max(core[j], gap))
+            if core[j] == core[j] and max(core[j], gap) <= best:
+                best, source[i] = max(core[j], gap), j
         if best < np.inf:
             out[i] = best
-    return out
+    return out, source
+
+
+# A point of the reachability plot: its second, which of that second's rows it is, its
+# place among all rows, the reachability (infinite if none), the second that gave it, and
+# how many rows it stands for.
+PLOT_POINT = np.dtype(
+    [("t", "<i8"), ("copy", "<i8"), ("at", "<i8"), ("reach", "<f8"), ("source", "<f8"), ("weight", "<i8")]
+)
+
+
+def plot_points(t: np.ndarray, rows: np.ndarray, core: np.ndarray, reach: np.ndarray, source: np.ndarray, *, most: int) -> np.ndarray:
+    """The plot of one period. Of a second with more than ``most`` rows the middle ones
+    are left out; they lie between equal values.
+
+    The first row of a second is reached from an earlier second; the others from that one
+    too, or from the first row if that is nearer.
+    """
+    kept = np.minimum(rows, most)
+    begin = np.repeat(np.cumsum(kept) - kept, kept)
+    copy = np.arange(int(kept.sum())) - begin
+    second = np.repeat(np.arange(len(t)), kept)
+    last = copy == kept[second] - 1
+    points = np.zeros(len(second), PLOT_POINT)
+    points["t"] = t[second]
+    points["weight"] = 1
+    # rows left out go with the one before them
+    thinned = np.flatnonzero(rows > most)
+    points["weight"][(np.cumsum(kept) - 2)[thinned]] += (rows - most)[thinned]
+    points["copy"] = np.where(last, rows[second] - 1, copy)
+    points["at"] = (np.cumsum(rows) - rows)[second] + points["copy"]
+    first_reach = np.where(np.isnan(reach), np.inf, reach)[second]
+    own = np.where(np.isnan(core), np.inf, core)[second]
+    nearer = (copy > 0) & (own < first_reach)
+    points["reach"] = np.where(nearer, own, first_reach)
+    points["source"] = np.where(nearer, t[second], source[second])
+    return points
+
+
+def steep_clusters(points: np.ndarray, *, xi: float, flat: int, least: int) -> list[tuple[int, int]]:
+    """First and last point of each cluster, by place.
+
+    Steep points of one direction form an area while no point between them goes the
+    other way and at most ``flat`` points between them are not steep. Areas are taken in
+    order; ``open_`` holds the steep-down areas that may still begin a cluster, each
+    with the highest value since its end.
+    """
+    height = np.append(points["reach"], np.inf)
+    at = points["at"]
+    low = 1 - xi
+    now, ahead = height[:-1], height[1:]
+    rises, falls = now < ahead, now > ahead
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = now / ahead
+    steep = {1: rises & (share <= low), -1: falls & (share >= 1 / low)}
+    areas = []
+    for way, against in ((1, falls), (-1, rises)):
+        spots = np.flatnonzero(steep[way])
+        if not len(spots):
+            continue
+        turns = np.cumsum(against)
+        joined = (turns[spots[1:]] == turns[spots[:-1]]) & (at[spots[1:]] - at[spots[:-1]] - 1 <= flat)
+        heads = np.flatnonzero(np.append(True, ~joined))
+        tails = np.append(heads[1:], len(spots)) - 1
+        areas += [(int(a), int(b), way) for a, b in zip(spots[heads], spots[tails])]
+    areas.sort()
+
+    found: list[tuple[int, int]] = []
+    open_: list[list] = []  # first point, last point, highest value since
+    done, taken = 0, -1  # first point after the last area; last point of the last cluster
+    for first, last, way in areas:
+        between = height[done : first + 1].max()
+        open_ = [[a, b, max(top, between)] for a, b, top in open_ if between <= height[a] * low and between < np.inf]
+        done = last + 1
+        if way < 0:
+            open_.append([first, last, 0.0])
+            continue
+        after = height[last + 1]
+        for a, b, top in reversed(open_):
+            if after * low < top:
+                continue
+            pair = _cluster(points, height, (a, b), (first, last), low)
+            if pair is None or at[pair[1]] - at[pair[0]] + 1 < least:
+                continue
+            if pair[0] > taken:
+                found.append(pair)
+                taken = pair[1]
+            break  # areas further out only give clusters around this one
+    return found
+
+
+def _cluster(points: np.ndarray, height: np.ndarray, down: tuple[int, int], up: tuple[int, int], low: float) -> tuple[int, int] | None:
+    """Ends of the cluster between two areas, set to about one level on either side."""
+    start, end = down[0], up[1]
+    top, after = height[start], height[end + 1]
+    if top * low >= after:
+        while start < down[1] and height[start + 1] > after:
+            start += 1
+    elif after * low >= top:
+        while end > up[0] and height[end - 1] > top:
+            end -= 1
+    # the last point must be reached from inside the cluster, or lie lower than its start
+    begun = (points["t"][start], points["copy"][start])
+    while end >= up[0]:
+        if height[start] > height[end] or (points["source"][end], 0) >= begun:
+            return start, end
+        end -= 1
+    return None
+
+
+def least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each of ``n`` numbers' component, for links ``a`` to ``b``."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _cell_numbers(cells: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates with wide gaps made narrow, and the factors that turn them into one number each."""
+    out = np.empty_like(cells)
+    spans = []
+    for i, r in enumerate(reach.tolist()):
+        values, back = np.unique(cells[:, i], return_inverse=True)
+        places = np.concatenate([[0], np.cumsum(np.minimum(np.diff(values), r + 1))])
+        out[:, i] = places[back] + r
+        spans.append(int(places[-1]) + 2 * r + 1)
+    factors = [math.prod(spans[i + 1 :]) for i in range(len(spans))]
+    return out, np.array(factors, np.int64 if math.prod(spans) < 1 << 62 else object)
+
+
+def _point_pairs(left: np.ndarray, right: np.ndarray, starts: tuple, counts: tuple, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of points of the pairs of cells, in blocks."""
+    size = counts[0][left] * counts[1][right]
+    upto = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, side="right")))
+        part = size[a:b]
+        pair = np.repeat(np.arange(a, b), part)
+        place = np.arange(int(part.sum())) - np.repeat(np.cumsum(part) - part, part)
+        wide = counts[1][right[pair]]
+        yield starts[0][left[pair]] + place // np.maximum(wide, 1), starts[1][right[pair]] + place % np.maximum(wide, 1)
+        a = b
+
+
+def near_cells(
+    cells: np.ndarray, at: np.ndarray, pid: np.ndarray, n: np.ndarray, far: np.ndarray, own: np.ndarray, node: np.ndarray,
+    *, axes: list[tuple[list[int], float]], around: np.ndarray, min_samples: int,
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The five tables of :func:`amperic.operators.halo.partwise` for one part.
+
+    Points of one cell are neighbours of each other. Whole cells are compared first, by
+    their boxes and the points that touch them, and points only where that decides nothing.
+    """
+
+    def within(gap: np.ndarray) -> np.ndarray:
+        ok = np.ones(gap.shape[:-1], bool)
+        for cols, eps in axes:
+            if len(cols) == 1:
+                ok &= gap[..., cols[0]] <= eps
+            else:
+                part = gap[..., cols]
+                ok &= (part * part).sum(axis=-1) <= eps * eps
+        return ok
+
+    none = (np.zeros(0, np.int64),) * 3
+    if not len(pid):
+        return [none] * 5
+    narrow, factors = _cell_numbers(cells, np.abs(around).max(axis=0))
+    number = (narrow * factors).sum(axis=1)
+    order = np.argsort(number, kind="stable")
+    at, pid, n, far, own, node, number = (x[order] for x in (at, pid, n, far, own, node, number))
+    start = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    codes = number[start]
+    count = np.diff(np.append(start, len(pid)))
+    mine = np.repeat(np.arange(len(start)), count)
+    weight = np.add.reduceat(n, start)
+    low, high = np.minimum.reduceat(at, start), np.maximum.reduceat(at, start)
+    home, name = own[start], node[start]
+
+    # pairs of an own cell and another cell around it whose boxes are within reach
+    lefts, rights = [], []
+    inside = np.flatnonzero(home)
+    for step in (around * factors).sum(axis=1):
+        wanted = codes[inside] + step
+        place = np.searchsorted(codes, wanted)
+        place[place == len(codes)] = 0
+        hit = codes[place] == wanted
+        lefts.append(inside[hit])
+        rights.append(place[hit])
+    left, right = np.concatenate(lefts), np.concatenate(rights)
+    ok = within(np.maximum(np.maximum(low[right] - high[left], low[left] - high[right]), 0))
+    left, right = left[ok], right[ok]
+
+    # 1: core, 0: not, -1: a halo point of a thin cell, which its own part will tell
+    thick = weight >= min_samples
+    core = np.ones(len(pid), np.int8)
+    if min_samples > 2:
+        near = weight[mine] + far
+        thin = ~thick[left]
+        for a, b in _point_pairs(left[thin], right[thin], (start, start), (count, count)):
+            hit = within(np.abs(at[a] - at[b]))
+            near += np.bincount(a[hit], weights=n[b[hit]], minlength=len(pid)).astype(np.int64)
+        core = np.where(thick[mine] | (own & (near >= min_samples)), 1, np.where(own, 0, -1)).astype(np.int8)
+
+    # the points that a link may rest on
+    live = np.flatnonzero(core != 0)
+    live_count = np.bincount(mine[live], minlength=len(start))
+    live_start = np.cumsum(live_count) - live_count
+    sure_count = np.bincount(mine[core == 1], minlength=len(start))
+    all_sure = (sure_count == count) & (count > 0)
+    a, b = left, right
+    ok = (sure_count[a] > 0) & (live_count[b] > 0) & (~home[b] | (a < b))
+    a, b = a[ok], b[ok]
+    sure = (sure_count[b] > 0) & within(np.maximum(high[b] - low[a], high[a] - low[b]))
+    # points that touch their cell's box, an index per axis and side
+    ends = []
+    for axis in range(at.shape[1]):
+        ranked = np.lexsort((at[:, axis], mine))
+        ends += [ranked[start], ranked[start + count - 1]]
+    ends = np.stack(ends, axis=1)
+    many = np.flatnonzero(~sure & all_sure[a] & all_sure[b] & (count[a] * count[b] > ends.shape[1] ** 2))
+    for some in np.array_split(many, max(1, len(many) // 20_000)):
+        p, q = at[ends[a[some]]][:, :, None, :], at[ends[b[some]]][:, None, :, :]
+        sure[some] = within(np.abs(p - q)).any(axis=(1, 2))
+    joined = [(a[sure], b[sure])]
+    local = home[b] & sure
+    root = least_joined(len(start), a[local], b[local])
+    rest = ~sure & ~(home[b] & (root[a] == root[b]))
+    maybe: list[tuple[np.ndarray, np.ndarray]] = []
+    for p, q in _point_pairs(a[rest], b[rest], (live_start, live_start), (live_count, live_count)):
+        p, q = live[p], live[q]
+        hit = (core[p] == 1) & within(np.abs(at[p] - at[q]))
+        p, q = p[hit], q[hit]
+        known = core[q] == 1
+        joined.append(tuple(np.unique(np.stack([mine[p[known]], mine[q[known]]]), axis=1)))
+        maybe.append(tuple(np.unique(np.stack([mine[p[~known]], q[~known]]), axis=1)))
+    a, b = (np.concatenate(x) for x in zip(*joined))
+    local = home[b]
+    root = least_joined(len(start), a[local], b[local])
+
+    def table(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if w is None:
+            x, y = np.unique(np.stack([x, y]), axis=1) if len(x) else (x, y)
+        return x.astype(np.int64), y.astype(np.int64), (np.zeros(len(x), np.int64) if w is None else w.astype(np.int64))
+
+    told = np.flatnonzero(own & (core == 1))
+    stars = np.flatnonzero(root != np.arange(len(start)))
+    outer = ~home[b]
+    links = (np.concatenate([name[stars], name[root[a[outer]]]]), np.concatenate([name[root[stars]], name[b[outer]]]))
+    m, q = (np.concatenate(x) for x in zip(*maybe)) if maybe else none[:2]
+    out = [table(pid[told], name[mine[told]], n[told]), table(*links), table(name[root[m]], pid[q])]
+
+    edge = np.flatnonzero(own & (core == 0))
+    if not len(edge):
+        return [*out, none, none]
+    edge_count = np.bincount(mine[edge], minlength=len(start))
+    edge_start = np.cumsum(edge_count) - edge_count
+    beside = edge[sure_count[mine[edge]] > 0]
+    border, unsure = [(pid[beside], name[mine[beside]])], []
+    some = (edge_count[left] > 0) & (live_count[right] > 0)
+    for p, q in _point_pairs(left[some], right[some], (edge_start, live_start), (edge_count, live_count)):
+        p, q = edge[p], live[q]
+        hit = within(np.abs(at[p] - at[q]))
+        p, q = p[hit], q[hit]
+        known = core[q] == 1
+        border.append((pid[p[known]], name[mine[q[known]]]))
+        unsure.append((pid[p[~known]], pid[q[~known]]))
+    return [*out, table(*(np.concatenate(x) for x in zip(*border))), table(*(np.concatenate(x) for x in zip(*unsure))) if unsure else none]

@@ -509,6 +509,51 @@ SELECT p AS period_no, t AS outage_time, n AS n_rows, core AS core_distance, rea
 )
 
 
+@query(None)
+def optics_xi(spark, sf_dir):
+    """Clusters by steep areas, with the parameters' usual values."""
+    got = clusters_time.optics_xi(flows.outage_table(spark, sf_dir), max_eps=0.7, min_samples=5, xi=0.05)
+    return got.select("period_no", "outage_time", "label", F.col("rows").alias("n_rows"))
+
+
+# Every steep-down area against every steep-up one after it.
+_XI = """
+, pts AS (SELECT event_id, outage_time AS t, (outage_time - (SELECT min(outage_time) FROM outs)) // 172800 AS p FROM outs),
+lim AS (SELECT p, 0.7 * stddev_pop(t) AS e, CAST(0.95 AS DOUBLE) AS lo FROM pts GROUP BY 1),
+line AS (SELECT p, t, e, lo, row_number() OVER (PARTITION BY p ORDER BY t, event_id) AS k FROM pts JOIN lim USING (p)),
+apart AS (SELECT a.p, a.k, abs(a.t - b.t) AS d, row_number() OVER (PARTITION BY a.p, a.k ORDER BY abs(a.t - b.t)) AS i
+  FROM line a JOIN line b USING (p)),
+dense AS (SELECT l.*, CASE WHEN d <= e THEN CAST(d AS DOUBLE) END AS c FROM line l LEFT JOIN apart x ON l.p = x.p AND l.k = x.k AND i = 5),
+near AS (SELECT q.p, q.k, min({'v': greatest(j.c, q.t - j.t), 'k': j.k}) AS m FROM dense q JOIN dense j
+  ON q.p = j.p AND j.k < q.k AND j.c IS NOT NULL AND q.t - j.t <= q.e GROUP BY 1, 2),
+plot AS (SELECT d.p, d.k, d.t, d.lo, coalesce(m.v, CAST('inf' AS DOUBLE)) AS r, m.k AS pred FROM dense d LEFT JOIN near n ON d.p = n.p AND d.k = n.k),
+ahead AS (SELECT *, coalesce(lead(r) OVER w, CAST('inf' AS DOUBLE)) AS f, lag(r) OVER w AS b FROM plot WINDOW w AS (PARTITION BY p ORDER BY k)),
+ways AS (SELECT *, r < f AND (isinf(f) OR r / f <= lo) AS su, r > f AND (f = 0 OR isinf(r) OR r / f >= 1 / lo) AS sd,
+  count(*) FILTER (r < f) OVER w AS ups, count(*) FILTER (r > f) OVER w AS downs FROM ahead WINDOW w AS (PARTITION BY p ORDER BY k)),
+steep AS (SELECT p, k, 'd' AS way, ups AS turns FROM ways WHERE sd UNION ALL SELECT p, k, 'u', downs FROM ways WHERE su),
+heads AS (SELECT *, CASE WHEN turns = lag(turns) OVER w AND k - lag(k) OVER w <= 6 THEN 0 ELSE 1 END AS head
+  FROM steep WINDOW w AS (PARTITION BY p, way ORDER BY k)),
+areas AS (SELECT p, way, g, min(k) AS a, max(k) AS z FROM (SELECT *, sum(head) OVER (PARTITION BY p, way ORDER BY k) AS g FROM heads) GROUP BY 1, 2, 3),
+pairs AS (SELECT d.p, d.a AS da, d.z AS dz, u.a AS ua, u.z AS uz, s.r AS top, x.f AS after, s.lo,
+    (SELECT max(r) FROM plot y WHERE y.p = d.p AND y.k > d.z AND y.k <= u.a) AS between_
+  FROM areas d JOIN areas u ON d.p = u.p AND d.way = 'd' AND u.way = 'u' AND d.z < u.a
+  JOIN plot s ON s.p = d.p AND s.k = d.a JOIN ahead x ON x.p = u.p AND x.k = u.z),
+level AS (SELECT *, CASE WHEN top * lo >= after
+      THEN coalesce((SELECT min(k) FROM ahead y WHERE y.p = o.p AND y.k >= o.da AND y.k < o.dz AND y.f <= o.after), dz) ELSE da END AS s,
+    CASE WHEN NOT top * lo >= after AND after * lo >= top
+      THEN coalesce((SELECT max(k) FROM ahead y WHERE y.p = o.p AND y.k > o.ua AND y.k <= o.uz AND y.b <= o.top), ua) ELSE uz END AS z
+  FROM pairs o WHERE between_ <= top * lo AND between_ <= after * lo AND NOT isinf(between_)),
+ends AS (SELECT v.p, v.da, v.ua, v.s, max(y.k) AS z FROM level v JOIN plot h ON h.p = v.p AND h.k = v.s
+  JOIN plot y ON y.p = v.p AND y.k BETWEEN v.ua AND v.z AND y.k > v.s AND (h.r > y.r OR y.pred >= v.s) GROUP BY 1, 2, 3, 4),
+found AS (SELECT p, ua, arg_max(s, da) AS s, arg_max(z, da) AS z FROM ends WHERE z - s + 1 >= 5 GROUP BY 1, 2),
+chain AS (SELECT DISTINCT p, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS z FROM line
+  UNION ALL SELECT c.p, n.s, n.z FROM chain c, LATERAL (SELECT s, z FROM found y WHERE y.p = c.p AND y.s > c.z ORDER BY ua LIMIT 1) n)
+SELECT l.p AS period_no, l.t AS outage_time, coalesce(h.t, -1) AS label, count(*) AS n_rows
+FROM line l LEFT JOIN chain c ON c.p = l.p AND l.k BETWEEN c.s AND c.z LEFT JOIN line h ON h.p = c.p AND h.k = c.s GROUP BY 1, 2, 3"""
+
+ORACLES["optics_xi"] = _with_extra("outs", _XI)
+
+
 @query(
     """SELECT CAST(week AS BIGINT) AS week, t AS outage_time, count(*) AS n_rows,
   arg_max(lead1, rn) AS lead1, arg_max(lead2, rn) AS lead2, arg_min(lag1, rn) AS lag1, arg_min(lag2, rn) AS lag2
