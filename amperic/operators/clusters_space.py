@@ -9,59 +9,83 @@ from pyspark.sql import functions as F
 
 from amperic.functions.scaling import zscore
 from amperic.operators.clusters_time import NOISE
-from amperic.operators.components import components
+from amperic.operators.components import components, linked
+from amperic.operators.halo import BORDER, CORE, LINK, MAYBE_BORDER, MAYBE_LINK, partwise
 from amperic.operators.ordered import islands
-from amperic.operators.reach import BOX, Axes, boxes, cell, cell_pairs, columns, within_reach
+from amperic.operators.reach import Axes, boxes, cell, cell_pairs, columns, within_reach
 from amperic.operators.topology import prepared
 from amperic.session import stage
 
 
-def dbscan(rows: DataFrame, metric: Sequence[Axes], min_samples: int, *, id_col: str = "event_id", label: str = "label") -> DataFrame:
+def dbscan(
+    rows: DataFrame,
+    metric: Sequence[Axes],
+    min_samples: int,
+    *,
+    id_col: str = "event_id",
+    label: str = "label",
+    crowded: int = 1000,
+    part: int = 20_000,
+) -> DataFrame:
     """DBSCAN where a neighbour is within reach on every axes group.
 
     The neighbourhood is closed and counts the row itself. A label is the least
     id among the cluster's core rows, noise is -1, and a border row takes the
-    lowest label it can reach.
+    lowest label it can reach. A row without a place is noise.
 
     Cells are small enough that rows sharing one are neighbours. So a cell with
-    ``min_samples`` rows is core as a whole, clusters are components of cells,
-    and the only comparisons are between a cell and its surroundings.
+    ``min_samples`` rows is core as a whole, and clusters are components of cells. Parts
+    of about ``part`` distinct places, each with the cells around it, are solved in one
+    task each (see ``halo``); then the links between parts are joined.
+
+    A cell with more than ``crowded`` distinct places would be copied into too many parts.
+    Such cells are compared with those around them by boxes, which are split only where
+    undecided (see ``reach``).
     """
     names = columns(metric)
-    points = rows.groupBy(*[F.col(c).cast("double").alias(c) for c in names]).agg(
+    placed = F.lit(True)
+    for c in names:
+        placed = placed & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    points = rows.filter(placed).groupBy(*[F.col(c).cast("double").alias(c) for c in names]).agg(
         F.min(id_col).alias("pid"), F.count("*").alias("n")
     )
     points = stage(points.withColumn("cell", cell(metric)))
-    cells = boxes(points, metric, ["cell"])
-    if min_samples > 2:
-        points = _mark_core(points, stage(cells), metric, min_samples)
-        core = points.filter("core")
-        cells = boxes(core, metric, ["cell"])
-    else:
-        core = points
-    cells = stage(cells)
-    linked = within_reach(cell_pairs(cells, cells, metric, forward=True), core, core, metric, merge=True)
-    roots = components(linked, a="left_id", b="right_id")
-    placed = cells.join(roots, F.col("id") == F.col("node"), "left").select(
-        "cell", *BOX, F.coalesce("root", "id").alias(label)
-    )
-
+    census = stage(points.groupBy("cell").agg(F.min("pid").alias("node"), F.count("*").alias("k"), F.sum("n").alias("n")))
+    crowded = max(crowded, min_samples)  # a crowded cell is core as a whole
+    full = census.filter(F.col("k") > crowded)
+    any_full = not full.isEmpty()
+    plain = points.withColumn("far", F.lit(0).cast("bigint"))
+    if any_full:
+        far = _counted_in_full(points, census, full, metric, min_samples)
+        plain = points.join(far, "pid", "left").withColumn("far", F.coalesce("far", F.lit(0).cast("bigint")))
+    told = partwise(plain, census.filter(F.col("k") <= crowded), metric, min_samples, part)
+    of = lambda kind: told.filter(F.col("kind") == kind)
+    core = of(CORE).select(F.col("a").alias("pid"), F.col("b").alias("node"), "n")
+    if any_full:
+        inside = points.join(full.select("cell", "node"), "cell").select("pid", "node", "n")
+        core = stage(core.unionByName(inside))
+    home = core.select(F.col("pid").alias("b"), F.col("node").alias("_home"))
+    settle = lambda kind: of(kind).join(home, "b").select("a", F.col("_home").alias("b"))
+    links = of(LINK).select("a", "b").unionByName(settle(MAYBE_LINK))
+    border = of(BORDER).select("a", "b").unionByName(settle(MAYBE_BORDER)) if min_samples > 2 else None
+    if any_full:
+        more_links, more_border = _linked_to_full(points, core, full, metric, min_samples)
+        links = links.unionByName(more_links)
+        border = border.unionByName(more_border) if min_samples > 2 else None
+    roots = linked(links)
+    members = core.join(roots, "node", "left").select("pid", "n", F.coalesce("root", "node").alias("root"))
+    sizes = members.groupBy("root").agg(F.min("pid").alias(label), F.sum("n").alias("_size"))
+    labels = members.join(sizes, "root")
     if min_samples <= 2:
-        sizes = placed.groupBy(label).agg(F.sum("n").alias("_size"))
-        found = placed.join(sizes, label).select(
-            "cell", F.when(F.col("_size") >= min_samples, F.col(label)).otherwise(F.lit(NOISE)).alias(label)
-        )
-        keyed = rows.withColumn("_cell", cell(metric))
-        keyed = keyed.join(found.withColumnRenamed("cell", "_cell"), "_cell", "left")
-        return keyed.select(*rows.columns, F.coalesce(label, F.lit(NOISE)).alias(label))
-
-    placed = stage(placed)
-    labels = points.filter("core").join(placed.select("cell", label), "cell").select(*names, label)
-    labels = labels.unionByName(_border(points.filter("not core"), placed, core, metric, label))
+        labels = labels.filter(F.col("_size") >= min_samples)
+    labels = labels.select("pid", label)
+    if border is not None:
+        reached = border.select(F.col("a").alias("pid"), F.col("b").alias("node")).join(roots, "node", "left")
+        reached = reached.select("pid", F.coalesce("root", "node").alias("root")).join(sizes.select("root", label), "root")
+        labels = labels.unionByName(reached.groupBy("pid").agg(F.min(label).alias(label)))
     match = [f"_at{i}" for i in range(len(names))]
-    labels = labels.withColumnsRenamed(dict(zip(names, match)))
+    labels = points.join(labels, "pid").select(*[F.col(c).alias(m) for c, m in zip(names, match)], label)
     keyed = rows.select(*rows.columns, *[F.col(c).cast("double").alias(m) for c, m in zip(names, match)])
-    # a row without a place is noise
     return keyed.join(labels, match, "left").select(*rows.columns, F.coalesce(label, F.lit(NOISE)).alias(label))
 
 
@@ -72,28 +96,33 @@ def _as_boxes(points: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def _mark_core(points: DataFrame, cells: DataFrame, metric: Sequence[Axes], min_samples: int) -> DataFrame:
-    """Add ``core``. Only points of thin cells look around; they are few per cell."""
-    held = points.join(cells.select("cell", F.col("n").alias("_held")), "cell")
-    thin = held.filter(F.col("_held") < min_samples)
-    pairs = cell_pairs(_as_boxes(thin, columns(metric)), cells, metric, forward=False)
-    near = within_reach(pairs, None, points, metric, count_to=min_samples)
-    total = F.col("_held") + F.coalesce("near", F.lit(0))
-    marked = held.join(near, F.col("pid") == F.col("left_id"), "left")
-    return stage(marked.withColumn("core", total >= min_samples).drop("_held", "left_id", "near"))
-
-
-def _border(points: DataFrame, placed: DataFrame, core: DataFrame, metric: Sequence[Axes], label: str) -> DataFrame:
-    """Lowest label within reach of each non-core point, else noise."""
-    names = columns(metric)
-    pairs = cell_pairs(_as_boxes(points, names), placed, metric, forward=False)
-    touching = within_reach(pairs, None, core, metric).join(
-        placed.select(F.col("id").alias("right_id"), label), "right_id"
-    )
-    around = touching.select(F.col("left_id").alias("pid"), label)
-    inside = points.select("pid", "cell").join(placed.select("cell", label), "cell").select("pid", label)
-    best = around.unionByName(inside).groupBy("pid").agg(F.min(label).alias(label))
-    return points.join(best, "pid", "left").select(*names, F.coalesce(label, F.lit(NOISE)).alias(label))
+def _counted_in_full(points: DataFrame, census: DataFrame, full: DataFrame, metric: Sequence[Axes], min_samples: int) -> DataFrame:
+    """``pid``, ``far``: weight within reach in crowded cells, for points of thin cells."""
+    inside = points.join(full.select("cell"), "cell", "left_semi")
+    thin = points.join(census.filter(F.col("n") < min_samples).select("cell"), "cell", "left_semi")
+    pairs = cell_pairs(_as_boxes(thin, columns(metric)), stage(boxes(inside, metric, ["cell"])), metric, forward=False)
+    near = within_reach(pairs, None, inside, metric, count_to=min_samples)
+    return near.select(F.col("left_id").alias("pid"), F.col("near").alias("far"))
+
+
+def _linked_to_full(
+    points: DataFrame, core: DataFrame, full: DataFrame, metric: Sequence[Axes], min_samples: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Links (``a``, ``b``) between cells with a core point and crowded cells, and the
+    crowded cells that points without core are near to."""
+    node = core.select(F.col("pid").alias("_pid"), F.col("node").alias("_node"))
+    dense = stage(points.join(core.select("pid"), "pid", "left_semi"))
+    cells = stage(boxes(dense, metric, ["cell"]))
+    crowds = cells.join(full.select("cell"), "cell", "left_semi")
+    linked_ = within_reach(cell_pairs(cells, crowds, metric, forward=False), dense, dense, metric, merge=True)
+    for side, name in (("left_id", "a"), ("right_id", "b")):
+        linked_ = linked_.join(node, F.col(side) == F.col("_pid")).drop(side, "_pid").withColumnRenamed("_node", name)
+    if min_samples <= 2:
+        return linked_.select("a", "b"), None
+    edge = points.join(core.select("pid"), "pid", "left_anti")
+    near = within_reach(cell_pairs(_as_boxes(edge, columns(metric)), crowds, metric, forward=False), None, dense, metric)
+    near = near.join(node, F.col("right_id") == F.col("_pid")).select(F.col("left_id").alias("a"), F.col("_node").alias("b"))
+    return linked_.select("a", "b"), near
 
 
 def st_dbscan(

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from amperic.operators.kernels import least_joined
 from amperic.session import stage
 
+# Links that one task may hold: two numbers each.
+FEW = 1_000_000
+
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     """One contraction step: every node hands its neighbours (all larger ones,
@@ -46,3 +52,18 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
         seen = now
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def linked(edges: DataFrame, *, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
+    """The same as :func:`components`. Up to ``few`` distinct links are joined in one task,
+    which takes one shuffle in place of several a round."""
+    state = stage(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct())
+    if state.count() > few:
+        return components(state)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, place = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+        place = place.reshape(-1, 2)
+        return pd.DataFrame({"node": nodes, "root": nodes[least_joined(len(nodes), place[:, 0], place[:, 1])]})
+
+    return state.groupBy().applyInPandas(solve, "node bigint, root bigint")

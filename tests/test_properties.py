@@ -68,6 +68,63 @@ def test_st_dbscan(spark, seed, n, seconds, spots, neighbours):
     assert (got.reindex(want.index) == want).all()
 
 
+# parts of a few places, crowded cells, and both
+CUTS = [(1000, 6), (1, 20_000), (2, 5)]
+
+
+@pytest.mark.parametrize("crowded, part", CUTS)
+@pytest.mark.parametrize("seed, n, seconds, spots, neighbours", CASES)
+def test_parts_and_crowded_cells(spark, seed, n, seconds, spots, neighbours, crowded, part):
+    """Links between parts, halo points whose part tells, and crowded cells change nothing."""
+    df, pdf = outage_frame(spark, seed + 20, n, seconds, spots)
+    t, y, x = (pdf[c].to_numpy() for c in ("outage_time", "location_latitude", "location_longitude"))
+    dx, dy = x[:, None] - x, y[:, None] - y
+    near = (dx * dx + dy * dy <= 0.008 * 0.008) & (abs(t[:, None] - t) <= 40)
+    want = pd.Series(brute_dbscan(near, pdf["event_id"].to_numpy(), neighbours + 1), pdf["event_id"])
+    metric = [Axes(("location_longitude", "location_latitude"), 0.008), Axes(("outage_time",), 40.0)]
+    got = clusters_space.dbscan(df, metric, neighbours + 1, crowded=crowded, part=part).toPandas()
+    assert (got.set_index("event_id")["label"].reindex(want.index) == want).all()
+
+
+def test_cells_of_random_clouds():
+    """One part, against all pairs: cores, links and border points, own and halo."""
+    from amperic.operators.halo import offsets
+    from amperic.operators.kernels import least_joined, near_cells
+
+    for seed in range(60):
+        g = np.random.default_rng(seed)
+        n, samples, eps = int(g.integers(1, 150)), int(g.choice([2, 3, 5])), 1.0
+        at = np.unique(g.normal(0, g.choice([0.5, 2, 8]), (n, 3)).round(2), axis=0)
+        n = len(at)
+        metric = [Axes(("a", "b", "c"), eps)]
+        cells = np.floor(at / metric[0].side).astype(np.int64)
+        pid, weight = g.permutation(n), g.choice([1, 1, 1, 3], n)
+        own = (cells[:, 0] % 3 != 0) if seed % 2 else np.ones(n, bool)
+        node = np.array([pid[(cells == c).all(1)].min() for c in cells])
+        near = ((at[:, None] - at) ** 2).sum(2) <= eps * eps
+        core = near @ weight >= samples if samples > 2 else np.ones(n, bool)
+        thick = np.array([weight[(cells == c).all(1)].sum() >= samples for c in cells])
+        told, links, maybe, border, unsure = near_cells(
+            cells, at, pid, weight, np.zeros(n, np.int64), own, node, axes=[([0, 1, 2], eps)], around=np.array(offsets(metric)), min_samples=samples
+        )
+        assert dict(zip(told[0], told[1])) == {pid[i]: node[i] for i in np.flatnonzero(own & core)}
+        known = own | thick | (samples <= 2)
+        row = {p: i for i, p in enumerate(pid)}
+        # what the links join is what all pairs of core points join, with an own cell on one side
+        wanted = [(i, j) for i in np.flatnonzero(own & core) for j in np.flatnonzero(near[i] & core)]
+        links = [(row[a], row[b]) for a, b in zip(links[0], links[1])] + [(row[a], row[q]) for a, q in zip(maybe[0], maybe[1]) if core[row[q]]]
+        same = [(i, row[node[i]]) for i in range(n)]  # a cell is one node
+        got, want = (least_joined(n, *np.array(e + same, np.int64).reshape(-1, 2).T) for e in (links, [(i, j) for i, j in wanted]))
+        for i, j in wanted:
+            assert got[i] == got[j], seed
+        for i, j in links:
+            assert want[i] == want[j], seed
+        assert all(not known[row[q]] for q in (*maybe[1], *unsure[1]))
+        if samples > 2:
+            reach = {(pid[i], node[j]) for i in np.flatnonzero(own & ~core) for j in np.flatnonzero(near[i] & core)}
+            assert {*zip(border[0], border[1]), *((p, node[row[q]]) for p, q in zip(unsure[0], unsure[1]) if core[row[q]])} == reach
+
+
 def test_dense_cells_are_split_not_paired(spark):
     """Two dense blobs just out of reach, then just within."""
     g = np.random.default_rng(5)
@@ -245,6 +302,25 @@ def test_nearest_places(spark):
     assert got == {i: set(np.flatnonzero(d[i] == d[i].min())) for i in range(len(asks))}
 
 
+@pytest.mark.parametrize("held", [1, 3, 1000])
+def test_nearest_places_far_and_crowded(spark, held):
+    """A dense spot, lone places, asks far outside, on places, and one place alone."""
+    g = np.random.default_rng(21)
+    spots = np.unique(np.vstack([g.normal(0, 0.001, (120, 2)).round(5), g.uniform(-50, 50, (12, 2)).round(3)]), axis=0)
+    asks = np.vstack([g.normal(0, 0.002, (40, 2)).round(5), g.uniform(-60, 60, (30, 2)).round(3), [[1e4, -1e4], [-1e6, 0]], spots[:10]])
+    schema = "{}_id bigint, x double, y double"
+    a = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(asks)] + [(999, None, 1.0)], schema.format("ask"))
+    s = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)], schema.format("place"))
+    got = {}
+    for r in nearest_places(a, s, held=held).collect():
+        got.setdefault(r.ask_id, set()).add(r.place_id)
+    gap = np.abs(asks[:, None] - spots)
+    d = gap[..., 0] * gap[..., 0] + gap[..., 1] * gap[..., 1]
+    assert got == {i: set(np.flatnonzero(d[i] == d[i].min())) for i in range(len(asks))}
+    assert {r.place_id for r in nearest_places(a, s.filter("place_id = 5")).collect()} == {5}
+    assert nearest_places(a, s.limit(0)).count() == 0
+
+
 def test_intervals_match_a_full_comparison(spark):
     g = np.random.default_rng(13)
     rows = pd.DataFrame({"time_s": g.integers(0, 9000, 300), "id": range(300)})
