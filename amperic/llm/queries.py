@@ -158,7 +158,9 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
+    """With the remaining text, the removed runs, and whether there are any."""
+    done = repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return done.withColumnRenamed("kept_text", "kept").withColumn("repeats", F.col("n_removed") > 0)
 
 
 @query()

@@ -317,14 +317,16 @@ def _covered(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int = 128, part_contexts: int = 20_000, task_contexts: int = 60_000) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining
-    bytes, which need not be valid UTF-8) and ``kept_sha256``."""
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (the
+    remaining bytes, which need not be valid UTF-8), ``kept_text`` (the same read as
+    UTF-8, without the parts of characters that are left at a cut) and ``spans`` (start
+    and end of each removed run, in bytes)."""
     spans = repeated_spans(docs, length=length, gram=gram, part_contexts=part_contexts, task_contexts=task_contexts)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "spans")).alias("rows")).withColumnRenamed("doc_id", "_doc")
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")}
+        out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", "spans")}
         for text, rows in zip(utf8(batch), batch.column("rows").to_pylist()):
             mine = None
             if rows:
@@ -338,7 +340,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int = 128, part_
             out["n_spans"].append(len(gone))
             out["kept"].append(kept)
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            out["kept_text"].append(kept.decode("utf-8", "ignore"))
+            out["spans"].append([{"start": a, "end": b} for a, b in gone])
         return {"doc_id": batch.column("doc_id"), **out}
 
     rows = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", "text", "rows")
-    return map_batches(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    spans_type = "array<struct<start: bigint, end: bigint>>"
+    return map_batches(
+        rows, run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, spans {spans_type}"
+    )

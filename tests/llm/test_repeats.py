@@ -43,7 +43,16 @@ def test_brute_force(spark, seed, alphabet, most):
     rows = [(i if i % 7 else None if i == 0 else i, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnsRenamed({}).selectExpr("*", "text as h", "doc_id as row")
     got = remove_repeats(docs.repartition(4), length=16, gram=8, task_contexts=most)
-    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()}
+    rows_got = got.collect()
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_got}
+    by_id = {r[0]: (r[1] or "").encode() for r in rows}
+    for r in rows_got:
+        whole, at = by_id[r["doc_id"]], 0
+        kept = b""
+        for s in r["spans"]:
+            kept, at = kept + whole[at : s["start"]], s["end"]
+        kept += whole[at:]
+        assert kept == r["kept"] and kept.decode("utf-8", "ignore") == r["kept_text"]
     want = brute([(t or "").encode() for t in texts], 16)
     assert found == {r[0]: w for r, w in zip(rows, want)}
 
