@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from amperic.functions.clock import DAY, iso_week
 from amperic.operators.kernels import merge_rounds, plot_points, reach_back, steep_clusters, whole_groups
-from amperic.operators.ordered import count_within, islands, neighbours, running, with_slice
+from amperic.operators.ordered import count_within, even_slices, islands, neighbours, running, with_slice
 from amperic.session import stage
 
 NOISE = -1
@@ -70,7 +70,14 @@ def _labelled(rows: DataFrame, labels: DataFrame, at: Sequence[str], label: str)
 
 
 def agglomerate_time(
-    rows: DataFrame, t: str = "outage_time", *, max_gap: int = 180, partition: str | None = "week", width: int = DAY
+    rows: DataFrame,
+    t: str = "outage_time",
+    *,
+    max_gap: int = 180,
+    partition: str | None = "week",
+    width: int = DAY,
+    slices: int | None = None,
+    margin: int = 64,
 ) -> DataFrame:
     """Iterative merging of outages in time, within an ISO week, or over all
     times with ``partition=None``.
@@ -81,9 +88,12 @@ def agglomerate_time(
 
     Rounds never cross a gap of ``max_gap``: means stay inside their members'
     range. So the runs of such gaps are solved on their own. A run holds distinct
-    seconds with a count, so within a week at most 604,800 rows, whatever the
-    number of outages; without weeks it is bounded by how long a time passes
-    without a gap.
+    seconds with a count, and is cut into slices of about equal size (``slices``, or as
+    the shuffle has), each solved in one task. What a slice's neighbours may change
+    reaches inwards only until two groups are ``max_gap`` apart, as they stay so. The
+    seconds it has reached are solved again, from both sides of the border and with
+    ``margin`` times their number around them, until nothing is unsure. So no task
+    holds a long run, and the result is that of the run as a whole.
 
     Adds ``cluster`` (first member second) and ``cluster_time``; both are NULL for
     rows without a time.
@@ -101,20 +111,60 @@ def agglomerate_time(
     sized = nodes.join(sizes, run)
     plain = sized.filter("_times <= 2").select(F.col("t").alias(t), F.col("island").alias("cluster"), "cluster_time")
 
+    wide = stage(even_slices(sized.filter("_times > 2").select(*run, "t", "_n", "_times"), run, ["t"], slices))
+    spans = wide.groupBy(*run, "_slice").agg(F.count("*").alias("_held"))
+    before = W.partitionBy(*run).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.withColumn("_from", F.coalesce(F.sum("_held").over(before), F.lit(0)))
+    cut = wide.join(spans, [*run, "_slice"]).withColumns(
+        {"_open_left": F.col("_from") > 0, "_open_right": F.col("_from") + F.col("_held") < F.col("_times")}
+    )
+    solved = stage(_solved(cut, run, max_gap))
+    merged = solved.filter("sure")
+    left = solved.filter("not sure")
+    all_nodes = None
+    while not left.isEmpty():
+        if all_nodes is None:  # with their place in the run, by blocks
+            all_nodes = stage(solved.select(*run, "t", "_n", "at", "_times", F.floor(F.col("at") / width).alias("_block")))
+        gaps = islands(left.select(*run, "at"), "at", 1, keys=run, width=width)
+        asked = gaps.groupBy(*run, F.col("island").alias("_ask")).agg(F.min("at").alias("_first"), F.max("at").alias("_last"))
+        extra = (F.col("_last") - F.col("_first") + 1) * F.lit(margin)
+        asked = stage(asked.withColumns({"_low": F.col("_first") - extra, "_high": F.col("_last") + extra}))
+        blocks = F.sequence(F.floor(F.greatest("_low", F.lit(0)) / width), F.floor(F.col("_high") / width))
+        near = asked.withColumn("_block", F.explode(blocks)).join(all_nodes, [*run, "_block"])
+        near = near.filter(F.col("at").between(F.col("_low"), F.col("_high")))
+        near = near.withColumns(
+            {"_open_left": F.col("_low") > 0, "_open_right": F.col("_high") < F.col("_times") - 1, "_slice": "_ask", "_from": F.greatest("_low", F.lit(0))}
+        )
+        told = _solved(near, run, max_gap).withColumnRenamed("_slice", "_ask")
+        told = stage(told.join(asked.select(*run, "_ask", "_first", "_last"), [*run, "_ask"]).filter("at between _first and _last"))
+        merged = merged.select("t", "cluster", "cluster_time").unionByName(told.filter("sure").select("t", "cluster", "cluster_time"))
+        left, margin = told.filter("not sure"), margin * 8
+    merged = merged.select(F.col("t").alias(t), "cluster", "cluster_time")
+    return rows.join(merged.unionByName(plain), t, "left")
+
+
+def _solved(cut: DataFrame, run: Sequence[str], max_gap: int) -> DataFrame:
+    """The groups of each slice: ``t``, ``cluster``, ``cluster_time``, ``sure`` and the
+    place ``at`` in the run, which starts at ``_from``."""
+    group = [*run, "_slice"]
+
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, starts in whole_groups(batches, run):
+        for pdf, starts in whole_groups(batches, group):
             times, copies = pdf["t"].to_numpy(), pdf["_n"].to_numpy()
-            first, centre = np.empty_like(times), np.empty_like(times)
+            first, centre, at = np.empty_like(times), np.empty_like(times), np.empty_like(times)
+            sure = np.empty(len(times), bool)
             for a, b in zip(starts, np.append(starts[1:], len(pdf))):
-                group, centre[a:b] = merge_rounds(times[a:b], copies[a:b], max_gap)
-                _, head, back = np.unique(group, return_index=True, return_inverse=True)
+                ends = bool(pdf["_open_left"].iat[a]), bool(pdf["_open_right"].iat[a])
+                joined, centre[a:b], sure[a:b] = merge_rounds(times[a:b], copies[a:b], max_gap, *ends)
+                _, head, back = np.unique(joined, return_index=True, return_inverse=True)
                 first[a:b] = times[a:b][head][back]
-            yield pd.DataFrame({t: times, "cluster": first, "cluster_time": centre})
+                at[a:b] = pdf["_from"].iat[a] + np.arange(b - a)
+            yield pdf[[*group, "t", "_n", "_times"]].assign(cluster=first, cluster_time=centre, sure=sure, at=at)
 
-    wide = sized.filter("_times > 2").select(*run, "t", "_n")
-    wide = wide.repartition(*run).sortWithinPartitions(*run, "t")
-    merged = wide.mapInPandas(solve, f"{t} bigint, cluster bigint, cluster_time bigint")
-    return rows.join(merged.unionByName(plain), t, "left")
+    rows = cut.select(*group, "t", "_n", "_times", "_open_left", "_open_right", "_from")
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "t")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*group, "t", "_n", "_times").schema)
+    return rows.mapInPandas(solve, f"{kinds}, cluster bigint, cluster_time bigint, sure boolean, at bigint")
 
 
 def neighbour_gaps(rows: DataFrame, t: str = "outage_time", *, width: int = DAY) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from amperic.functions.clock import DAY
 from amperic.operators.clusters_time import NOISE
 from amperic.operators.kernels import kernel_sums
-from amperic.operators.ordered import neighbours, running, with_slice
+from amperic.operators.ordered import even_slices, neighbours, running, with_slice
 from amperic.session import stage
 
 
@@ -67,6 +67,51 @@ def knee(curve: DataFrame) -> DataFrame:
     ).select((-F.col("k._r")).alias("knee_rank"), F.col("k.distance").alias("knee_distance"), F.col("k._drop").alias("drop"))
 
 
+def kneedle(curve: DataFrame, *, sensitivity: float = 1.0, slices: int | None = None) -> DataFrame:
+    """First knee of a falling convex curve that stands out by ``sensitivity``.
+
+    Both axes are scaled to [0, 1], and the difference between the chord and the curve
+    is followed from its first local maximum on. A maximum is a knee once the
+    difference falls below it by more than ``sensitivity`` mean steps of the rank, or
+    below zero after a local minimum. No row if that never happens.
+
+    ``curve`` is in runs of equal distance (:func:`k_distance`). Inside a run the
+    difference falls by one step a rank, so only a run's first rank can be a maximum
+    and only its last a minimum. The last maximum and the last threshold before each run
+    are carried across even slices of the curve.
+    """
+    ends = curve.agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.max("rank_to").alias("last")).first()
+    if ends["last"] is None or ends["last"] < 2 or ends["low"] == ends["high"]:
+        return curve.select(
+            F.col("rank_from").cast("bigint").alias("knee_rank"), F.col("distance").cast("double").alias("knee_distance"),
+            F.lit(None).cast("double").alias("drop"),
+        ).limit(0)
+    steps = ends["last"] - 1
+    drop = lambda rank: 1 - (F.col("distance") - ends["low"]) / (ends["high"] - ends["low"]) - (F.col(rank) - 1) / F.lit(float(steps))
+    rows = curve.select(
+        "distance", F.col("rank_from").cast("bigint").alias("a"), F.col("rank_to").cast("bigint").alias("b"),
+        drop("rank_from").alias("_a"), drop("rank_to").alias("_b"),
+    )
+    rows = stage(even_slices(stage(rows), [], ["a"], slices))
+    rows = neighbours(rows, ["a"], previous={"_before": "_b"}, following={"_after": "_a"})
+    long_ = F.col("b") > F.col("a")
+    top = F.coalesce(F.col("_a") >= F.col("_before"), F.lit(True)) & (long_ | F.coalesce(F.col("_a") >= F.col("_after"), F.lit(True)))
+    low = F.coalesce(F.col("_b") <= F.col("_after"), F.lit(True)) & (long_ | F.coalesce(F.col("_b") <= F.col("_before"), F.lit(True)))
+    # what holds from a rank on; at one rank a minimum comes after a maximum
+    mark = lambda rank, turn, threshold: F.struct(F.col(rank).alias("rank"), F.lit(turn).alias("turn"), threshold.alias("threshold"))
+    peak = F.when(top, mark("a", 0, F.col("_a") - sensitivity / steps))
+    pit = F.when(low, mark("b", 1, F.lit(0.0)))
+    rows = stage(rows.withColumns({"_peak": peak, "_last": F.coalesce(pit, peak), "_knee": F.when(top, F.struct("a", "distance", "_a"))}))
+    rows = running(rows, ["a"], "_last", "max", "_held", exclusive=True)
+    rows = running(rows, ["a"], "_knee", "max", "_of", exclusive=True)
+    at_first = F.coalesce("_peak", "_held")["threshold"]
+    at_last = F.coalesce("_last", "_held")["threshold"]
+    falls = (long_ & (F.col("_b") < at_first)) | F.coalesce(F.col("_after") < at_last, F.lit(False))
+    knees = rows.withColumn("_at", F.coalesce("_knee", "_of")).filter(falls & F.col("_at").isNotNull())
+    first = knees.agg(F.min_by("_at", "a").alias("k")).filter("k is not null")
+    return first.select(F.col("k.a").alias("knee_rank"), F.col("k.distance").cast("double").alias("knee_distance"), F.col("k._a").alias("drop"))
+
+
 def fit_curve(points: DataFrame, x: str, y: str, weight: str, *, steps: int = 20, alpha: float = 0.1) -> DataFrame:
     """Gradient descent for ``y = a x + sin(b x)`` from (0, 0): one aggregation
     per step, only the two parameters pass through the driver.

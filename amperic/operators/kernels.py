@@ -46,11 +46,22 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterat
         yield pd.concat(rest, ignore_index=True), np.array([0])
 
 
-def merge_rounds(t: np.ndarray, copies: np.ndarray, max_gap: int) -> tuple[np.ndarray, np.ndarray]:
+# How far a node's next round depends on nodes beside it, at most.
+_SIGHT = 5
+
+
+def merge_rounds(
+    t: np.ndarray, copies: np.ndarray, max_gap: int, open_left: bool = False, open_right: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Synchronous merging of mutually nearest times.
 
     ``t`` ascending and distinct, ``copies`` rows per time. Returns the final
-    group number and centre of each time.
+    group number and centre of each time, and whether they are sure.
+
+    At an open end there are more times that are not given. What may depend on them
+    spreads inwards by a few nodes a round, and ends for good where two nodes are
+    ``max_gap`` apart: neither can come nearer to the other any more. Only what it has
+    reached by then is not sure, whole groups at a time.
 
     A time held by several rows always merges with itself first: a gap of zero
     beats every other, from either side. So rows of one time stay together and
@@ -87,8 +98,30 @@ def merge_rounds(t: np.ndarray, copies: np.ndarray, max_gap: int) -> tuple[np.nd
         if right[j] >= 0:
             left[right[j]] = i
 
+    # the unsure nodes at each end; a side is done once a wide gap has been met
+    unsure: list[set[int]] = [set(), set()]
+    going = [open_left and n > 0, open_right and n > 0]
+    step = (right, left)
+    first = [0, n - 1]  # the next node that may become unsure
+
+    def spread(side: int, most: int) -> None:
+        for _ in range(most):
+            i = first[side]
+            if i < 0:
+                going[side] = False
+            if not going[side]:
+                return
+            unsure[side].add(i)
+            j = step[side][i]
+            if j >= 0 and abs(at[j] - at[i]) >= max_gap:
+                going[side] = False
+                return
+            first[side] = j
+
     changed = set(range(n))
     while changed:
+        for side in (0, 1):
+            spread(side, _SIGHT)
         near = set()
         for i in changed:
             for _ in range(4):
@@ -102,6 +135,15 @@ def merge_rounds(t: np.ndarray, copies: np.ndarray, max_gap: int) -> tuple[np.nd
         for i in moved:
             rows[i] = 1
         for i in meets:
+            j = right[i]
+            if first[0] == j:  # i is unsure, and now holds what came next
+                first[0] = right[j]
+            if j in unsure[1]:
+                unsure[1].add(i)
+                if first[1] == i:
+                    first[1] = left[i]
+            elif first[1] == j:
+                first[1] = i
             absorb(i)
             at[i] = total[i] // size[i]
         changed = moved.union(meets)
@@ -113,13 +155,21 @@ def merge_rounds(t: np.ndarray, copies: np.ndarray, max_gap: int) -> tuple[np.nd
                 i = left[i]
             while right[i] >= 0 and at[right[i]] == at[i]:
                 rows[i] += 1
+                for side in (0, 1):
+                    if right[i] in unsure[side]:
+                        unsure[side].add(i)
+                    if first[side] == right[i]:
+                        first[side] = i
                 absorb(i)
                 changed.add(i)
         changed = {i for i in changed if joined[i] == i}
+    for side in (0, 1):
+        spread(side, n)
     group = np.arange(n)
     for i in range(n):  # nodes go into nodes before them
         group[i] = i if joined[i] == i else group[joined[i]]
-    return group, np.array([at[i] for i in group.tolist()], dtype=np.int64)
+    sure = np.array([not (i in unsure[0] or i in unsure[1]) for i in range(n)], bool)
+    return group, np.array([at[i] for i in group.tolist()], dtype=np.int64), sure[group]
 
 
 def hull_of(x: np.ndarray, y: np.ndarray, tol: float) -> np.ndarray:

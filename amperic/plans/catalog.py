@@ -778,7 +778,8 @@ def nearest_time_labels(spark, sf_dir):
     f"""SELECT 'ignoring' AS part, count(*) AS clusters, round(sum(lasts * n) / avg(people), 4) AS saidi
 FROM (SELECT avg(outage_time) - avg(restore_time) AS lasts, count(*) AS n, floor(avg(sensors_reporting)) AS people FROM restm GROUP BY label)
 UNION ALL ({_split_sql("pair_ro", "restore_time", "outage_time")})
-UNION ALL SELECT 'nearest_time', * FROM ({_moved_sql("pair_ro_intime", "SELECT * FROM pair_ro_means", "restore_time")})"""
+UNION ALL SELECT 'nearest_time', * FROM ({_moved_sql("pair_ro_intime", "SELECT * FROM pair_ro_means", "restore_time")})
+UNION ALL SELECT 'nearest_space', * FROM ({_moved_sql("pair_ro_inspace", "SELECT other_label, avg(outage_time) AS mean_other FROM pair_ro_inspace WHERE other_label <> -1 GROUP BY 1", "restore_time")})"""
 )
 def saidi_inverse(spark, sf_dir):
     """The indices of restore clusters: the same code with the times swapped."""
@@ -787,6 +788,9 @@ def saidi_inverse(spark, sf_dir):
     whole = rel.saidi(rows, **ends).select(F.lit("ignoring").alias("part"), "clusters", "saidi")
     moved = rel.nearest_in_time(rows, other="outage_time")
     near = rel.saidi_reassigned(rows, moved, **ends).select(F.lit("nearest_time").alias("part"), "clusters", "saidi")
+    placed = stage(rel.nearest_in_space(rows, other="outage_time"))
+    beside = rel.saidi_reassigned(rows, placed, updated_means=True, **ends)
+    near = near.unionByName(beside.select(F.lit("nearest_space").alias("part"), "clusters", "saidi"))
     return whole.unionByName(rel.saidi_by_noise(rows, **ends)).unionByName(near).select(
         "part", "clusters", rnd("saidi", 4).alias("saidi")
     )
@@ -1007,6 +1011,35 @@ ORDER BY 1 - y - x DESC, r LIMIT 1""",
 )
 
 
+@query(None)
+def kneedle(spark, sf_dir):
+    """The first knees by sensitivity, the least one as used on these curves."""
+    curve = stage(evaluation.k_distance(flows.outage_table(spark, sf_dir)))
+    found = [
+        evaluation.kneedle(curve, sensitivity=s).select(
+            F.lit(s).alias("sensitivity"), "knee_rank", "knee_distance", rnd("drop", 8).alias("drop")
+        )
+        for s in (0.001, 1.0, 50.0)
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+# Rank by rank: extremes of the difference curve, then the thresholds they set.
+_KNEEDLE = """
+, ends AS (SELECT max(r) - 1 AS steps, min(d) AS lo, max(d) AS hi FROM ranked),
+diff AS (SELECT r, d, 1 - (d - lo) / CAST(hi - lo AS DOUBLE) - (r - 1) / CAST(steps AS DOUBLE) AS y, steps FROM ranked, ends),
+turns AS (SELECT *, lead(y) OVER w AS f, y >= coalesce(lag(y) OVER w, y) AND y >= coalesce(lead(y) OVER w, y) AS top,
+  y <= coalesce(lag(y) OVER w, y) AND y <= coalesce(lead(y) OVER w, y) AS low FROM diff WINDOW w AS (ORDER BY r)),
+each AS (SELECT t.*, s.s FROM turns t, (SELECT unnest([0.001, 1, 50]::DOUBLE[]) AS s) s),
+held AS (SELECT *, last_value(CASE WHEN low THEN 0 WHEN top THEN y - s / steps END IGNORE NULLS) OVER w AS threshold,
+  last_value(CASE WHEN top THEN r END IGNORE NULLS) OVER w AS knee FROM each
+  WINDOW w AS (PARTITION BY s ORDER BY r ROWS UNBOUNDED PRECEDING)),
+first AS (SELECT s, arg_min(knee, r) AS knee FROM held WHERE knee IS NOT NULL AND f < threshold GROUP BY 1)
+SELECT s AS sensitivity, knee AS knee_rank, CAST(d AS DOUBLE) AS knee_distance, round(y, 8) AS "drop" FROM first JOIN diff ON r = knee"""
+
+ORACLES["kneedle"] = _with_extra("outs", _CURVE + _KNEEDLE)
+
+
 @query(None)
 def fit_curve(spark, sf_dir):
     """Gradient descent on the scaled k-distance curve, one point per run."""

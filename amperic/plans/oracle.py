@@ -236,22 +236,23 @@ FROM {name} p""",
 
 paired_blocks("pair_or", "outm", "restm", "outage_time", "restore_time")
 paired_blocks("pair_ro", "restm", "outm", "restore_time", "outage_time")
-block(
-    "pair_or_close",
-    """
+for _name, _other in (("pair_or", "restore_time"), ("pair_ro", "outage_time")):
+    block(
+        f"{_name}_close",
+        f"""
 SELECT n.event_id, k.other_label,
   pow(k.location_longitude - n.location_longitude, 2) + pow(k.location_latitude - n.location_latitude, 2) AS d,
-  abs(m.mean_other - n.restore_time) AS gap
-FROM pair_or n JOIN pair_or k ON n.other_label = -1 AND k.other_label <> -1
-JOIN pair_or_means m ON m.other_label = k.other_label""",
-)
-block(
-    "pair_or_inspace",
-    """
-SELECT p.* REPLACE (coalesce(b.other_label, p.other_label) AS other_label) FROM pair_or p LEFT JOIN (
-  SELECT event_id, other_label FROM pair_or_close
+  abs(m.mean_other - n.{_other}) AS gap
+FROM {_name} n JOIN {_name} k ON n.other_label = -1 AND k.other_label <> -1
+JOIN {_name}_means m ON m.other_label = k.other_label""",
+    )
+    block(
+        f"{_name}_inspace",
+        f"""
+SELECT p.* REPLACE (coalesce(b.other_label, p.other_label) AS other_label) FROM {_name} p LEFT JOIN (
+  SELECT event_id, other_label FROM {_name}_close
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, gap, other_label) = 1) b USING (event_id)""",
-)
+    )
 block(
     "small",
     """

@@ -211,13 +211,58 @@ def test_merge_rounds_match_the_row_form():
         times = g.integers(0, g.integers(5, 900), g.integers(1, 25)).tolist()
         gap = int(g.integers(2, 60))
         t, n = np.unique(times, return_counts=True)
-        group, centre = merge_rounds(t, n, gap)
+        group, centre, sure = merge_rounds(t, n, gap)
+        assert sure.all()
         got = sorted(
             (sorted(np.repeat(t[group == k], n[group == k]).tolist()), int(centre[group == k][0])) for k in set(group)
         )
         assert got == rounds_by_rows(times, gap)
 
 
+def test_what_is_sure_in_a_slice_is_so_in_the_run():
+    """Random runs cut into 2 to 7 slices: sure groups are those of the whole run, and
+    what is unsure becomes sure with more around it."""
+    told = total = 0
+    for seed in range(150):
+        g = np.random.default_rng(seed)
+        gap, kind = 60, seed % 3
+        steps = g.integers(1, [59, 12, 59][kind], int(g.integers(20, 700)))
+        if kind == 2:
+            steps = np.where(g.random(len(steps)) < 0.7, 1 + steps % 5, steps)
+        t = np.cumsum(steps)
+        n = g.choice([1, 1, 1, 4], len(t))
+        group, centre, _ = merge_rounds(t, n, gap)
+        cuts = np.sort(g.choice(np.arange(1, len(t)), int(g.integers(1, 7)), replace=False))
+        edges = [0, *cuts.tolist(), len(t)]
+        for a, b in zip(edges, edges[1:]):
+            for margin in (0, 8, 64, len(t)):
+                lo, hi = max(0, a - margin), min(len(t), b + margin)
+                part, middle, sure = merge_rounds(t[lo:hi], n[lo:hi], gap, lo > 0, hi < len(t))
+                assert (group[lo:hi][sure] == part[sure] + lo).all(), (seed, a, b, margin)
+                assert (centre[lo:hi][sure] == middle[sure]).all()
+                # a group is sure as a whole
+                assert all(sure[part == k].all() or not sure[part == k].any() for k in np.unique(part))
+            assert sure.all()
+            told += int(merge_rounds(t[a:b], n[a:b], gap, a > 0, b < len(t))[2].sum())
+            total += b - a
+    assert told > 0.3 * total
+
+
+@pytest.mark.parametrize("slices, margin", [(2, 1), (7, 1), (5, 64)])
+def test_one_run_over_many_slices(spark, slices, margin):
+    g = np.random.default_rng(slices)
+    times = np.concatenate([np.cumsum(g.integers(1, 170, 900)), 400_000 + np.cumsum(g.integers(1, 9, 300)), [900_000, 900_000]])
+    df = spark.createDataFrame([(i, int(t)) for i, t in enumerate(times)] + [(-1, None)], "event_id bigint, outage_time bigint")
+    rows = clusters_time.agglomerate_time(df, partition=None, slices=slices, margin=margin).toPandas()
+    assert len(rows) == len(times) + 1 and rows["cluster"].isna().sum() == 1
+    rows = rows.dropna()
+    got = sorted((sorted(p["outage_time"].astype(int)), int(p["cluster_time"].iloc[0])) for _, p in rows.groupby("cluster"))
+    t, n = np.unique(times, return_counts=True)
+    group, centre, _ = merge_rounds(t, n, 180)
+    want = sorted((sorted(np.repeat(t[group == k], n[group == k]).tolist()), int(centre[group == k][0])) for k in set(group))
+    assert got == want
+
+
 def test_agglomeration_by_runs_equals_the_whole(spark):
     g = np.random.default_rng(8)
     times = (1704067200 + g.integers(0, 40000, 300)).tolist()
