@@ -101,7 +101,8 @@ def agglomerate_time(
     part = iso_week(F.col(t)) if partition == "week" else F.lit(0)
     counts = rows.filter(F.col(t).isNotNull()).groupBy(F.col(t)).agg(F.count("*").alias("_n")).withColumn("_week", part)
     runs = islands(counts, t, max_gap, keys=["_week"], closed=False, width=width)
-    run = ["_week", "island"]
+    runs = runs.withColumnRenamed("island", "_run")
+    run = ["_week", "_run"]
     nodes = stage(counts.join(runs, ["_week", t]).select(*run, F.col(t).alias("t"), "_n"))
     # one time, or two less than max_gap apart, end as one group whatever their counts
     sizes = nodes.groupBy(*run).agg(
@@ -109,7 +110,7 @@ def agglomerate_time(
         F.floor(F.sum(F.col("t") * F.col("_n")) / F.sum("_n")).cast("bigint").alias("cluster_time"),
     )
     sized = nodes.join(sizes, run)
-    plain = sized.filter("_times <= 2").select(F.col("t").alias(t), F.col("island").alias("cluster"), "cluster_time")
+    plain = sized.filter("_times <= 2").select(F.col("t").alias(t), F.col("_run").alias("cluster"), "cluster_time")
 
     wide = stage(even_slices(sized.filter("_times > 2").select(*run, "t", "_n", "_times"), run, ["t"], slices))
     spans = wide.groupBy(*run, "_slice").agg(F.count("*").alias("_held"))
