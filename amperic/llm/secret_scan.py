@@ -14,8 +14,10 @@ gives an empty table. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -103,6 +105,19 @@ def random_spans(
     return out
 
 
+def beside(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that touch no base span; both are sorted by start. Of the base spans that
+    begin before a span ends, only the one that reaches farthest matters."""
+    starts = [a for a, _, _ in base]
+    reach = list(itertools.accumulate((b for _, _, b in base), max))
+    out = []
+    for s in spans:
+        before = bisect.bisect_left(starts, s[2])
+        if not before or reach[before - 1] <= s[0]:
+            out.append(s)
+    return out
+
+
 KINDS = ("assign", "access", "hex", "random")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
@@ -128,7 +143,7 @@ def secret_scan(
         for text in batch.column("text").to_pylist():
             base = base_spans(text)
             more = random_spans(text, encode, chars_per_token=chars_per_token, least=least, letters_per_token=letters_per_token)
-            more = [s for s in more if not any(s[0] < b and a < s[2] for a, _, b in base)] if base else more
+            more = beside(more, base)
             kinds = [k for _, k, _ in base]
             for k, name in enumerate(("n_assign", "n_access", "n_hex")):
                 out[name].append(kinds.count(k))

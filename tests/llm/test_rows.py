@@ -182,3 +182,19 @@ def test_repeated_rows_and_null_ids(spark):
         bpe.bpe_encode(rows, vocabulary_path=PATH, pattern=PATTERN),
     ):
         assert sorted(r["doc_id"] or -1 for r in out.collect()) == [-1, 3, 3]
+
+
+def test_random_spans_beside_many_base_spans():
+    """Against all pairs, and a text full of base spans takes time in proportion."""
+    rng = random.Random(9)
+    for _ in range(300):
+        spans = [sorted((a, rng.randint(0, 3), a + rng.randint(1, 12)) for a in rng.sample(range(60), rng.randint(0, 9))) for _ in range(2)]
+        want = [s for s in spans[0] if not any(s[0] < b and a < s[2] for a, _, b in spans[1])]
+        assert secret_scan.beside(*spans) == want
+    encode = secret_scan._encoding(PATH, PATTERN).encode_ordinary
+    text = " ".join(f"{rng.getrandbits(64):016x} k{rng.getrandbits(100):025X}Z" for _ in range(100_000))
+    begin = time.time()
+    base = secret_scan.base_spans(text)
+    more = secret_scan.beside(secret_scan.random_spans(text, encode, chars_per_token=2.2, least=16), base)
+    assert len(base) >= 99_000 and len(more) > 90_000
+    assert time.time() - begin < 60
