@@ -227,21 +227,27 @@ def bpe_encode(
     schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
     encoders: list[Encoder] = []
 
-    def run(batch: pa.RecordBatch) -> dict:
-        vocab = vocabulary(vocabulary_path, pattern)
-        if not encoders:
-            encoders.append(Encoder(vocab))
-        gc.disable()  # the many lists here form no cycles; looking for some takes a fifth of the time
+    def encode(texts: list[str], encoder: Encoder, vocab) -> dict[str, list]:
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-        for block in _blocks(batch.column("text").to_pylist(), block_chars):
-            for packed in encoders[0].block(block):
+        for block in _blocks(texts, block_chars):
+            for packed in encoder.block(block):
                 numbers = np.frombuffer(packed, "<u4")
                 out["n_tokens"].append(len(numbers))
                 out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(vocab.decode(numbers.tolist())).hexdigest())
                 if ids:
                     out["ids"].append(numbers.astype(np.int32))
-        gc.enable()
+        return out
+
+    def run(batch: pa.RecordBatch) -> dict:
+        vocab = vocabulary(vocabulary_path, pattern)
+        if not encoders:
+            encoders.append(Encoder(vocab))
+        gc.disable()  # the many lists here form no cycles; looking for some takes a fifth of the time
+        try:
+            out = encode(batch.column("text").to_pylist(), encoders[0], vocab)
+        finally:
+            gc.enable()
         return {"doc_id": batch.column("doc_id"), **out, **{c: batch.column(c) for c in carry}}
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), *carry), run, schema)
