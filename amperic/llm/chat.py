@@ -50,6 +50,40 @@ def turn_events(rows: DataFrame) -> DataFrame:
     )
 
 
+def streamed_events(rows: DataFrame) -> DataFrame:
+    """The log that a client might have written of the same conversations.
+
+    Every text comes in three deltas, cut without regard to what it says. Before that,
+    even messages are drafted, the next message is begun on that draft, and both are
+    voided as the message is regenerated; odd messages begin with a wrong text that an
+    edit replaces. After each message a further one is begun and deleted.
+    """
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("n"))
+    n, text, none = F.col("n"), F.col("text"), F.lit(None).cast("string")
+    own, size = n * 2, F.length(text)
+    first, second = (size / 3).cast("int"), (size * 2 / 3).cast("int")
+    draft = F.concat(F.lit("draft of "), F.reverse(text))
+    even = n % 2 == 0
+
+    def event(step: int, message, kind, role, said) -> Column:
+        parts = {"seq": n * 16 + step, "message": message, "kind": kind, "role": role, "text": said}
+        return F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in parts.items()])
+
+    events = F.array(
+        event(0, own, "start", F.col("role"), F.when(even, none).otherwise(draft)),
+        event(1, own, "delta", none, draft),
+        event(2, F.when(even, own + 2).otherwise(own + 1), "start", F.lit("early"), draft),
+        event(3, own, F.when(even, F.lit("regenerate")).otherwise(F.lit("edit")), none, F.when(even, draft).otherwise(F.lit(""))),
+        event(4, own, "delta", none, F.substr(text, F.lit(1), first)),
+        event(5, own, "delta", none, F.substr(text, first + 1, second - first)),
+        event(6, own, "delta", none, F.substr(text, second + 1, size - second)),
+        event(7, own + 1, "start", F.lit("aside"), draft),
+        event(8, own + 1, "delete", none, none),
+    )
+    return rows.select("conv_id", F.inline(events))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """``conv_id``, ``message``, ``role``, ``text``: the messages that a log ends with.
 

@@ -119,7 +119,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"),
     )
-    done = chat.render(chat.fold_events(chat.turn_events(rows.unionByName(more))))
+    done = chat.render(chat.fold_events(chat.streamed_events(rows.unionByName(more))))
     turns = chat.read_back(F.col("formatted"))
     loss = chat.loss_text(F.col("formatted"), F.col("loss"))
     told = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
