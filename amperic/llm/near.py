@@ -18,13 +18,13 @@ or the distances to a common hub already rule out a link (the Jaccard distance i
 a metric).
 
 Rules for odd input: a NULL text is empty. Texts of less than five words are one
-shingle; texts without words have none and are near only to equal texts. Equal
-texts are one class, of which the least ``doc_id`` stands for all. Of rows that
-share a ``doc_id`` but not the text, the one with the least hash stands for the
-id in comparisons. Rows with a NULL ``doc_id`` belong to the group of their text,
-which is NULL if no row of it has an id. Other columns are ignored. An empty table
-gives an empty table. Shingles are compared by 32-bit hashes, which can move a
-similarity by some ten-thousandths.
+shingle; texts without words have none and are near only to equal texts. Texts are
+compared, not ids: equal texts are one class, named by its least ``doc_id``, and rows
+that share an id but not the text are in the groups of their texts. A class or group
+without any id has the name NULL; ``group_hash`` tells all groups apart. Of texts whose
+64-bit hashes agree by chance one is compared and the others stay alone. Other columns
+are ignored. An empty table gives an empty table. Shingles are compared by 32-bit
+hashes, which can move a similarity by some ten-thousandths.
 """
 
 from __future__ import annotations
@@ -122,9 +122,11 @@ def signatures(docs: DataFrame, *, bands: int = 26, rows: int = 5) -> DataFrame:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, small: int) -> DataFrame:
-    """Shingle sets of the documents in ``needed`` (``node``, ``t1``). That list is
-    broadcast where its whole size is below ``small`` bytes."""
-    few = needed.count() * 16 <= small
+    """Shingle sets of the texts in ``needed`` (``node``, the text's hash, ``t1`` and
+    ``first``, a row that has it). That list is broadcast where its whole size is below
+    ``small`` bytes."""
+    wanted = needed.select(F.col("node").alias("_node"), "first")
+    few = needed.count() * 24 <= small
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = utf8(batch)
@@ -132,11 +134,12 @@ def _sets(docs: DataFrame, needed: DataFrame, small: int) -> DataFrame:
         found = [np.unique(shingles(t).astype(np.uint32)).view(np.int32) for t in texts]
         return {"node": batch.column("node"), "items": found, "t1": marks.view(np.int64)}
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), whole_text().alias("text"))
-    texts = texts.join(F.broadcast(needed.select("node")) if few else needed.select("node"), "node", "left_semi")
-    sets = map_batches(texts, run, "node long, items array<int>, t1 long")
-    # a repeated id has one text that stands for it
-    return sets.join(needed, ["node", "t1"], "left_semi").dropDuplicates(["node"]).select("node", "items")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), whole_text().alias("text")).withColumn("node", F.xxhash64("text"))
+    same = (F.col("node") == F.col("_node")) & F.col("doc").eqNullSafe(F.col("first"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, same, "left_semi")
+    sets = map_batches(texts.select("node", "text"), run, "node long, items array<int>, t1 long")
+    # rows equal in id and text give a set twice
+    return sets.join(needed.select("node", "t1"), ["node", "t1"], "left_semi").dropDuplicates(["node"]).select("node", "items")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -165,14 +168,14 @@ def links(
     A pair of one group is left out once the group is known; no link between
     different groups is.
 
-    ``nodes`` has ``node``, ``t1``, ``n`` and ``bands``.
+    ``nodes`` has ``node``, ``t1``, ``first``, ``n`` and ``bands``.
     """
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     keys = staged(keys.join(shared, "key"))
     weight = keys.groupBy("node").agg(F.sum("c").alias("popularity"))
     rows = staged(keys.join(weight, "node").select("key", "node", "n", "popularity"))
-    sets = staged(_sets(docs, weight.select("node").join(nodes.select("node", "t1"), "node"), small))
+    sets = staged(_sets(docs, weight.select("node").join(nodes.select("node", "t1", "first"), "node"), small))
     known = nodes.sparkSession.createDataFrame([], "a long, b long, similarity double")
 
     def linked() -> DataFrame:
@@ -232,13 +235,24 @@ def near_duplicates(
     docs: DataFrame, *, threshold: float = 0.8, bands: int = 26, rows: int = 5, hub_rounds: int = 2, small: int = 64 << 20
 ) -> DataFrame:
     """``doc_id``, ``class_id`` (least id with the same text), ``group_id`` (least id
-    of the connected near-duplicates), ``n_shingles`` and ``text_hash``, which tells
-    rows of one id apart."""
+    of the connected near-duplicates), ``n_shingles``, ``text_hash``, which tells rows of
+    one id apart, and ``group_hash``, which does so for groups."""
     marks = staged(signatures(docs, bands=bands, rows=rows))
-    classes = marks.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = classes.filter("node is not null").groupBy("node").agg(F.min_by(F.struct("t1", "n", "bands"), "t1").alias("r"))
-    nodes = staged(nodes.select("node", "r.t1", "r.n", "r.bands"))
+    classes = marks.groupBy("t1", "t2").agg(
+        F.min("doc_id").alias("class_id"), F.first("text_hash").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")
+    )
+    classes = staged(classes)
+    nodes = classes.groupBy("node").agg(F.min(F.struct("t1", "t2", F.col("class_id").alias("first"), "n", "bands")).alias("r"))
+    nodes = staged(nodes.select("node", "r.*"))
     groups = components(links(docs, nodes, threshold=threshold, hub_rounds=hub_rounds, small=small).select("a", "b"))
-    named = classes.select("t1", "t2", "node").join(groups, "node", "left")
-    named = named.select("t1", "t2", F.col("node").alias("class_id"), F.coalesce("root", "node").alias("group_id"))
-    return marks.join(named, ["t1", "t2"]).select("doc_id", "class_id", "group_id", F.col("n").cast("long").alias("n_shingles"), "text_hash")
+    alone = nodes.select("t1", "t2", F.lit(True).alias("compared"))
+    named = classes.select("t1", "t2", "node", "class_id").join(alone, ["t1", "t2"], "left").join(groups, "node", "left")
+    own = F.when(F.col("compared"), F.coalesce("root", "node")).otherwise(F.col("t1"))
+    named = staged(named.select("t1", "t2", "class_id", own.alias("group_hash"), F.col("root").isNotNull().alias("linked")))
+    # only groups of several texts need their least id looked up
+    least = named.filter("linked").groupBy("group_hash").agg(F.min("class_id").alias("least"))
+    named = named.join(least, "group_hash", "left")
+    named = named.select("t1", "t2", "class_id", F.when(F.col("linked"), F.col("least")).otherwise(F.col("class_id")).alias("group_id"), "group_hash")
+    return marks.join(named, ["t1", "t2"]).select(
+        "doc_id", "class_id", "group_id", F.col("n").cast("long").alias("n_shingles"), "text_hash", "group_hash"
+    )

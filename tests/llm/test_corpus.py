@@ -119,10 +119,30 @@ def test_near_duplicates_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text), (5, text), (5, text), (3, "other words that stand alone here"), (3, text + " x"), (None, "lonely")]
     got = near.near_duplicates(frame(spark, rows, "doc_id long, text string")).collect()
-    assert len(got) == 6
+    told = Counter((r["doc_id"], r["n_shingles"], r["class_id"], r["group_id"]) for r in got)
+    # the copies and the text with one more word are one group, named 3; the others are alone
+    assert told == {(None, 46, 5, 3): 1, (5, 46, 5, 3): 2, (3, 2, 3, 3): 1, (3, 47, 3, 3): 1, (None, 1, None, None): 1}
+    groups = {(r["doc_id"], r["n_shingles"]): r["group_hash"] for r in got}
+    assert groups[None, 46] == groups[5, 46] == groups[3, 47] and len(set(groups.values())) == 3
     assert near.near_duplicates(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Ids that hold a near copy and an unrelated text each: every text is judged for itself."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(12):
+        base = [f"b{rng.randint(0, 10**9)}" for _ in range(80)]
+        rows += [(i, " ".join(base)), (100 + i, " ".join(edited(rng, base, 1))), (100 + i, " ".join(f"c{rng.randint(0, 10**9)}" for _ in range(60)))]
+    got = near.near_duplicates(frame(spark, rows, "doc_id long, text string")).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["group_hash"], []).append((r["doc_id"], r["n_shingles"], r["group_id"]))
+    assert sorted(sorted(v) for v in per.values()) == sorted(
+        [[(i, 76, i), (100 + i, 76, i)] for i in range(12)] + [[(100 + i, 56, 100 + i)] for i in range(12)]
+    )
+
+
 def test_signature_estimates_probability_jaccard():
     import numpy as np
 
@@ -210,6 +230,19 @@ def test_chat_round_trip(spark):
     assert chat.render(chat.fold_events(log.limit(0))).count() == 0
 
 
+def test_chat_streamed(spark):
+    """Deltas, edits, regenerations and deletions fold to the texts as they were."""
+    rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate([("user", "a"), ("assistant", "</s>[INST] é日😀 [/INST]\\"), ("user", None), (None, "long " * 500), ("assistant", "")])]
+    rows += [(3, 0, "user", "b"), (3, 0, "user", "b"), (3, 0, "assistant", "x")]
+    table = frame(spark, rows, "conv_id long, turn long, role string, text string")
+    log = chat.streamed_events(table)
+    kinds = Counter(r["kind"] for r in log.collect())
+    assert kinds["delta"] == 4 * len(rows) and kinds["edit"] and kinds["regenerate"] and kinds["delete"] == len(rows)
+    told = lambda df: sorted(((r["conv_id"], r["message"], r["role"], r["text"]) for r in df.collect()), key=str)
+    want = [(c, 2 * m, r, x) for c, m, r, x in told(chat.fold_events(chat.turn_events(table)))]
+    assert told(chat.fold_events(log.repartition(7))) == sorted(want, key=str)
+
+
 def test_chat_events(spark):
     log = [
         (1, 0, 0, "start", "user", "Hi"), (1, 1, 1, "start", "assistant", ""), (1, 2, 1, "delta", None, "Hel"), (1, 3, 1, "delta", None, "lo"),

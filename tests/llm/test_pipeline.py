@@ -58,6 +58,16 @@ def test_near(stages):
     assert not Counter(rows(after)) - Counter(rows(before))
 
 
+def test_near_keeps_unrelated_texts_of_one_id(spark):
+    base = [" ".join(f"w{i}x{j}" for j in range(70)) for i in range(6)]
+    other = [" ".join(f"o{i}x{j}" for j in range(70)) for i in range(6)]
+    table = [(i, base[i]) for i in range(6)] + [(50 + i, base[i] + " more") for i in range(6)] + [(50 + i, other[i]) for i in range(6)]
+    table += [(None, base[0]), (None, other[1]), (7, None), (50, other[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in table], documents(spark, SF).schema).repartition(4)
+    got = Counter((r[0], r[1]) for r in rows(cp.near_stage(spark, docs, SF)))
+    assert got == Counter([(i, base[i]) for i in range(6)] + [(50 + i, other[i]) for i in range(6)] + [(7, None)])
+
+
 def test_mixing(stages):
     _, before, after = stages[3]
     assert Counter(rows(after)) == Counter(rows(before))
