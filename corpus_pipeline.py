@@ -7,7 +7,7 @@ the columns of ``documents``.
 
 Rules for odd input: a NULL text is empty and fails the quality rules. Repeated
 rows are one document from the third stage on; rows with one ``doc_id`` and
-different texts stay apart. An empty table passes through all stages.
+different texts are judged each by its text. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -40,12 +40,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id."""
+    """One document of each group of near-duplicates: the one with the least id, and of
+    several texts under that id the one with the least hash."""
     prepared(spark)
     groups = near_duplicates(docs)
-    keepers = groups.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_keep"), "text_hash").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    keepers = groups.groupBy("group_hash").agg(first.alias("k")).select(F.col("k.doc_id").alias("_keep"), F.col("k.text_hash").alias("_text"))
     rows = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64(whole_text()))
-    same = F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_text"))
     return rows.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*COLUMNS)
 
 
