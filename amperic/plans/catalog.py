@@ -24,7 +24,7 @@ from amperic.operators.transitions import number_per_sensor, outages
 from amperic.plans import flows
 from amperic.plans.oracle import albers_sql, check, utm_sql
 from amperic.session import configure, run_folder, stage
-from amperic.sources import fixtures, jdbc, tables
+from amperic.sources import fixtures, jdbc, lake, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1242,6 +1242,34 @@ def time_predicates_scan(spark, sf_dir):
     return whole.select("event_id", "core_id", epoch(F.col("time")).alias("time_s"))
 
 
+def _day_table(spark, sf_dir) -> str:
+    path = f"{run_folder(spark)}/days-{uuid4().hex}"
+    lake.write_days(fixtures.readings(spark, sf_dir), path)
+    return path
+
+
+@query(
+    """SELECT event_id, core_id, epoch_us(time) // 1000000 AS time_s, is_powered, CAST(site_id AS BIGINT) AS site_id FROM study
+WHERE time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-01-12'"""
+)
+def deployed_by_day(spark, sf_dir):
+    """A week of deployed readings from a table with a folder per day."""
+    rows = lake.deployed_days(spark, _day_table(spark, sf_dir), fixtures.deployments(spark, sf_dir), start="2024-01-05", end="2024-01-12")
+    return rows.select("event_id", "core_id", epoch(F.col("time")).alias("time_s"), "is_powered", big("site_id").alias("site_id"))
+
+
+@query(
+    """SELECT s.label, r.event_id, r.core_id FROM readings r JOIN (
+  SELECT label, min_time, max_time FROM summ WHERE cluster_size >= 3) s
+ON epoch_us(r.time) // 1000000 BETWEEN s.min_time AND s.max_time"""
+)
+def intervals_by_day(spark, sf_dir):
+    """Readings in the intervals of large clusters, from the days that these touch."""
+    spans = stage(summary.cluster_summary(flows.labelled(spark, sf_dir))).filter("cluster_size >= 3").select("label", "min_time", "max_time")
+    rows = spark.read.parquet(_day_table(spark, sf_dir))
+    return lake.in_interval_days(rows, spans).select("label", "event_id", "core_id")
+
+
 @query("SELECT event_id, core_id, epoch_us(time) // 1000000 AS time_s, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT *, location_latitude AS lat, location_longitude AS lon FROM located)")
 def io_round_trip(spark, sf_dir):
     """Parquet, then CSV with the nested column as JSON and times as text, and back."""
