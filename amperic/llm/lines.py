@@ -68,9 +68,10 @@ def keep_bitmaps(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, slo
     """``doc_id``, ``row``, ``dropped``: sorted positions of the lines to drop, for
     documents that lose any; see :func:`keep_runs` for the bitmap."""
     rows = staged(line_rows(docs, min_chars))
-    lost = rows.join(repeated_keys(rows, min_docs=min_docs, slots=slots), KEY).filter(
-        ~F.col("doc_id").eqNullSafe(F.col("keeper"))
-    )
+    # a frequent line stays spread by document when it meets its keeper
+    keys = repeated_keys(rows, min_docs=min_docs, slots=slots).select(*KEY, "keeper", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    spread = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int"))
+    lost = spread.join(keys, [*KEY, "slot"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
