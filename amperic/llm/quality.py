@@ -2,8 +2,8 @@
 classes and common words from references of its language.
 
 Rules for odd input: a NULL text is empty; an empty text has zero counts and
-fails the base rule. Rows with a NULL language share one reference. Tests
-that need more characters or words than a document has are not applied. Every
+fails the base rule. A document without a language, or of one that is too small to have
+a reference, is compared with all references. Tests that need more characters or words than a document has are not applied. Every
 row gives one row, repeated identifiers included; other columns are ignored. An
 empty table gives an empty table.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from amperic.llm.common import map_batches, offsets, utf8, windows, whole_text
+from amperic.llm.common import fresh, map_batches, offsets, utf8, windows, whole_text
 
 SYMBOLS = b"#*$%&|<>"
 # The character classes of the histogram, by UTF-8 byte. Bytes that
@@ -96,10 +96,12 @@ def _count_language(texts: list[bytes], words: Counter) -> np.ndarray:
     return class_counts(texts).sum(axis=0)
 
 
-def language_references(docs: DataFrame, *, n_words: int = 200, max_languages: int | None = None) -> dict[str, dict[str, Any]]:
-    """Character-class counts and the most common words per language, over all
-    documents. The driver takes ``n_words`` and a few rows of each language. With
-    ``max_languages``, languages beyond the largest share the pooled reference ``""``.
+def language_references(docs: DataFrame, *, n_words: int = 200, max_languages: int | None = None, base: Limits | None = None) -> dict[str, dict[str, Any]]:
+    """Character-class counts (``c``), the most common words (``w``), and how many words
+    (``t``) and documents (``d``) they stand for, per language over all documents, or,
+    with ``base``, over those that pass its base rule. The driver takes ``n_words`` and a
+    few rows of each language. With ``max_languages``, languages beyond the largest
+    share the reference ``""`` with documents without a language.
     """
     known = None
     if max_languages is not None:
@@ -109,25 +111,31 @@ def language_references(docs: DataFrame, *, n_words: int = 200, max_languages: i
     def count(batches):
         kept: dict[str, Counter] = {}
         sums: dict[str, np.ndarray] = {}
+        seen: Counter = Counter()
 
         def rows():
             out = [(lang, "w", w.decode("utf-8", "replace"), n) for lang, c in kept.items() for w, n in c.items()]
             out += [(lang, "c", CLASS_NAMES[i], int(n)) for lang, s in sums.items() for i, n in enumerate(s)]
             out += [(lang, "t", "", c.total()) for lang, c in kept.items()]
-            kept.clear()
-            sums.clear()
+            out += [(lang, "d", "", n) for lang, n in seen.items()]
+            for held in (kept, sums, seen):
+                held.clear()
             cols = zip(*out) if out else ([], [], [], [])
             kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["lang", "kind", "item", "n"])
 
         for batch in batches:
             by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch)):
-                own = lang is not None and (known is None or lang in known)
-                by_lang.setdefault(lang if own else "", []).append(text)
+            texts = utf8(batch)
+            passed = np.ones(len(texts), bool) if base is None else ~base_failures(texts, base)
+            for lang, text, ok in zip(batch.column("lang").to_pylist(), texts, passed.tolist()):
+                if ok:
+                    own = lang is not None and (known is None or lang in known)
+                    by_lang.setdefault(lang if own else "", []).append(text)
             for lang, texts in by_lang.items():
                 found = _count_language(texts, kept.setdefault(lang, Counter()))
                 sums[lang] = sums.get(lang, 0) + found
+                seen[lang] += len(texts)
             if sum(map(len, kept.values())) > 400_000:
                 yield rows()
         yield rows()
@@ -141,9 +149,9 @@ def language_references(docs: DataFrame, *, n_words: int = 200, max_languages: i
     top = counts.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n_words)
     found: dict[str, dict[str, Any]] = {}
     for r in top.collect():
-        ref = found.setdefault(r["lang"], {"c": {}, "w": {}, "t": 0})
-        if r["kind"] == "t":
-            ref["t"] = r["n"]
+        ref = found.setdefault(r["lang"], {"c": {}, "w": {}, "t": 0, "d": 0})
+        if r["kind"] in "td":
+            ref[r["kind"]] = r["n"]
         else:
             ref[r["kind"]][r["item"]] = r["n"]
     return found
@@ -159,15 +167,32 @@ def _jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((left + right) / 2, 0))
 
 
+def founded(refs: dict[str, dict[str, Any]], *, least_docs: int, least_words: int) -> dict[str, dict[str, Any]]:
+    """References that rest on enough documents and words for a language to vouch for its
+    own. Where none does, one of all documents together stands in."""
+    found = {k: r for k, r in refs.items() if k and r["d"] >= least_docs and r["t"] >= least_words}
+    if found or not refs:
+        return found
+    pooled: dict[str, Any] = {"c": Counter(), "w": Counter(), "t": 0, "d": 0}
+    for r in refs.values():
+        pooled["c"].update(r["c"])
+        pooled["w"].update(r["w"])
+        pooled["t"] += r["t"]
+        pooled["d"] += r["d"]
+    return {"": pooled}
+
+
 class _Model:
     """References as arrays: one character histogram and one word list a language."""
 
     def __init__(self, refs: dict[str, dict[str, Any]]):
         self.vocabulary: dict[bytes, int] = {}
         self.languages = []
-        for _, ref in sorted(refs.items()):
+        self.place: dict[str, int] = {}
+        for name, ref in sorted(refs.items()):
             if not ref["t"]:
                 continue
+            self.place[name] = len(self.languages)
             chars = np.array([ref["c"].get(k, 0) for k in CLASS_NAMES], float)
             ids = [self.vocabulary.setdefault(w.encode(), len(self.vocabulary)) for w in ref["w"]]
             words = np.array([*ref["w"].values(), max(0, ref["t"] - sum(ref["w"].values()))], float)
@@ -223,12 +248,18 @@ def _repeats(words: list[list[bytes]], width: int = 5) -> np.ndarray:
     return np.bincount(owner[covered], minlength=len(words))
 
 
+def base_failures(texts: list[bytes], limits: Limits) -> np.ndarray:
+    words = [t.split() for t in texts]
+    n_words = np.array([len(w) for w in words], np.int64)
+    return (n_words < limits.min_doc_words) | (100 * _repeats(words) > limits.repeat_percent * n_words)
+
+
 def _dup_lines(text: bytes) -> int:
     lines = [x for x in text.split(b"\n") if x.split(None, 1)]
     return len(lines) - len(set(lines))
 
 
-def assess(texts: list[bytes], model: _Model, limits: Limits) -> dict[str, np.ndarray]:
+def assess(texts: list[bytes], model: _Model, limits: Limits, langs: Sequence[str | None] | None = None) -> dict[str, np.ndarray]:
     words = [t.split() for t in texts]
     n_words = np.array([len(w) for w in words], np.int64)
     data, at = _joined(texts)
@@ -242,6 +273,10 @@ def assess(texts: list[bytes], model: _Model, limits: Limits) -> dict[str, np.nd
     fits = (chars <= limits.chars(classes.sum(axis=1))[:, None]) & (wordy <= limits.words(totals)[:, None])
     best = np.argmin(chars + wordy, axis=1)
     rows = np.arange(len(texts))
+    # a document answers to its own language's reference where there is one
+    own = np.array([model.place.get(lang, -1) for lang in langs or [None] * len(texts)], np.int64)
+    best = np.where(own >= 0, own, best)
+    close = np.where(own >= 0, fits[rows, best], fits.any(axis=1)) if len(texts) else np.zeros(0, bool)
     failed = (n_words < limits.min_doc_words) | (100 * n_repeat > limits.repeat_percent * n_words)
     return {
         "n_words": n_words,
@@ -250,7 +285,7 @@ def assess(texts: list[bytes], model: _Model, limits: Limits) -> dict[str, np.nd
         "n_dup_lines": np.array([_dup_lines(t) for t in texts], np.int64),
         "n_repeat_words": n_repeat,
         "base_failed": failed,
-        "kept": ~failed & (fits.any(axis=1) if model.languages else True),
+        "kept": ~failed & (close if model.languages else True),
         "char_distance": np.round(chars[rows, best], 6),
         "word_distance": np.round(wordy[rows, best], 6),
     }
@@ -263,25 +298,37 @@ SCHEMA = (
 
 
 def quality_rules(
-    docs: DataFrame, *, limits: Limits = Limits(), n_words: int = 200, max_languages: int | None = None, carry: Sequence[str] = ()
+    docs: DataFrame,
+    *,
+    limits: Limits = Limits(),
+    n_words: int = 200,
+    max_languages: int = 256,
+    least_docs: int = 20,
+    least_words: int = 2000,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Base counts and the verdict per document, and the columns named in ``carry``.
 
-    A document stays if for one language it is close to the reference in both
-    its character classes and its common words. Distances shown are those from
-    the nearest language.
+    A document stays if it is close, in both its character classes and its common
+    words, to the reference of its own language; where that language has none, to that
+    of any. A language has a reference if it is one of the ``max_languages`` largest and
+    ``least_docs`` of its documents with ``least_words`` words pass the base rule; only
+    these are counted. Distances shown are those from the reference that decides, or the
+    nearest.
     """
-    model = _Model(language_references(docs, n_words=n_words, max_languages=max_languages))
+    refs = language_references(docs, n_words=n_words, max_languages=max_languages, base=limits)
+    model = _Model(founded(refs, least_docs=least_docs, least_words=least_words))
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = utf8(batch, "_text")
-        parts = [assess(texts[i : i + 500], model, limits) for i in range(0, len(texts), 500)]
+        texts, langs = utf8(batch, text), batch.column(lang).to_pylist()
+        parts = [assess(texts[i : i + 500], model, limits, langs[i : i + 500]) for i in range(0, len(texts), 500)]
         out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
         if not parts:
             out = assess([], model, limits)
-        return {"doc_id": batch.column("_id"), **out, **{c: batch.column(c) for c in passed}}
+        return {"doc_id": batch.column(key), **out, **{c: batch.column(c) for c in passed}}
 
+    key, text, lang = fresh(docs, "id", "text", "lang")
     passed = [c for c in carry if c != "doc_id"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*passed).schema) if passed else ""
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_text().alias("_text"), *passed)
+    rows = docs.select(F.col("doc_id").cast("long").alias(key), whole_text().alias(text), F.col("lang").cast("string").alias(lang), *passed)
     return map_batches(rows, run, SCHEMA + (", " + kinds if kinds else ""))

@@ -1,6 +1,7 @@
 """Operators that judge each document for itself: quality, secrets, encoding."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -198,3 +199,74 @@ def test_random_spans_beside_many_base_spans():
     more = secret_scan.beside(secret_scan.random_spans(text, encode, chars_per_token=2.2, least=16), base)
     assert len(base) >= 99_000 and len(more) > 90_000
     assert time.time() - begin < 60
+
+
+def plain_verdicts(rows, limits=quality.Limits(), least_docs=20, least_words=2000, n_words=200):
+    """Verdicts by dictionaries of counts, one document after the other."""
+    names = quality.CLASS_NAMES
+
+    def classes(t):
+        out = Counter()
+        for b in (t or "").encode():
+            k = quality._CLASSES[b]
+            if k >= 0:
+                out[names[k]] += 1
+        return out
+
+    def plain_words(t):
+        return (t or "").encode().translate(quality._PLAIN).split()
+
+    def distance(p, q):
+        p_all, q_all = sum(p.values()), sum(q.values())
+        total = 0.0
+        for k in set(p) | set(q):
+            x, y = p.get(k, 0) / max(p_all, 1), q.get(k, 0) / q_all
+            m = (x + y) / 2
+            total += (x * math.log2(x / m) if x else 0) + (y * math.log2(y / m) if y else 0)
+        return math.sqrt(max(total / 2, 0))
+
+    per = {}
+    for _, t, lang in rows:
+        if lang is not None and not base_counts(t or "")[5]:
+            ref = per.setdefault(lang, [Counter(), Counter(), 0])
+            ref[0].update(classes(t))
+            ref[1].update(plain_words(t))
+            ref[2] += 1
+    refs = {}
+    for lang, (chars, words, n) in per.items():
+        if n >= least_docs and words.total() >= least_words:
+            # ties as by the operator: the text of the word
+            top = dict(sorted(words.items(), key=lambda w: (-w[1], w[0].decode("utf-8", "replace")))[:n_words])
+            refs[lang] = (chars, top, words.total())
+    out = {}
+    for i, t, lang in rows:
+        mine, words = classes(t), Counter(plain_words(t))
+        fits = {}
+        for name, (chars, top, total) in refs.items():
+            own = {w: words[w] for w in top if words[w]} | {"": sum(n for w, n in words.items() if w not in top)}
+            ref = top | {"": total - sum(top.values())}
+            near_chars = distance(mine, chars) <= float(limits.chars(np.array(sum(mine.values()))))
+            fits[name] = near_chars and distance(own, ref) <= float(limits.words(np.array(words.total())))
+        out[i] = not base_counts(t or "")[5] and (fits[lang] if lang in fits else any(fits.values()))
+    return out
+
+
+def test_quality_verdicts_against_plain(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows = [tuple(r) for r in table][:600]
+    rows += [(10**6 + i, r[1], None if i % 2 else "zz") for i, r in enumerate(rows[:40])]
+    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, lang string, _id string, _text int").repartition(5)
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, carry=["_id", "_text"]).collect()}
+    want = plain_verdicts(rows)
+    assert len({r[2] for r in rows}) >= 4 and 0.3 < sum(want.values()) / len(want) < 0.98
+    assert {i for i in want if want[i] != got[i]} == set()
+
+
+def test_junk_does_not_vouch_for_itself(spark, sf_dir):
+    """A gibberish text is no clean one because nothing else bears its tag."""
+    rng = random.Random(3)
+    gibberish = " ".join("".join(rng.choice("qxzjk#%$vw") for _ in range(rng.randint(3, 9))) for _ in range(300))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    for lang in ("en", "xx", None):
+        one = spark.createDataFrame([(-1, gibberish, lang)], docs.schema)
+        assert [r["kept"] for r in quality.quality_rules(docs.unionByName(one)).filter("doc_id = -1").collect()] == [False]
