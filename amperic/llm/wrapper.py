@@ -1,16 +1,18 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a layout. One page per host is the pivot; simple tree
-matching aligns every other page of the host with it. Aligned nodes whose text is
-the same on nearly all different pages are template, the others are slots that
-vary. A page's main text is what stands in its varying slots, less the elements
+Pages of one host share a few layouts. One page of the host is the pivot; simple tree
+matching aligns the other pages with it. Pages that do not align with it have another
+layout: one of them is the next pivot, and so on. Aligned nodes whose text is the same on
+nearly all different pages of a layout are template, the others are slots that vary. A
+page's main text is what stands in its varying slots, less the elements
 that by tag, role or class are menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or reader comments.
 
 Rules for odd input: a NULL html is empty and gives an empty text; a NULL or odd
 url belongs to the host ``""``. Every row gives one row, repeated identifiers
-included; ties for the pivot go to the least hash, then html. Other columns are
-ignored. An empty table gives an empty table.
+included; ties for the pivot go to the least hash, then html. Pages without text in any
+block are of no layout. Nesting of any depth is aligned. Other columns are ignored. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amperic.llm.common import map_batches, staged
@@ -60,10 +62,10 @@ BLANK = re.compile(r"\s+")
 class Node:
     """An element: tag, whether it is aside from the text, children (nodes and strings)."""
 
-    __slots__ = ("tag", "aside", "main", "kids", "shape")
+    __slots__ = ("tag", "aside", "main", "kids", "shape", "size")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.kids, self.shape = tag, [], 0
+        self.tag, self.kids, self.shape, self.size = tag, [], 0, 1
         self.aside = tag in ASIDE_TAGS
         self.main = tag in MAIN_TAGS
         if attributes and not self.aside:
@@ -140,12 +142,14 @@ def _open(path: list[Node], tag: str) -> None:
 
 
 def shape(node: Node) -> int:
-    """A fingerprint of the element structure, kept at each node."""
+    """A fingerprint of the element structure and the number of elements, kept at each node."""
     todo = [(node, False)]
     while todo:
         x, done = todo.pop()
         if done:
-            x.shape = hash((x.tag, *[k.shape for k in x.elements()]))
+            inside = x.elements()
+            x.shape = hash((x.tag, *[k.shape for k in inside]))
+            x.size = 1 + sum(k.size for k in inside)
         else:
             todo.append((x, True))
             todo += [(k, False) for k in x.elements()]
@@ -170,10 +174,11 @@ def align(a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
         todo += _child_pairs(x, y, memo)
 
 
-def _child_pairs(x: Node, y: Node, memo: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
+def _middle(x: Node, y: Node) -> tuple[list[tuple[Node, Node]], list[Node], list[Node]]:
+    """Pairs of equal children at both ends, and the children in between."""
     p, q = x.elements(), y.elements()
     if x.shape == y.shape:
-        return list(zip(p, q))
+        return list(zip(p, q)), [], []
     pairs = []
     i = 0
     while i < min(len(p), len(q)) and p[i].shape == q[i].shape:
@@ -183,7 +188,11 @@ def _child_pairs(x: Node, y: Node, memo: dict[tuple[int, int], int]) -> list[tup
     while j < min(len(p), len(q)) - i and p[-1 - j].shape == q[-1 - j].shape:
         pairs.append((p[-1 - j], q[-1 - j]))
         j += 1
-    p, q = p[i : len(p) - j], q[i : len(q) - j]
+    return pairs, p[i : len(p) - j], q[i : len(q) - j]
+
+
+def _child_pairs(x: Node, y: Node, memo: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
+    pairs, p, q = _middle(x, y)
     if not p or not q:
         return pairs
     best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
@@ -202,18 +211,29 @@ def _child_pairs(x: Node, y: Node, memo: dict[tuple[int, int], int]) -> list[tup
     return pairs
 
 
-def _size(x: Node) -> int:
-    return 1 + sum(map(_size, x.elements()))
-
-
 def _matches(x: Node, y: Node, memo: dict[tuple[int, int], int]) -> int:
-    """Nodes matched by two trees; trees nest no deeper than ``DEPTH``."""
+    """Nodes matched by two trees. What it needs of their children is worked out first,
+    from the leaves up, so depth is no matter."""
     if x.tag != y.tag:
         return 0
-    key = (x.shape, y.shape)
-    if key not in memo:
-        memo[key] = _size(x) if x.shape == y.shape else 1 + sum(_matches(p, q, memo) for p, q in _child_pairs(x, y, memo))
-    return memo[key]
+    if x.shape == y.shape:
+        return x.size
+    if (x.shape, y.shape) in memo:
+        return memo[x.shape, y.shape]
+    todo = [(x, y)]
+    while todo:
+        a, b = todo[-1]
+        if (a.shape, b.shape) not in memo:
+            _, p, q = _middle(a, b)
+            open_ = [
+                (c, d) for c in p for d in q if c.tag == d.tag and c.shape != d.shape and (c.shape, d.shape) not in memo
+            ]
+            if open_:
+                todo += open_
+                continue
+            memo[a.shape, b.shape] = 1 + sum(_matches(c, d, memo) for c, d in _child_pairs(a, b, memo))
+        todo.pop()
+    return memo[x.shape, y.shape]
 
 
 def plain(parts: list[str]) -> str:
@@ -291,110 +311,135 @@ def _blocks(root: Node, template: frozenset[int], inside_only: bool) -> list[str
     return out
 
 
-DEPTH = 200
-
-
-def tree(text: str) -> Node | None:
-    """The shaped tree; None where nesting is too deep for a recursive match."""
+def tree(text: str) -> Node:
+    """The shaped tree."""
     root = parse(text)
     shape(root)
-    todo, depth = [(root, 0)], 0
-    while todo:
-        x, d = todo.pop()
-        depth = max(depth, d)
-        todo += [(k, d + 1) for k in x.elements()]
-    return root if depth <= DEPTH else None
+    return root
 
 
 class _Pivots:
-    """Parsed pivots of the hosts met in a task, the latest few."""
+    """Parsed pivots of the hosts met in a task, the latest few: tree, number of each
+    node, and whether any block holds text."""
 
     def __init__(self, most: int = 500):
         self.most, self.held = most, {}
 
-    def get(self, text: str) -> tuple[Node | None, dict[int, int]]:
+    def get(self, text: str) -> tuple[Node, dict[int, int], bool]:
         if text not in self.held:
             if len(self.held) >= self.most:
                 self.held.clear()
             root = tree(text)
-            self.held[text] = (root, {id(x): k for k, x in enumerate(preorder(root))} if root else {})
+            nodes = preorder(root)
+            self.held[text] = (root, {id(x): k for k, x in enumerate(nodes)}, any(not x.aside and own_text(x) for x in nodes))
         return self.held[text]
 
 
-def _with_pivot(pages: DataFrame, pivots: DataFrame, small: int) -> DataFrame:
+def alike(base: Node, root: Node, matched: int, share: float) -> bool:
+    """Whether two pages have one layout: most of the smaller one is matched, and the
+    pivot is not half of the page or less."""
+    return matched >= share * min(base.size, root.size) and 2 * base.size > root.size
+
+
+def _with_pivot(pages: DataFrame, pivots: DataFrame, size: Column, small: int, how: str) -> DataFrame:
     """Pages with their host's row of ``pivots``. It is broadcast where its whole
     size is below ``small`` bytes; else the join shuffles, and a large host is
     split at run time."""
-    size = pivots.agg(F.sum(F.length("pivot") + 100)).first()[0] or 0
-    return pages.join(F.broadcast(pivots) if size <= small else pivots, "host", "left")
+    whole = pivots.agg(F.sum(size + 100)).first()[0] or 0
+    return pages.join(F.broadcast(pivots) if whole <= small else pivots, "host", how)
 
 
 def extract_text(
-    pages: DataFrame, *, same_share: float = 0.9, least_pages: int = 5, pivot_chars: int = 65536, small: int = 64 << 20
+    pages: DataFrame,
+    *,
+    same_share: float = 0.9,
+    least_pages: int = 5,
+    pivot_chars: int = 65536,
+    small: int = 64 << 20,
+    layout_share: float = 0.6,
+    layouts: int = 8,
 ) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars``, ``n_template`` (template nodes left out).
 
-    A node of the pivot is template if it is aligned on at least ``least_pages``
-    pages with different main texts and has its text on ``same_share`` of them.
-    Pages of up to ``pivot_chars`` characters are preferred as pivots.
+    A node of a pivot is template if it is aligned on at least ``least_pages``
+    pages of its layout with different main texts and has its text on ``same_share`` of
+    them. Pages of up to ``pivot_chars`` characters are preferred as pivots. A host has
+    up to ``layouts`` layouts, found as long as ``least_pages`` pages are like none yet;
+    pages of any further one are left with what tags, roles and classes tell.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
     order = F.struct(F.length("html") > pivot_chars, F.xxhash64("page_id"), "html")
-    pivots = staged(rows.groupBy("host").agg(F.min_by("html", order).alias("pivot")))
 
     def compare(batch: pa.RecordBatch) -> dict:
         known = _Pivots()
-        out: dict[str, list] = {"host": [], "digest": [], "seen": [], "same": []}
-        for name, page, pivot in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "pivot"))):
-            base, ids = known.get(pivot)
+        out: dict[str, list] = {"host": [], "mark": [], "other": [], "digest": [], "seen": [], "same": []}
+        for name, mark, page, pivot in zip(*(batch.column(c).to_pylist() for c in ("host", "mark", "html", "pivot"))):
+            base, ids, told = known.get(pivot)
             root = tree(page)
-            if root is None or base is None:
-                continue
-            seen, same = [], []
-            for x, y in align(base, root):
-                text = own_text(x)
-                if text and not x.aside:
-                    seen.append(ids[id(x)])
-                    if text == own_text(y):
-                        same.append(seen[-1])
-            out["host"].append(name)
-            out["digest"].append(xxhash.xxh3_64(main_text(root)).intdigest() - (1 << 63))
-            out["seen"].append(seen)
-            out["same"].append(same)
+            pairs = list(align(base, root))
+            seen, same, other, digest = [], [], False, 0
+            if told and alike(base, root, len(pairs), layout_share):
+                for x, y in pairs:
+                    text = own_text(x)
+                    if text and not x.aside:
+                        seen.append(ids[id(x)])
+                        if text == own_text(y):
+                            same.append(seen[-1])
+                digest = xxhash.xxh3_64(main_text(root)).intdigest() - (1 << 63)
+            else:
+                other = any(not x.aside and own_text(x) for x in preorder(root))
+            for c, v in zip(out, (name, mark, other, digest, seen, same)):
+                out[c].append(v)
         return out
 
-    found = map_batches(
-        _with_pivot(rows.select("host", "html"), pivots, small), compare, "host string, digest long, seen array<int>, same array<int>"
-    )
-    # copies of a page must not make its text a template
-    once = found.groupBy("host", "digest").agg(F.max("seen").alias("seen"), F.max_by("same", F.struct("seen", "same")).alias("same"))
-    votes = once.select("host", F.explode("seen").alias("node"), F.lit(1).alias("n"), F.lit(0).alias("k")).unionByName(
-        once.select("host", F.explode("same").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("k"))
-    )
-    votes = votes.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    constant = votes.filter((F.col("n") >= least_pages) & (F.col("k") >= same_share * F.col("n")))
-    templates = constant.groupBy("host").agg(F.array_sort(F.collect_list(F.col("node").cast("int"))).alias("constant"))
-    wrappers = staged(pivots.join(templates, "host", "left"))
+    left = rows.select("host", "html", "page_id", F.xxhash64("html").alias("mark"))
+    wrappers = None
+    for layout in range(layouts):
+        pivots = left.groupBy("host").agg(F.min_by("html", order).alias("pivot"), F.count("*").alias("n"))
+        pivots = staged(pivots.filter(F.col("n") >= least_pages).drop("n"))
+        asked = _with_pivot(left.select("host", "mark", "html"), pivots, F.length("pivot"), small, "inner")
+        found = staged(map_batches(asked, compare, "host string, mark long, other boolean, digest long, seen array<int>, same array<int>"))
+        # copies of a page must not make its text a template
+        once = found.filter(F.size("seen") > 0).groupBy("host", "digest").agg(
+            F.max("seen").alias("seen"), F.max_by("same", F.struct("seen", "same")).alias("same")
+        )
+        votes = once.select("host", F.inline(F.transform("seen", lambda k: F.struct(k.alias("node"), F.array_contains("same", k).cast("int").alias("k")))))
+        votes = votes.groupBy("host", "node").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+        constant = votes.filter((F.col("n") >= least_pages) & (F.col("k") >= same_share * F.col("n")))
+        templates = constant.groupBy("host").agg(F.array_sort(F.collect_list(F.col("node").cast("int"))).alias("constant"))
+        made = pivots.join(templates, "host", "left").withColumn("layout", F.lit(layout))
+        wrappers = made if wrappers is None else wrappers.unionByName(made)
+        unlike = found.filter("other").select("host", "mark").distinct()
+        many = staged(found.filter("other").groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages).select("host"))
+        if many.isEmpty():
+            break
+        left = left.join(unlike.join(many, "host", "left_semi"), ["host", "mark"], "left_semi")
+
+    each = F.struct("layout", "pivot", "constant")
+    wrappers = staged(wrappers.groupBy("host").agg(F.array_sort(F.collect_list(each)).alias("layouts")))
 
     def extract(batch: pa.RecordBatch) -> dict:
         known = _Pivots()
         out: dict[str, list] = {"text": [], "n_template": []}
-        for page, pivot, fixed in zip(*(batch.column(c).to_pylist() for c in ("html", "pivot", "constant"))):
-            root = tree(page) or parse(page)
-            drop: frozenset[int] = frozenset()
-            if fixed and root.shape:
-                base, ids = known.get(pivot)
-                fixed = set(fixed)
-                drop = frozenset(
-                    id(y) for x, y in align(base, root) if ids[id(x)] in fixed and own_text(x) == own_text(y)
-                )
+        for page, tried in zip(batch.column("html").to_pylist(), batch.column("layouts").to_pylist()):
+            root, drop = parse(page), frozenset()
+            if tried and any(x["constant"] for x in tried):
+                shape(root)
+                for x in tried:
+                    base, ids, told = known.get(x["pivot"])
+                    pairs = list(align(base, root)) if told else []
+                    if told and alike(base, root, len(pairs), layout_share):
+                        fixed = set(x["constant"] or ())
+                        drop = frozenset(id(b) for a, b in pairs if ids[id(a)] in fixed and own_text(a) == own_text(b))
+                        break
             out["text"].append(main_text(root, drop))
             out["n_template"].append(len(drop))
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), **out}
 
+    size = F.aggregate("layouts", F.lit(0), lambda n, x: n + F.length(x["pivot"]))
     done = map_batches(
-        _with_pivot(rows, wrappers, small).select(F.col("page_id").cast("long"), "url", "html", "pivot", "constant"),
+        _with_pivot(rows, wrappers, size, small, "left").select(F.col("page_id").cast("long"), "url", "html", "layouts"),
         extract, "page_id long, url string, text string, n_template int",
     )
     return done.withColumn("n_chars", F.length("text").cast("long"))

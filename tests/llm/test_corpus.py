@@ -301,3 +301,66 @@ def test_alignment_is_simple_tree_matching():
         assert sum(1 for _ in wrapper.align(a, b)) == best(a, b)
 
 
+def _words(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def test_two_layouts_and_empty_pages(spark):
+    """Boilerplate that only repetition tells, in two layouts of a host, beside empty pages and stubs."""
+    rng, rows, want = random.Random(5), [], {}
+    for i in range(30):
+        body = [_words(rng, 12) for _ in range(rng.randint(2, 6))]
+        paragraphs = "".join(f"<p>{x}</p>" for x in body)
+        rows.append((i, f"<html><body><p>Our shop since 1990</p><div><div><h2>{_words(rng, 4)}</h2>{paragraphs}</div></div><p>Call us any day</p></body></html>"))
+        cells = "".join(f"<tr><td>{x}</td></tr>" for x in body)
+        rows.append((100 + i, f"<html><body><section><p>News of the town</p><table>{cells}</table><ul><li>{_words(rng, 3)}</li></ul><p>Printed daily</p></section></body></html>"))
+    rows += [(200 + i, ["", "<html><body></body></html>", "<html><body><p>404</p></body></html>"][i % 3]) for i in range(60)]
+    for host, kept in (("a", rows), ("b", [r for r in rows if r[0] < 100 or r[0] >= 200]), ("c", rows[:60])):
+        table = frame(spark, [(i, f"http://{host}.example/{i}", h) for i, h in kept], "page_id long, url string, html string")
+        for r in wrapper.extract_text(table).collect():
+            for words in ("Our shop", "Call us", "News of", "Printed"):
+                assert words not in r["text"], (host, r["page_id"])
+            if r["page_id"] < 200:
+                assert r["n_chars"] > 80
+            want[host, r["page_id"]] = r["text"]
+    assert want["a", 3] == want["b", 3] if ("b", 3) in want else True
+
+
+def test_template_votes_against_plain(spark):
+    """Each page against its pivot, the votes and the texts worked out one by one."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(24):
+        same = "".join(f"<p>{w}</p>" for w in ("Fixed one", "Fixed two") if rng.random() < 0.97)
+        rows.append((i, "http://v.example", f"<body><div>{same}</div><div><p>{_words(rng, 9)}</p><p>{_words(rng, rng.randint(1, 9))}</p></div><p>End</p></body>"))
+    rows += [(50, "http://v.example", rows[0][2]), (51, "http://w.example", rows[1][2])]
+    trees = {h: wrapper.tree(h) for _, u, h in rows if u == "http://v.example"}
+    got = {r["page_id"]: r for r in wrapper.extract_text(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    found = False
+    for base_html, base in trees.items():  # whichever page was the pivot
+        votes, pages = Counter(), Counter()
+        seen_texts = set()
+        nodes = wrapper.preorder(base)
+        for root in trees.values():
+            digest = wrapper.main_text(root)
+            if digest in seen_texts:
+                continue
+            seen_texts.add(digest)
+            for x, y in wrapper.align(base, root):
+                if wrapper.own_text(x) and not x.aside:
+                    pages[nodes.index(x)] += 1
+                    votes[nodes.index(x)] += wrapper.own_text(x) == wrapper.own_text(y)
+        fixed = {k for k in pages if pages[k] >= 5 and votes[k] >= 0.9 * pages[k]}
+        texts = {}
+        for i, u, h in rows:
+            root = wrapper.tree(h)
+            drop = frozenset(id(y) for x, y in wrapper.align(base, root) if nodes.index(x) in fixed and wrapper.own_text(x) == wrapper.own_text(y))
+            texts[i] = wrapper.main_text(root, drop if u == "http://v.example" else frozenset())
+        found |= texts == {i: r["text"] for i, r in got.items()}
+    assert found and "End" not in got[3]["text"] and "End" in got[51]["text"]
+
+
+def test_alignment_of_deep_trees():
+    a = wrapper.tree("<div>" * 4000 + "<b>x</b><i>y</i>")
+    b = wrapper.tree("<div>" * 4000 + "<i>y</i><u>z</u>")
+    assert sum(1 for _ in wrapper.align(a, b)) == 4002
