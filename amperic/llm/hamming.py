@@ -115,6 +115,9 @@ def _within(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+LEAST_ASKED = 64  # queries that are worth an index of their own
+
+
 def distinct_codes(rows: DataFrame, k: int, *, slots: int = 64) -> DataFrame:
     """``code`` and ``ids``: the ``k + 1`` least ids of each code. Ids are ranked
     within ``slots`` of a code first, so that a frequent code is not one task's work."""
@@ -139,13 +142,16 @@ def hamming_top_k(
     nearest rows of each query.
 
     ``rows`` and ``queries`` hold ``id`` and ``code``. A block of about
-    ``code_block`` distinct codes meets each block of about ``query_block``
-    queries once, as two inputs of one task.
+    ``code_block`` distinct codes meets each block of up to ``query_block``
+    queries once, as two inputs of one task. Where that makes fewer tasks than a shuffle
+    has, queries are cut finer, down to ``LEAST_ASKED`` a task.
     """
     once = [t.filter("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code")) for t in (rows, queries)]
     classes, asked = staged(distinct_codes(once[0], k)), staged(once[1])
     n_codes, n_asked = classes.count(), asked.count()
-    n_blocks, n_groups = max(1, -(-n_codes // code_block)), max(1, -(-n_asked // query_block))
+    n_blocks = max(1, -(-n_codes // code_block))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_groups = max(1, -(-n_asked // query_block), min(-(-tasks // n_blocks), -(-n_asked // LEAST_ASKED)))
     block = F.pmod(F.xxhash64("code"), F.lit(n_blocks))
     group = F.pmod(F.xxhash64("id", F.lit("query")), F.lit(n_groups))
     left = classes.withColumn("block", block).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
