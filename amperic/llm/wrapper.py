@@ -373,12 +373,13 @@ def extract_text(
 
     def compare(batch: pa.RecordBatch) -> dict:
         known = _Pivots()
-        out: dict[str, list] = {"host": [], "mark": [], "other": [], "digest": [], "seen": [], "same": []}
-        for name, mark, page, pivot in zip(*(batch.column(c).to_pylist() for c in ("host", "mark", "html", "pivot"))):
+        out: dict[str, list] = {"host": [], "page_id": [], "other": [], "digest": [], "seen": [], "same": []}
+        for name, number, page, pivot in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html", "pivot"))):
             base, ids, told = known.get(pivot)
             root = tree(page)
             pairs = list(align(base, root))
-            seen, same, other, digest = [], [], False, 0
+            # a page of another layout is handed on as it is
+            seen, same, other, digest = [], [], None, 0
             if told and alike(base, root, len(pairs), layout_share):
                 for x, y in pairs:
                     text = own_text(x)
@@ -387,19 +388,19 @@ def extract_text(
                         if text == own_text(y):
                             same.append(seen[-1])
                 digest = xxhash.xxh3_64(main_text(root)).intdigest() - (1 << 63)
-            else:
-                other = any(not x.aside and own_text(x) for x in preorder(root))
-            for c, v in zip(out, (name, mark, other, digest, seen, same)):
+            elif any(not x.aside and own_text(x) for x in preorder(root)):
+                other = page
+            for c, v in zip(out, (name, number, other, digest, seen, same)):
                 out[c].append(v)
         return out
 
-    left = rows.select("host", "html", "page_id", F.xxhash64("html").alias("mark"))
+    left = rows.select("host", F.col("page_id").cast("long").alias("page_id"), "html")
+    kinds = "host string, page_id long, other string, digest long, seen array<int>, same array<int>"
     wrappers = None
     for layout in range(layouts):
         pivots = left.groupBy("host").agg(F.min_by("html", order).alias("pivot"), F.count("*").alias("n"))
         pivots = staged(pivots.filter(F.col("n") >= least_pages).drop("n"))
-        asked = _with_pivot(left.select("host", "mark", "html"), pivots, F.length("pivot"), small, "inner")
-        found = staged(map_batches(asked, compare, "host string, mark long, other boolean, digest long, seen array<int>, same array<int>"))
+        found = staged(map_batches(_with_pivot(left, pivots, F.length("pivot"), small, "inner"), compare, kinds))
         # copies of a page must not make its text a template
         once = found.filter(F.size("seen") > 0).groupBy("host", "digest").agg(
             F.max("seen").alias("seen"), F.max_by("same", F.struct("seen", "same")).alias("same")
@@ -410,11 +411,9 @@ def extract_text(
         templates = constant.groupBy("host").agg(F.array_sort(F.collect_list(F.col("node").cast("int"))).alias("constant"))
         made = pivots.join(templates, "host", "left").withColumn("layout", F.lit(layout))
         wrappers = made if wrappers is None else wrappers.unionByName(made)
-        unlike = found.filter("other").select("host", "mark").distinct()
-        many = staged(found.filter("other").groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages).select("host"))
-        if many.isEmpty():
+        left = found.filter("other is not null").select("host", "page_id", F.col("other").alias("html"))
+        if left.groupBy("host").count().filter(F.col("count") >= least_pages).isEmpty():
             break
-        left = left.join(unlike.join(many, "host", "left_semi"), ["host", "mark"], "left_semi")
 
     each = F.struct("layout", "pivot", "constant")
     wrappers = staged(wrappers.groupBy("host").agg(F.array_sort(F.collect_list(each)).alias("layouts")))
