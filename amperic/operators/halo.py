@@ -65,9 +65,10 @@ def parts(census: DataFrame, metric: Sequence[Axes], size: int) -> DataFrame:
     home = stage(home.select("cell", "node", F.floor((F.col("_upto") - F.col("k")) / size).alias("part")))
     table = F.expr(f"array({', '.join('array(' + ', '.join(f'{v}L' for v in o) + ')' for o in offsets(metric))})")
     around = home.select("part", F.col("cell").alias("_from"), F.explode(table).alias("_o"))
-    around = around.select("part", F.zip_with("_from", "_o", lambda a, b: a + b).alias("cell"))
-    halo = around.join(home.select("cell", "node", F.col("part").alias("_home")), "cell")
-    halo = halo.filter("part <> _home").select("cell", "node", "part", F.lit(False).alias("own")).distinct()
+    around = around.select("part", F.zip_with("_from", "_o", lambda a, b: a + b).alias("cell")).distinct()
+    # never broadcast: the planner takes this side to be as small as the cells it was exploded from
+    halo = around.hint("merge").join(home.select("cell", "node", F.col("part").alias("_home")), "cell")
+    halo = halo.filter("part <> _home").select("cell", "node", "part", F.lit(False).alias("own"))
     return home.select("cell", "node", "part", F.lit(True).alias("own")).unionByName(halo)
 
 

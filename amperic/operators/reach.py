@@ -121,7 +121,8 @@ def cell_pairs(left: DataFrame, cells: DataFrame, metric: Sequence[Axes], *, for
     around = around.filter(_dist(slack, _gap(F.col("a.lo"), F.col("a.hi"), floor, ceil)))
 
     other = cells.select(F.col("cell").alias("right_cell"), F.struct(*BOX).alias("b"))
-    return around.join(other, "right_cell").select(
+    # never broadcast: the planner does not know what the explosion made of the left boxes
+    return around.hint("merge").join(other, "right_cell").select(
         F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), "a", "b", "left_cell", "right_cell"
     )
 

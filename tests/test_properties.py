@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from amperic.operators import clusters_space, clusters_time, evaluation, hulls, topology
+from amperic.operators import clusters_space, clusters_time, evaluation, halo, hulls, topology
 from amperic.operators.components import components
 from amperic.operators.intervals import in_intervals
 from amperic.operators.kernels import hull_of, merge_rounds
@@ -86,6 +86,24 @@ def test_parts_and_crowded_cells(spark, seed, n, seconds, spots, neighbours, cro
     assert (got.set_index("event_id")["label"].reindex(want.index) == want).all()
 
 
+def test_cells_around_a_part_are_never_broadcast(spark):
+    """The planner takes cells exploded by dozens of offsets for as few as they came from."""
+    cells = [(int(i), int(j)) for i, j in np.random.default_rng(3).integers(0, 12, (60, 2))]
+    cells = sorted(set(cells))
+    rows = [([i, j], k, 1) for k, (i, j) in enumerate(cells)]
+    census = spark.createDataFrame(rows, "cell array<bigint>, node bigint, k bigint")
+    metric = [Axes(("x",), 1.0), Axes(("y",), 1.0)]
+    df = halo.parts(census, metric, 7)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [(tuple(r.cell), r.node, r.part, r.own) for r in df.collect()]
+    own = {c: p for c, _, p, mine in got if mine}
+    near = lambda c: {(c[0] + i, c[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    around = {(d, p) for c, p in own.items() for d in near(c) if own.get(d, p) != p}
+    assert own.keys() == set(cells) and len(set(own.values())) > 2
+    assert sorted((c, p) for c, _, p, mine in got if not mine) == sorted(around)
+    assert all(cells[node] == c for c, node, _, _ in got)
+
+
 def test_cells_of_random_clouds():
     """One part, against all pairs: cores, links and border points, own and halo."""
     from amperic.operators.halo import offsets
