@@ -448,6 +448,28 @@ def test_distance_profile_matches_all_pairs(spark):
         assert got[(a.core_id, float(a.s), float(a.e))] == want
 
 
+def test_distance_profile_of_repeated_rows_in_small_tasks(spark):
+    """Alike rows count by weight, few classes go to a task, and nothing exploded is broadcast."""
+    g = np.random.default_rng(18)
+    rows = [(int(c), int(s), int(s + d), f"T{c % 3}", f"{'AB'[c % 2]}{c % 4}") for c, s, d in zip(g.integers(0, 9, 80), g.integers(0, 6, 80), g.integers(0, 4, 80))]
+    rows += rows[:30]
+    df = spark.createDataFrame(rows, "core_id bigint, s bigint, e bigint, transformer string, feeder string").select(
+        "core_id", F.timestamp_seconds("s").alias("start_time"), F.timestamp_seconds("e").alias("end_time"), "transformer", "feeder"
+    )
+    found = topology.distance_profile(df)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for a in rows:
+        counts = want.setdefault(a[:3], [0] * 5)
+        for b in rows:
+            if min(a[2], b[2]) >= max(a[1], b[1]):
+                same = [a[0] == b[0], a[3] == b[3], a[4] == b[4], a[4][0] == b[4][0], True]
+                counts[same.index(True)] += 1
+    for got in (found, topology.distance_profile(df, task_classes=7)):
+        got = {(r.core_id, int(r.start_time.timestamp()), int(r.end_time.timestamp())): [r[f"distance_{i}"] for i in range(5)] for r in got.collect()}
+        assert got == want
+
+
 @pytest.mark.parametrize("distance", [0, 1, 2, 3])
 def test_grid_clusters(spark, distance):
     df, pdf = outage_frame(spark, 17, 100, 1500, 20)
