@@ -360,7 +360,7 @@ def _cell_numbers(cells: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.
     return out, np.array(factors, np.int64 if math.prod(spans) < 1 << 62 else object)
 
 
-def _point_pairs(left: np.ndarray, right: np.ndarray, starts: tuple, counts: tuple, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _point_pairs(left: np.ndarray, right: np.ndarray, starts: tuple, counts: tuple, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of points of the pairs of cells, in blocks."""
     size = counts[0][left] * counts[1][right]
     upto = np.cumsum(size)
