@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from amperic.functions.geo import albers, utm
 from amperic.functions.scaling import percent
 from amperic.operators.clusters_time import NOISE
-from amperic.operators.kernels import hull_of, starts_of, whole_groups
+from amperic.operators.kernels import hull_of, maybe_corners, starts_of, whole_groups
 from amperic.operators.ordered import neighbours, with_slice
 from amperic.operators.snapshots import outage_minute
 from amperic.functions.clock import DAY
@@ -33,6 +33,10 @@ def convex_hulls(points: DataFrame, keys: Sequence[str], *, x: str = "location_l
     keys = list(keys)
     spots = points.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null")
 
+    def outer(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Without the points that are plainly no corners."""
+        return pdf[maybe_corners(pdf["x"].to_numpy(), pdf["y"].to_numpy(), starts_of(pdf, keys), tol)]
+
     def corners(pdf: pd.DataFrame, starts: np.ndarray) -> list[np.ndarray]:
         px, py = pdf["x"].to_numpy(), pdf["y"].to_numpy()
         stops = np.append(starts[1:], len(pdf))
@@ -44,11 +48,15 @@ def convex_hulls(points: DataFrame, keys: Sequence[str], *, x: str = "location_l
         for pdf in batches:
             pdf = pdf.drop_duplicates().sort_values(keys, ignore_index=True)
             if len(pdf):
-                yield pdf.iloc[np.concatenate(corners(pdf, starts_of(pdf, keys)))]
+                pdf = outer(pdf)
+                size = np.diff(np.append(starts_of(pdf, keys), len(pdf)))
+                many = np.repeat(size > 2, size)
+                few, pdf = pdf[~many], pdf[many]
+                yield few if pdf.empty else pd.concat([few, pdf.iloc[np.concatenate(corners(pdf, starts_of(pdf, keys)))]])
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, _ in whole_groups(batches, keys):
-            pdf = pdf.drop_duplicates(ignore_index=True)
+            pdf = outer(pdf.drop_duplicates())
             starts = starts_of(pdf, keys)
             px, py = pdf["x"].to_numpy(), pdf["y"].to_numpy()
             at = corners(pdf, starts)

@@ -199,6 +199,27 @@ def hull_of(x: np.ndarray, y: np.ndarray, tol: float) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1], dtype=int)
 
 
+def maybe_corners(x: np.ndarray, y: np.ndarray, starts: np.ndarray, tol: float) -> np.ndarray:
+    """Which points may be hull corners of their group: all but those strictly inside the
+    octagon of its outermost points in eight directions, for all groups at once."""
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
+    ends = []
+    for u, v in ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)):
+        reach = u * x + v * y
+        top = np.flatnonzero(reach == np.maximum.reduceat(reach, starts)[group])
+        end = starts.copy()
+        end[group[top]] = top
+        ends.append(end)
+    # left of every side of a closed chain is inside, whatever the chain; sides of one point say nothing
+    inside, sides = np.ones(len(x), bool), np.zeros(len(starts), bool)
+    for a, b in zip(ends, [*ends[1:], ends[0]]):
+        ax, ay, dx, dy = x[a], y[a], x[b] - x[a], y[b] - y[a]
+        side = (dx != 0) | (dy != 0)
+        sides |= side
+        inside &= ~side[group] | (dx[group] * (y - ay[group]) - dy[group] * (x - ax[group]) > tol)
+    return ~(inside & sides[group])
+
+
 def kernel_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, gx: np.ndarray, gy: np.ndarray, hx: float, hy: float) -> np.ndarray:
     """Weighted product-kernel sums of a batch on a grid: one matrix product."""
     kx = np.exp(-0.5 * ((gx[None, :] - x[:, None]) / hx) ** 2)

@@ -43,12 +43,12 @@ def _by_window(readings: DataFrame, window: str, slide: str, offset: str) -> Dat
         return spans.withColumn("begin", epoch(F.col("w.start")))
     step = _seconds(slide)
     panes = readings.groupBy("core_id", F.window("time", slide, slide, offset).alias("w")).agg(
-        *known, F.min_by(_place(), _when()).alias("place"), F.min(_when()).alias("at")
+        *known, F.min(_when()).alias("at")
     )
     starts = F.transform(F.sequence(F.lit(0), F.lit(_seconds(window) // step - 1)), lambda i: epoch(F.col("w.start")) - i * step)
     panes = panes.withColumn("begin", F.explode(starts))
     return panes.groupBy("core_id", "begin").agg(
-        F.sum("n").alias("n"), F.sum("k").alias("k"), F.min_by("place", "at").alias("place")
+        F.sum("n").alias("n"), F.sum("k").alias("k"), F.min("at").alias("place")
     )
 
 
@@ -56,7 +56,7 @@ def powered_snapshot(readings: DataFrame, *, window: str = "4 minutes", slide: s
     """Sensors powered in every reading of ``[minute, minute + window)``, at their
     first place there. Works on a stream as well."""
     spans = _by_window(readings, window, slide, "0 seconds").filter((F.col("n") > 0) & (F.col("k") == F.col("n")))
-    return spans.select(F.timestamp_seconds("begin").alias("minute"), "core_id", "place.*")
+    return spans.select(F.timestamp_seconds("begin").alias("minute"), "core_id", "place.location_latitude", "place.location_longitude")
 
 
 def majority_resample(

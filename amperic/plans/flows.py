@@ -55,7 +55,8 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("location_longitude").alias("lon"),
         F.col("location_latitude").alias("lat"),
     )
-    return stage(minute_places(on, stage(off)))
+    # both are read twice
+    return stage(minute_places(stage(on.distinct()), stage(off)))
 
 
 def paired(spark: SparkSession, sf_dir: str, swap: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from amperic.operators import clusters_space, clusters_time, evaluation, halo, hulls, topology
 from amperic.operators.components import components
 from amperic.operators.intervals import in_intervals
-from amperic.operators.kernels import hull_of, merge_rounds
+from amperic.operators.kernels import hull_of, maybe_corners, merge_rounds
 from amperic.operators.ordered import count_within, islands, nearest, running, with_slice
 from amperic.operators.places import nearest_places
 from amperic.operators.reach import Axes
@@ -405,6 +405,22 @@ def test_hull_holds_every_point():
             assert ((x[j] - x[i]) * (y - y[i]) - (y[j] - y[i]) * (x - x[i]) >= 0).all()
 
 
+def test_inner_points_are_left_out_before_the_hull():
+    """All groups at once: no corner goes, nearly all of a cloud's inside does, odd groups stay."""
+    g = np.random.default_rng(21)
+    groups = [g.normal(0, 1, (400, 2)), np.array([[1.0, 2.0]]), np.array([[0.0, 0.0], [1.0, 1.0]]), np.linspace(0, 1, 9)[:, None] * [2.0, 1.0]]
+    groups += [g.integers(0, 6, (50, 2)) / 10.0, np.array([[0.0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.5]]), np.array([[np.nan, 1.0], [0, 0], [2, 5], [1, 3]])]
+    groups = [np.unique(x, axis=0) for x in groups]
+    starts = np.cumsum([0, *[len(x) for x in groups[:-1]]])
+    xy = np.concatenate(groups)
+    kept = np.split(maybe_corners(xy[:, 0], xy[:, 1], starts, 1e-12), starts[1:])
+    for points, keep in zip(groups[:-1], kept):
+        corners = lambda p: p[hull_of(p[:, 0], p[:, 1], 1e-12)].tolist()
+        assert corners(points[keep]) == corners(points)
+    assert kept[0].sum() < 60 and kept[5].tolist() == [True, True, False, True, True]
+    assert all(kept[k].all() for k in (1, 2, 3, 6))
+
+
 def test_partial_hulls_of_a_hot_key(spark):
     g = np.random.default_rng(15)
     xy = g.normal(size=(4000, 2)).round(3)
