@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from amperic.operators import clusters_space, clusters_time, evaluation, halo, hulls, topology
 from amperic.operators.components import components
 from amperic.operators.intervals import in_intervals
-from amperic.operators.kernels import hull_of, maybe_corners, merge_rounds
+from amperic.operators.kernels import _point_pairs, hull_of, maybe_corners, merge_rounds
 from amperic.operators.ordered import count_within, islands, nearest, running, with_slice
 from amperic.operators.places import nearest_places
 from amperic.operators.reach import Axes
@@ -405,6 +405,17 @@ def test_hull_holds_every_point():
             assert ((x[j] - x[i]) * (y - y[i]) - (y[j] - y[i]) * (x - x[i]) >= 0).all()
 
 
+def test_point_pairs_come_in_small_blocks():
+    """All pairs of 60 pairs of cells, a few megabytes of them at a time."""
+    count, start = np.full(60, 100), np.arange(60) * 100
+    every = np.arange(60)
+    seen, largest = 0, 0
+    for a, b in _point_pairs(every, every[::-1].copy(), (start, start), (count, count)):
+        assert (a // 100 + b // 100 == 59).all()
+        seen, largest = seen + len(np.unique(a * 6000 + b)), max(largest, len(a))
+    assert seen == 60 * 100 * 100 and largest <= 1 << 18
+
+
 def test_inner_points_are_left_out_before_the_hull():
     """All groups at once: no corner goes, nearly all of a cloud's inside does, odd groups stay."""
     g = np.random.default_rng(21)
