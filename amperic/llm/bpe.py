@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amperic.llm.common import chunks, map_batches, whole_text
+from amperic.llm.common import WORKED, chunks, map_batches, whole_text
 
 
 class Vocabulary:
@@ -215,7 +215,7 @@ def _blocks(texts: list[str], size: int):
 
 
 def bpe_encode(
-    docs: DataFrame, *, vocabulary_path: str, pattern: str, block_chars: int = 8 << 20, ids: bool = True, carry: Sequence[str] = ()
+    docs: DataFrame, *, vocabulary_path: str, pattern: str, block_chars: int = WORKED, ids: bool = True, carry: Sequence[str] = ()
 ) -> DataFrame:
     """``doc_id``, ``n_tokens``, digests of the ids and of the decoded bytes, and
     with ``ids`` the ids themselves; then the columns named in ``carry``.

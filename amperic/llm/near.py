@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from amperic.llm.common import map_batches, mix, offsets, staged, utf8, whole_text, windows
+from amperic.llm.common import WORKED, map_batches, mix, offsets, spans, staged, utf8, whole_text, windows
 from amperic.operators.components import components
 
 WORDS = 5
@@ -100,13 +100,17 @@ def signatures(docs: DataFrame, *, bands: int = 26, rows: int = 5) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         texts = utf8(batch)
         digests = [xxhash.xxh3_128_intdigest(t) for t in texts]
-        parts = [shingles(t) for t in texts]
-        counts = [len(k) for k in parts]
-        owner = np.repeat(np.arange(len(texts)), counts)
-        keys = np.concatenate(parts or [np.zeros(0, np.uint64)])
-        # links are verified on sets, so repeats must not weigh
-        found = band_keys(prob_min_hash(owner, keys, np.ones(len(keys)), len(texts), bands * rows), rows).view(np.int64)
-        flat = found[np.array(counts, np.int64) > 0].ravel()
+        counts, found = [], [np.zeros(0, np.int64)]
+        # a block takes as many rounds as its slowest text, so blocks are not too small
+        for a, b in spans(texts, 4 * WORKED):
+            parts = [shingles(t) for t in texts[a:b]]
+            sizes = np.array([len(k) for k in parts], np.int64)
+            keys = np.concatenate(parts)
+            # links are verified on sets, so repeats must not weigh
+            firsts = prob_min_hash(np.repeat(np.arange(b - a), sizes), keys, np.ones(len(keys)), b - a, bands * rows)
+            found.append(band_keys(firsts, rows).view(np.int64)[sizes > 0].ravel())
+            counts += sizes.tolist()
+        flat = np.concatenate(found)
         ends = offsets([bands if c else 0 for c in counts]).astype(np.int32)
         return {
             "doc_id": batch.column("doc_id"),

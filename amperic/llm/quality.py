@@ -10,6 +10,7 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from amperic.llm.common import fresh, map_batches, offsets, utf8, windows, whole_text
+from amperic.llm.common import WORKED, chunks, fresh, map_batches, offsets, spans, utf8, windows, whole_text
 
 SYMBOLS = b"#*$%&|<>"
 # The character classes of the histogram, by UTF-8 byte. Bytes that
@@ -114,31 +115,35 @@ def language_references(docs: DataFrame, *, n_words: int = 200, max_languages: i
         seen: Counter = Counter()
 
         def rows():
-            out = [(lang, "w", w.decode("utf-8", "replace"), n) for lang, c in kept.items() for w, n in c.items()]
-            out += [(lang, "c", CLASS_NAMES[i], int(n)) for lang, s in sums.items() for i, n in enumerate(s)]
-            out += [(lang, "t", "", c.total()) for lang, c in kept.items()]
-            out += [(lang, "d", "", n) for lang, n in seen.items()]
+            out = itertools.chain(
+                ((lang, "w", w.decode("utf-8", "replace"), n) for lang, c in kept.items() for w, n in c.items()),
+                ((lang, "c", CLASS_NAMES[i], int(n)) for lang, s in sums.items() for i, n in enumerate(s)),
+                ((lang, "t", "", c.total()) for lang, c in kept.items()),
+                ((lang, "d", "", n) for lang, n in seen.items()),
+            )
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
+            for part in chunks(out, 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*part), kinds)], names=["lang", "kind", "item", "n"])
             for held in (kept, sums, seen):
                 held.clear()
-            cols = zip(*out) if out else ([], [], [], [])
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["lang", "kind", "item", "n"])
 
         for batch in batches:
-            by_lang: dict[str, list[bytes]] = {}
-            texts = utf8(batch)
-            passed = np.ones(len(texts), bool) if base is None else ~base_failures(texts, base)
-            for lang, text, ok in zip(batch.column("lang").to_pylist(), texts, passed.tolist()):
-                if ok:
-                    own = lang is not None and (known is None or lang in known)
-                    by_lang.setdefault(lang if own else "", []).append(text)
-            for lang, texts in by_lang.items():
-                found = _count_language(texts, kept.setdefault(lang, Counter()))
-                sums[lang] = sums.get(lang, 0) + found
-                seen[lang] += len(texts)
-            if sum(map(len, kept.values())) > 400_000:
-                yield rows()
-        yield rows()
+            whole, langs = utf8(batch), batch.column("lang").to_pylist()
+            for a, b in spans(whole, WORKED):
+                by_lang: dict[str, list[bytes]] = {}
+                texts = whole[a:b]
+                passed = np.ones(len(texts), bool) if base is None else ~base_failures(texts, base)
+                for lang, text, ok in zip(langs[a:b], texts, passed.tolist()):
+                    if ok:
+                        own = lang is not None and (known is None or lang in known)
+                        by_lang.setdefault(lang if own else "", []).append(text)
+                for lang, texts in by_lang.items():
+                    found = _count_language(texts, kept.setdefault(lang, Counter()))
+                    sums[lang] = sums.get(lang, 0) + found
+                    seen[lang] += len(texts)
+                if sum(map(len, kept.values())) > 400_000:
+                    yield from rows()
+        yield from rows()
 
     counts = (
         docs.select(F.col("lang").cast("string"), whole_text().alias("text"))
@@ -321,7 +326,7 @@ def quality_rules(
 
     def run(batch: pa.RecordBatch) -> dict:
         texts, langs = utf8(batch, text), batch.column(lang).to_pylist()
-        parts = [assess(texts[i : i + 500], model, limits, langs[i : i + 500]) for i in range(0, len(texts), 500)]
+        parts = [assess(texts[a:b], model, limits, langs[a:b]) for a, b in spans(texts, WORKED, 500)]
         out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
         if not parts:
             out = assess([], model, limits)

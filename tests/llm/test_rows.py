@@ -5,14 +5,17 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from amperic.llm import bpe, quality, secret_scan
+from amperic.llm import bpe, near, quality, secret_scan
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -270,3 +273,54 @@ def test_junk_does_not_vouch_for_itself(spark, sf_dir):
     for lang in ("en", "xx", None):
         one = spark.createDataFrame([(-1, gibberish, lang)], docs.schema)
         assert [r["kept"] for r in quality.quality_rules(docs.unionByName(one)).filter("doc_id = -1").collect()] == [False]
+
+
+class Caught(Exception):
+    """Carries what was given to Spark to run in tasks."""
+
+
+def caught(call):
+    def stop(*args):
+        raise Caught(next(a for a in args if callable(a)))
+
+    docs = mock.Mock()
+    docs.select.return_value.withColumn.return_value = docs.select.return_value
+    docs.select.return_value.mapInArrow.side_effect = stop
+    with pytest.raises(Caught) as found:
+        call(docs)
+    return found.value.args[0]
+
+
+@pytest.mark.parametrize(
+    "call, times",
+    [
+        (lambda docs: quality.language_references(docs, base=quality.Limits()), 10),
+        (near.signatures, 14),
+        (lambda docs: bpe.bpe_encode(docs, vocabulary_path=PATH, pattern=PATTERN), 5),
+    ],
+    ids=["quality", "near", "bpe"],
+)
+def test_a_batch_is_worked_in_small_blocks(spark, call, times):
+    """Workers stay between the stages of a pipeline and keep what a batch took: the
+    memory for a full batch of 16 MB is bounded by some times its size, as is that for
+    one of many short texts; the results are those of single rows."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=700)) for _ in range(3900)] + ["", " ", "a b"] * 30
+    batch = pa.record_batch({"doc_id": range(len(texts)), "text_hash": range(len(texts)), "lang": ["en"] * len(texts), "text": pa.array(texts, pa.string())})
+    run = caught(call)
+    few = list(run(iter([batch.slice(0, 10)])))
+    alone = [b for i in range(10) for b in run(iter([batch.slice(i, 1)]))]
+    if "item" in few[0].schema.names:
+        total = lambda batches: sum((Counter({(r["lang"], r["kind"], r["item"]): r["n"]}) for b in batches for r in b.to_pylist()), Counter())
+        assert total(few) == total(alone)
+    else:
+        assert pa.Table.from_batches(few).to_pylist() == pa.Table.from_batches(alone).to_pylist()
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < times * batch.nbytes, peak / batch.nbytes
