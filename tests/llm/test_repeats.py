@@ -90,3 +90,19 @@ def test_equal_windows_of_reversed_sides():
 
     back, ahead = equal_windows(np.array([1, 1, 2]), [b"cba", b"cbx", b"cba"], [b"defgh", b"defgx", b"defgh"], 6)
     assert back.tolist() == [2, 2, 0] and ahead.tolist() == [4, 4, 0]
+
+
+def test_query_at_400_bytes(spark, tmp_path):
+    """Passages of over 50 words in two documents each go from 400 bytes on; shorter ones stay, as do the other texts."""
+    from amperic.llm.queries import QUERIES
+
+    rng = random.Random(9)
+    words = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    prose = lambda n: " ".join(words(rng.randint(2, 8)) for _ in range(n))
+    passages = [" ".join(words(6) for _ in range(80))[:n] for n in (400, 399, 555)]
+    texts = [f"{prose(70)}<{i}{p}{i}>{prose(70)}" for p in passages for i in range(2)] + [prose(200) for _ in range(3)] + [None, "x" * 399]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"])
+    assert [r["n_removed"] for r in got] == [400, 400, 0, 0, 555, 555, 0, 0, 0, 0, 0]
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute([(t or "").encode() for t in texts], 400)
+    assert [r["repeats"] for r in got] == [r["n_removed"] > 0 for r in got]
